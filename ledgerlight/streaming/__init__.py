@@ -1,0 +1 @@
+"""Intentionally without operators: every capability reproduced here is a batch job."""
