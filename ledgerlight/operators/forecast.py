@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlight.functions.numbers import normal_quantile, student_quantile
 from ledgerlight.functions.periods import step_ahead
+from ledgerlight.operators import smoothing
 from ledgerlight.operators.anomalies import trend
-from ledgerlight.operators.smoothing import holt_winters
+
+# Tasks get the smoothing code with the function, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(smoothing)
 
 # Fixed values.
 LEAST_POINTS = 4
@@ -84,6 +88,8 @@ def _seasonal(
         F.transform(F.array_sort(F.collect_list(F.struct("index", "value"))), lambda p: p["value"]).alias("values"),
     )
 
+    smooth = smoothing.holt_winters
+
     def fit(batches):
         import numpy as np
         import pandas as pd
@@ -93,7 +99,7 @@ def _seasonal(
             for row in batch.itertuples(index=False):
                 record = row._asdict()
                 values = np.asarray(record.pop("values"), dtype=float)
-                ahead, errors = holt_winters(values, season, horizon)
+                ahead, errors = smooth(values, season, horizon)
                 deviation = float(errors.std(ddof=1))
                 for step in range(1, horizon + 1):
                     rows.append({
@@ -120,8 +126,14 @@ def forecast(
 ) -> DataFrame:
     """Future periods with value and interval; a series too short gives one refusal row."""
     horizon = max(1, min(horizon, LONGEST_HORIZON))
+    if not keys:
+        # A constant key, so that a method without any series to fit gives no row.
+        one = series.withColumn("__series", F.lit(0))
+        return forecast(
+            one, ["__series"], horizon, confidence, allow_negative, season_length
+        ).drop("__series")
     keys = list(keys)
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    whole = Window.partitionBy(*keys)
     moment = F.col("period").cast("timestamp_ntz")
     gap = (moment - F.lag(moment).over(whole.orderBy("period"))).cast("interval second").cast("decimal(20,6)")
     points = trend(series, keys).withColumn("gap", gap.cast("double"))

@@ -155,10 +155,14 @@ def _measure(df: DataFrame, shape: Shape) -> Column:
     return finite(total)
 
 
-def timeseries(
+def period_totals(
     df: DataFrame, shape: Shape, grain: str = "month", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Revenue (or row count) per period, and per value of ``keys`` if given."""
+    """Revenue (or row count) per period, and per value of ``keys`` if given; unordered.
+
+    Periods without rows are absent.  Rows are summed per task before the shuffle, so its
+    size is that of the calendar.
+    """
     if shape.time is None:
         raise ValueError("no date column, so no time series")
     when = F.col(shape.time)
@@ -166,13 +170,19 @@ def timeseries(
         df.where(when.isNotNull())
         .groupBy(*keys, truncate(when, grain).alias("period"))
         .agg(_measure(df, shape).alias("value"))
-        .orderBy(*keys, "period")
     )
 
 
+def timeseries(
+    df: DataFrame, shape: Shape, grain: str = "month", keys: Sequence[str] = ()
+) -> DataFrame:
+    """``period_totals`` in order."""
+    return period_totals(df, shape, grain, keys).orderBy(*keys, "period")
+
+
 def growth(df: DataFrame, shape: Shape, grain: str = "month") -> DataFrame:
     """Newest period against the last one before it that has rows; empty if there is none."""
-    newest = timeseries(df, shape, grain).orderBy(F.desc("period")).limit(2)
+    newest = period_totals(df, shape, grain).orderBy(F.desc("period")).limit(2)
     previous = F.lag("value").over(Window.orderBy("period"))  # two rows
     return (
         newest.withColumn("previous", previous)

@@ -76,10 +76,14 @@ def ingest(spark: SparkSession, warehouse: Warehouse, path: str, table: str | No
 
 
 def run_pipeline(
-    spark: SparkSession, path: str, table: str | None = None, deduplicate: bool = True
+    spark: SparkSession,
+    path: str,
+    table: str | None = None,
+    deduplicate: bool = True,
+    location: str | None = None,
 ) -> tuple[Cleaned, Analysed]:
     """File to raw table, clean table, semantics and metrics."""
-    warehouse = Warehouse(spark)
+    warehouse = Warehouse(spark, location)
     name = ingest(spark, warehouse, path, table)
     cleaned = clean_table(warehouse, name, deduplicate)
     return cleaned, analyse_table(warehouse, name, cleaned.profile)

@@ -7,6 +7,7 @@ DataFrames.  ``local_session`` is for tests, the bench and notebooks.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,7 @@ def local_session(cores: str = "*", **settings: str) -> SparkSession:
         **SETTINGS,
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         **settings,
     }
@@ -33,6 +35,13 @@ def local_session(cores: str = "*", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder every executor can reach, under ``spark.checkpoint.dir`` if that is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = base or tempfile.mkdtemp(prefix="ledgerlight-")
+    return f"{base.rstrip('/')}/ledgerlight-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint a frame that several jobs will read, so a lost executor costs one read.
 

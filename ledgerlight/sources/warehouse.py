@@ -40,8 +40,10 @@ class Warehouse:
     Replacing a table overwrites it as a whole, so repeating a load changes nothing.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, location: str | None = None):
+        """``location`` stores the tables in that folder instead of the catalog's own."""
         self.spark = spark
+        self.location = location
         for database in (RAW, CLEAN, STAR):
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
 
@@ -51,7 +53,10 @@ class Warehouse:
     def write(self, layer: str, table: str, df: DataFrame) -> DataFrame:
         for column in df.columns:
             identifier(column)
-        df.write.mode("overwrite").saveAsTable(self.name(layer, table))
+        writer = df.write.mode("overwrite")
+        if self.location:
+            writer = writer.option("path", f"{self.location}/{layer}/{table}")
+        writer.saveAsTable(self.name(layer, table))
         return self.read(layer, table)
 
     def read(self, layer: str, table: str) -> DataFrame:
