@@ -7,7 +7,7 @@ business table should not (``'12d'``, ``'2026'`` as a date, trailing junk).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Text that stands for "no value" once trimmed and lower-cased.
 NULL_TOKENS = ("", "na", "n/a", "n.a.", "null", "none", "nil", "-", "--", "?", "unknown")
@@ -52,5 +52,27 @@ def to_boolean(text: Column) -> Column:
     return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
 
 
-def is_boolean_word(text: Column) -> Column:
-    return F.lower(text).isin(*TRUE_WORDS, *FALSE_WORDS)
+# What a text value looks like, one bit each.
+BLANK, TOKEN, PADDED, NUMBER, DATE, BOOLEAN, REAL = (1 << i for i in range(7))
+
+
+def with_shape(df: DataFrame, text: str, shape: str) -> DataFrame:
+    """Add an integer column of shape bits for a text column.
+
+    Number, date and boolean bits are only set on real values: neither null nor token.
+    """
+    bare, word, real = F.col("__bare"), F.col("__word"), F.col("__real")
+    bit = lambda holds, value: F.when(holds, value).otherwise(0)
+    return (
+        df.withColumn("__bare", trim_spaces(F.col(text)))
+        .withColumn("__word", F.lower(bare))
+        .withColumn("__real", ~word.isin(*NULL_TOKENS))
+        .withColumn(
+            shape,
+            bit(bare == "", BLANK) + bit(~real, TOKEN) + bit(F.col(text) != bare, PADDED)
+            + bit(real & to_number(bare).isNotNull(), NUMBER)
+            + bit(real & to_date(bare).isNotNull(), DATE)
+            + bit(real & word.isin(*TRUE_WORDS, *FALSE_WORDS), BOOLEAN) + bit(real, REAL),
+        )
+        .drop("__bare", "__word", "__real")
+    )

@@ -2,9 +2,11 @@
 
 ``count(DISTINCT a), count(DISTINCT b), ...`` over a wide table multiplies every row by
 the number of columns and drags all columns along.  Here each non-null value becomes one
-narrow row ``(slot, whole, real, moment, text)`` with exactly one field in use, so values
-keep their type (no number-to-text conversion), equal numbers of different types meet on
-the same key, and one grouping serves all columns.  Long text travels as its SHA-256.
+narrow row ``(slot, whole, real, moment, text)``, so values keep their type (no
+number-to-text conversion), equal numbers of different types meet on the same key, and one
+grouping serves all columns.  Long text travels as its SHA-256, with what the profile needs
+to know about it in ``whole``.  The code Spark generates does not grow with the table: what
+is costly happens after the values are stacked.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ledgerlight.functions.text import with_shape
+
 LONG_TEXT_BYTES = 128
 LARGEST_EXACT_DOUBLE = 2.0**53
-KEY = ["whole", "real", "moment", "text"]
+_TYPES = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
+KEY = list(_TYPES)
 
 
 def _key_fields(value: Column, dtype: T.DataType) -> dict[str, Column]:
@@ -36,17 +41,11 @@ def _key_fields(value: Column, dtype: T.DataType) -> dict[str, Column]:
         else:
             fields["real"] = F.when(is_whole, F.lit(None)).otherwise(number)
         return fields
+    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
+        return {"text": value}
     if isinstance(dtype, T.BinaryType):
-        text = F.hex(value)
-    elif isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
-        text = value
-    else:
-        text = F.to_json(F.struct(value.alias("value")))
-    is_long = F.octet_length(text) > LONG_TEXT_BYTES
-    return {
-        "whole": F.when(is_long, F.octet_length(text).cast("bigint")),
-        "text": F.when(is_long, F.sha2(text, 256)).otherwise(text),
-    }
+        return {"text": F.hex(value)}
+    return {"text": F.to_json(F.struct(value.alias("value")))}
 
 
 def cells(
@@ -59,34 +58,38 @@ def cells(
     counts can share one scan.
     """
     measures = measures or {}
-    empty = {
-        "whole": F.lit(None).cast("bigint"),
-        "real": F.lit(None).cast("double"),
-        "moment": F.lit(None).cast("timestamp_ntz"),
-        "text": F.lit(None).cast("string"),
-    }
+    empty = {name: F.lit(None).cast(kind) for name, kind in _TYPES.items()}
     types = df.select(*[c.alias(n) for n, c in measures.items()]).schema
     no_measures = [F.lit(None).cast(field.dataType) for field in types]
     flat: list[Column] = []
+    has_text = False
     for slot, name in columns:
         value = F.col(name)
-        fields = {**empty, **_key_fields(value, df.schema[name].dataType)}
+        fields = _key_fields(value, df.schema[name].dataType)
+        has_text = has_text or "text" in fields
         present = F.when(value.isNotNull(), F.lit(slot))
-        flat += [present, F.lit(True), *fields.values(), *no_measures]
+        flat += [present, F.lit(True), *{**empty, **fields}.values(), *no_measures]
     count = len(columns)
     if measures:
         flat += [F.lit(None).cast("int"), F.lit(False), *empty.values(), *measures.values()]
         count += 1
-    stacked = df.select(F.stack(F.lit(count), *flat).alias("slot", "is_cell", *KEY, *measures))
-    return stacked.where(F.col("slot").isNotNull() | ~F.col("is_cell")).drop("is_cell")
+    stacked = (
+        df.select(F.stack(F.lit(count), *flat).alias("slot", "is_cell", *KEY, *measures))
+        .where(F.col("slot").isNotNull() | ~F.col("is_cell"))
+        .drop("is_cell")
+    )
+    return _shorten(stacked) if has_text else stacked
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Exact distinct non-null values of every column, in one job and one shuffle."""
-    if not columns:
-        return {}
-    counted = (
-        cells(df, list(enumerate(columns))).distinct().groupBy("slot").agg(F.count("*").alias("n"))
+def _shorten(stacked: DataFrame) -> DataFrame:
+    """Replace long text by its digest, and keep its shape in ``whole``."""
+    text = F.col("text")
+    is_long = F.octet_length(text) > LONG_TEXT_BYTES
+    return (
+        with_shape(stacked.withColumn("long_text", F.when(is_long, text)), "long_text", "shape")
+        .withColumns({
+            "whole": F.when(is_long, F.col("shape").cast("bigint")).otherwise(F.col("whole")),
+            "text": F.when(is_long, F.sha2(text, 256)).otherwise(text),
+        })
+        .drop("long_text", "shape")
     )
-    found = {row["slot"]: row["n"] for row in counted.collect()}
-    return {name: found.get(slot, 0) for slot, name in enumerate(columns)}

@@ -10,7 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.operators.semantics import Shape
-from ledgerlight.session import durable
+from ledgerlight.session import durable, small_frame
+from ledgerlight.types import struct
 
 # Fixed values.
 LEAST_CUSTOMERS = 20
@@ -142,10 +143,11 @@ def churn(df: DataFrame, shape: Shape) -> Churn:
         ).alias("reason"),
     )
     weights = list(zip(PREDICTORS, PREDICTORS.values(), map(float, model.coefficients)))
-    drivers = df.sparkSession.createDataFrame(
+    drivers = small_frame(
+        df.sparkSession,
         [(f, text, c, "increases risk" if c > 0 else "reduces risk")
          for f, text, c in sorted(weights, key=lambda w: -abs(w[2]))],
-        "feature string, label string, coefficient double, direction string",
+        struct("feature string, label string, coefficient double, direction string"),
     )
     definition = (
         f"Lapsed: no purchase in the {cutoff:.0f} days up to {facts['as_of']}, the newest date in the "

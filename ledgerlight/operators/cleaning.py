@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlight import types as lt
 from ledgerlight.functions import text as tx
 from ledgerlight.functions.numbers import count_text
+from ledgerlight.session import small_frame
 
 # Share of values that must support a conversion, and the action names.
 CONVERT_FROM = 0.95
@@ -44,7 +45,7 @@ def plan_cleaning(profile: DataFrame, duplicate_rows: int, deduplicate: bool = T
         F.when(tokens, F.concat_ws(" ", count_text(F.col("null_token_count"), "placeholder"), F.lit("became NULL"))),
         reason,
     )
-    plan = profile.orderBy("position").select(
+    plan = profile.select(
         "column",
         F.when(
             is_text,
@@ -58,8 +59,8 @@ def plan_cleaning(profile: DataFrame, duplicate_rows: int, deduplicate: bool = T
     )
     if not (deduplicate and duplicate_rows > 0):
         return plan
-    extra = plan.sparkSession.createDataFrame(
-        [(None, [DEDUPLICATE], None, "Rows that repeat another row exactly were dropped.")], plan.schema
+    extra = small_frame(
+        plan.sparkSession, [(None, [DEDUPLICATE], None, "Rows that repeat another row exactly were dropped.")], plan.schema
     )
     return plan.unionByName(extra)
 

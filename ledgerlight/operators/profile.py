@@ -2,8 +2,8 @@
 
 The scans a profile needs do not depend on the number of columns:
 
-1. one aggregate without shuffle: counts, extremes, moments, text shapes;
-2. one shuffle of typed cells: exact distinct counts;
+1. one aggregate without shuffle: counts, extremes, moments;
+2. one shuffle of typed cells: exact distinct counts and the shapes of text values;
 3. exact quartiles of the numeric columns (``quantiles``);
 4. one aggregate without shuffle: values outside the quartile fences;
 5. one grouping of the few-valued text columns: their most frequent values.
@@ -21,33 +21,43 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlight import types as lt
 from ledgerlight.functions import text as tx
 from ledgerlight.functions.numbers import finite
-from ledgerlight.operators.cells import distinct_counts
+from ledgerlight.operators.cells import KEY, cells
 from ledgerlight.operators.quantiles import exact_quantiles
+from ledgerlight.session import small_frame
 
 TOP_VALUES = 10
 FEW_VALUES = 50
 FENCE = 1.5
 COLUMNS_PER_SCAN = 100
 
-_TEXT_COUNTS = ("blank", "token", "padded", "number", "date", "boolean", "real")
+_SHAPES = {
+    "blank": tx.BLANK, "token": tx.TOKEN, "padded": tx.PADDED, "number": tx.NUMBER,
+    "date": tx.DATE, "boolean": tx.BOOLEAN, "real": tx.REAL,
+}
 
 
 def column_types(df: DataFrame) -> dict[str, str]:
     return {field.name: lt.logical_type(field.dataType) for field in df.schema}
 
 
-def _text_counts(value: Column) -> list[Column]:
-    bare = tx.trim_spaces(value)
-    real = value.isNotNull() & ~tx.is_null_token(bare)
-    return [
-        F.count_if(bare == ""),
-        F.count_if(tx.is_null_token(bare)),
-        F.count_if(value != bare),
-        F.count_if(real & tx.to_number(bare).isNotNull()),
-        F.count_if(real & tx.to_date(bare).isNotNull()),
-        F.count_if(real & tx.is_boolean_word(bare)),
-        F.count_if(real),
-    ]
+def _value_statistics(df: DataFrame, columns: Sequence[str], shapes: bool) -> dict[str, dict]:
+    """Distinct values per column, and how many values of a text column have which shape.
+
+    Values are grouped first, so a value is inspected once however often it occurs, and
+    the grouping folds repeats before anything is shuffled.
+    """
+    grouped = cells(df, list(enumerate(columns))).groupBy("slot", *KEY).agg(F.count("*").alias("n"))
+    counts = [F.count("*").alias("distinct")]
+    if shapes:
+        grouped = tx.with_shape(grouped, "text", "shape")
+        # A long text left as a digest carries its shape along.
+        bits = F.coalesce(F.col("whole"), F.col("shape").cast("bigint"))
+        counts += [
+            F.sum(F.when(F.col("text").isNotNull() & (bits.bitwiseAND(F.lit(bit)) != 0), F.col("n")).otherwise(0)).alias(name)
+            for name, bit in _SHAPES.items()
+        ]
+    found = {row["slot"]: row.asDict() for row in grouped.groupBy("slot").agg(*counts).collect()}
+    return {name: found.get(slot, {"distinct": 0}) for slot, name in enumerate(columns)}
 
 
 def _statistics(name: str, kind: str, shapes: bool) -> Column:
@@ -65,8 +75,6 @@ def _statistics(name: str, kind: str, shapes: bool) -> Column:
             F.regexp_replace(F.date_format(end(value), pattern), r"\.000000$", "").alias(label)
             for end, label in ((F.min, "min"), (F.max, "max"))
         ]
-    elif kind == lt.STRING and shapes:
-        fields += [c.alias(n) for c, n in zip(_text_counts(value), _TEXT_COUNTS)]
     return F.struct(*fields).alias(name)
 
 
@@ -121,14 +129,16 @@ def profile(
     kinds = column_types(df)
     names = list(columns if columns is not None else df.columns)
     rows = 0
-    stats, distinct = {}, {}
+    stats, values = {}, {}
     for batch in batched(names, COLUMNS_PER_SCAN):
         row = df.agg(
             F.count("*").alias("*"), *[_statistics(n, kinds[n], not base_only) for n in batch]
         ).first()
         rows = row["*"]
         stats.update({name: row[name] for name in batch})
-        distinct.update(distinct_counts(df, [n for n in batch if row[n]["present"]]))
+        used = [n for n in batch if row[n]["present"]]
+        if used:
+            values.update(_value_statistics(df, used, not base_only))
 
     quartiles, outliers, top = {}, {}, {}
     if not base_only:
@@ -144,14 +154,14 @@ def profile(
         few = [
             n
             for n in names
-            if kinds[n] == lt.STRING and stats[n]["present"] and distinct[n] <= FEW_VALUES
+            if kinds[n] == lt.STRING and stats[n]["present"] and values[n]["distinct"] <= FEW_VALUES
         ]
         for batch in batched(few, COLUMNS_PER_SCAN):
             top.update(_top_values(df, list(batch)))
 
     records = []
     for position, name in enumerate(names):
-        found, kind = stats[name].asDict(), kinds[name]
+        found, kind = stats[name].asDict() | values.get(name, {}), kinds[name]
         used = found["present"] > 0
         is_number, is_time, is_text = (
             used and kind in lt.NUMERIC_TYPES,
@@ -159,11 +169,11 @@ def profile(
             used and kind == lt.STRING,
         )
         q1, median, q3 = quartiles.get(name, (None, None, None))
-        real = found.get("real") or None
+        real = is_text and found.get("real") or None
         records.append({
             "table": table, "layer": layer, "position": position, "column": name,
             "data_type": kind, "row_count": rows, "null_count": rows - found["present"],
-            "distinct_count": distinct.get(name, 0),
+            "distinct_count": found.get("distinct", 0),
             "min_value": found.get("min") if is_number else None,
             "max_value": found.get("max") if is_number else None,
             "mean_value": found.get("mean"), "median_value": median,
@@ -177,10 +187,10 @@ def profile(
             "numeric_like_fraction": found["number"] / real if real else None,
             "date_like_fraction": found["date"] / real if real else None,
             "boolean_like_fraction": found["boolean"] / real if real else None,
-            "top_values": [(v, n, n / rows) for v, n in top.get(name, [])],
+            "top_values": [{"value": v, "count": n, "fraction": n / rows} for v, n in top.get(name, [])],
         })
-    return _derived(df.sparkSession.createDataFrame(
-        [tuple(record.get(f.name) for f in lt.PROFILE) for record in records], lt.PROFILE
+    return _derived(small_frame(
+        df.sparkSession, [[record.get(f.name) for f in lt.PROFILE] for record in records], lt.PROFILE
     ))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight import types as lt
 from ledgerlight.functions.numbers import count_text, percent_text
+from ledgerlight.session import small_frame
 
 # Rule thresholds and what each finding costs.
 MOSTLY_NULL = 0.5
@@ -62,8 +63,7 @@ def column_issues(profile: DataFrame) -> DataFrame:
                outlier_count=F.col("outlier_count"), q1=F.col("q1"), q3=F.col("q3")),
     ]
     return (
-        profile.orderBy("position")
-        .select("column", F.explode(F.array_compact(F.array(*rules))).alias("issue"))
+        profile.select("column", F.explode(F.array_compact(F.array(*rules))).alias("issue"))
         .select("issue.code", "issue.severity", F.col("column").alias("column_name"),
                 "issue.message", "issue.details")
     )
@@ -89,8 +89,8 @@ def table_issues(counts: DataFrame) -> DataFrame:
 
 def quality_issues(profile: DataFrame, row_count: int, duplicate_rows: int) -> DataFrame:
     """All findings, table-level ones first; ``duplicate_rows`` is 0 when none are dropped."""
-    counts = profile.sparkSession.createDataFrame(
-        [(row_count, duplicate_rows)], "row_count bigint, duplicate_rows bigint"
+    counts = small_frame(
+        profile.sparkSession, [(row_count, duplicate_rows)], lt.struct("row_count bigint, duplicate_rows bigint")
     )
     found = table_issues(counts)
     return found.unionByName(column_issues(profile)) if row_count else found

@@ -19,8 +19,8 @@ from ledgerlight import types as lt
 from ledgerlight.functions.numbers import percent_text
 from ledgerlight.operators.cells import KEY, cells
 from ledgerlight.operators.profile import profile as profile_table
-from ledgerlight.operators.semantics import DIMENSION, IDENTIFIER, KEY_ENDING, classify
-from ledgerlight.session import durable
+from ledgerlight.operators.semantics import DIMENSION, IDENTIFIER, KEY_ENDING, with_meaning
+from ledgerlight.session import durable, small_frame
 
 # What counts as evidence.
 LEAST_CONTAINMENT = 0.80
@@ -39,14 +39,8 @@ _FAMILY = {t: lt.type_family(t) for t in (
 
 def describe(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Base profile with role, for all columns of all tables."""
-    profiles = reduce(
-        DataFrame.unionByName, [profile_table(df, name, "clean", base_only=True) for name, df in tables.items()]
-    )
-    return with_roles(profiles, classify(profiles))
-
-
-def with_roles(profiles: DataFrame, semantics: DataFrame) -> DataFrame:
-    return profiles.join(semantics.select("table", "column", "role"), ["table", "column"])
+    profiles = [profile_table(df, name, "clean", base_only=True) for name, df in tables.items()]
+    return with_meaning(reduce(DataFrame.unionByName, profiles))
 
 
 def candidate_pairs(columns: DataFrame) -> DataFrame:
@@ -90,7 +84,7 @@ def measure_containment(tables: Mapping[str, DataFrame], pairs: DataFrame) -> Da
     wanted = pairs.orderBy(*EDGE).collect()
     schema = T.StructType(pairs.schema.fields + [T.StructField("containment", T.DoubleType())])
     if not wanted:
-        return pairs.sparkSession.createDataFrame([], schema)
+        return small_frame(pairs.sparkSession, [], schema)
     ends = sorted(
         {(p.from_table, p.from_column, p.family) for p in wanted}
         | {(p.to_table, p.to_column, p.family) for p in wanted}
@@ -131,7 +125,7 @@ def measure_containment(tables: Mapping[str, DataFrame], pairs: DataFrame) -> Da
             for p in batch
         ]).first()
         rows += [(*p, n["found"] / n["all"] if n["all"] else 0.0) for p, n in zip(batch, counted)]
-    return pairs.sparkSession.createDataFrame(rows, schema)
+    return small_frame(pairs.sparkSession, rows, schema)
 
 
 def names_agree(from_column: Column, to_table: Column, to_column: Column) -> Column:

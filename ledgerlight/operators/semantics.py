@@ -48,8 +48,16 @@ def name_tag(name: Column) -> Column:
     ])
 
 
+MEANING = ["table", "position", "column", "data_type", "role", "tags", "rationale"]
+
+
 def classify(profile: DataFrame) -> DataFrame:
     """``table, position, column, data_type, role, tags, rationale`` for every profile row."""
+    return with_meaning(profile).select(*MEANING)
+
+
+def with_meaning(profile: DataFrame) -> DataFrame:
+    """Profile rows with ``role, tags, rationale`` added."""
     kind, tag = F.col("data_type"), F.col("name_tag")
     many_rows = F.col("row_count") >= ROWS_FOR_SHARES
     numeric = kind.isin(*lt.NUMERIC_TYPES)
@@ -88,10 +96,11 @@ def classify(profile: DataFrame) -> DataFrame:
     return (
         profile.withColumn("name_tag", name_tag(F.col("column")))
         .withColumn("chosen", chosen)
-        .select(
-            "table", "position", "column", "data_type", "chosen.role",
-            F.array_compact(F.array("chosen.tag")).alias("tags"), "chosen.rationale",
-        )
+        .withColumns({
+            "role": F.col("chosen.role"), "tags": F.array_compact(F.array("chosen.tag")),
+            "rationale": F.col("chosen.rationale"),
+        })
+        .drop("name_tag", "chosen")
     )
 
 

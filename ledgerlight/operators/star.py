@@ -12,8 +12,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerlight.session import small_frame
 from ledgerlight.sources.naming import identifier
-from ledgerlight.types import logical_type
+from ledgerlight.types import logical_type, struct
 
 
 class Join(NamedTuple):
@@ -73,7 +74,7 @@ def table_roles(spark: SparkSession, tables: Iterable[str], edges: DataFrame) ->
     )
     # "fact" sorts after "dimension", so the maximum is the stronger role.
     strongest = ends.groupBy("table").agg(F.max("role").alias("role"))
-    names = spark.createDataFrame([(t,) for t in tables], "table string")
+    names = small_frame(spark, [(t,) for t in tables], struct("table string"))
     return names.join(strongest, "table", "left").select(
         "table", F.coalesce("role", F.lit("unknown")).alias("role")
     ).orderBy("table")
@@ -87,13 +88,13 @@ def star_columns(fact: str, tables: Mapping[str, DataFrame], edges: DataFrame) -
         for join in joins_for(fact, {t: df.columns for t, df in tables.items()}, edges)
         for c, name in join.columns
     ]
-    return edges.sparkSession.createDataFrame(rows, "column string, description string")
+    return small_frame(edges.sparkSession, rows, struct("column string, description string"))
 
 
 def model_summary(tables: Mapping[str, DataFrame], edges: DataFrame) -> DataFrame:
     """``table, role, rows, joined_to`` for every table of the model."""
     spark = edges.sparkSession
-    rows = spark.createDataFrame([(t, df.count()) for t, df in tables.items()], "table string, rows bigint")
+    rows = small_frame(spark, [(t, df.count()) for t, df in tables.items()], struct("table string, rows bigint"))
     joined = edges.where(F.col("confirmed")).groupBy(F.col("from_table").alias("table")).agg(
         F.concat_ws(", ", F.sort_array(F.collect_set(F.concat(F.col("to_table"), F.lit(" on "), F.col("from_column")))))
         .alias("joined_to")

@@ -18,7 +18,7 @@ from ledgerlight.operators import (
 from ledgerlight.operators.semantics import Shape
 from ledgerlight.plans import exports
 from ledgerlight.plans.pipelines import run_pipeline
-from ledgerlight.session import shared_folder
+from ledgerlight.session import shared_folder, small_frame
 from ledgerlight.types import EDGES
 from ledgerlight.sources import bounded_sql, delimited, naming, warehouse
 
@@ -326,7 +326,7 @@ def breakdown_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def _confirmed(spark: SparkSession) -> DataFrame:
     rows = [(*edge, 1.0, 1.0, 0, True, "", answer) for edge, answer in CONFIRMED.items()]
-    return spark.createDataFrame(rows, EDGES)
+    return small_frame(spark, rows, EDGES)
 
 
 @query

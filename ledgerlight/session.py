@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,6 +38,12 @@ def local_session(cores: str = "*", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def small_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType) -> DataFrame:
+    """A few driver-side rows as a local relation, which the optimizer evaluates without a job."""
+    records = [dict(zip(schema.fieldNames(), row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder every executor can reach, under ``spark.checkpoint.dir`` if that is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlight import types as lt
 from ledgerlight.functions import text as tx
+from ledgerlight.session import small_frame
 from ledgerlight.sources.naming import header_names, separator_for
 
 SAMPLE_ROWS = 10_000
@@ -84,7 +85,7 @@ def _infer(sample: DataFrame) -> list[str]:
 def _sample_types(spark: SparkSession, cells: DataFrame, rows: int) -> list[str]:
     # head() reads only as many splits as the sample needs, however large the file is.
     sample = cells.head(rows)
-    return _infer(spark.createDataFrame(sample, cells.schema))
+    return _infer(small_frame(spark, sample, cells.schema))
 
 
 def read_delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -133,7 +134,7 @@ def detect_schema(df: DataFrame) -> DataFrame:
             zip(df.schema, originals, header_names(originals), _samples(df))
         )
     ]
-    return df.sparkSession.createDataFrame(rows, lt.COLUMNS)
+    return small_frame(df.sparkSession, rows, lt.COLUMNS)
 
 
 def _samples(df: DataFrame) -> list[list[str]]:

@@ -51,17 +51,17 @@ _TYPES = {
 }
 
 
-def _struct(spec: str) -> T.StructType:
+def struct(spec: str) -> T.StructType:
     pairs = (part.split() for part in spec.split(","))
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
-COLUMNS = _struct(
+COLUMNS = struct(
     "position int, name string, normalized_name string, data_type string, source_type string, "
     "nullable boolean, sample_values strings"
 )
 
-PROFILE = _struct(
+PROFILE = struct(
     "table string, layer string, position int, column string, data_type string, "
     "row_count bigint, null_count bigint, null_fraction double, distinct_count bigint, "
     "distinct_fraction double, is_constant boolean, is_empty boolean, "
@@ -72,7 +72,7 @@ PROFILE = _struct(
     "numeric_like_fraction double, date_like_fraction double, boolean_like_fraction double"
 ).add("top_values", TOP_VALUES)
 
-EDGES = _struct(
+EDGES = struct(
     "from_table string, from_column string, to_table string, to_column string, "
     "containment double, confidence double, distinct_values bigint, name_match boolean, "
     "rationale string, confirmed boolean"
