@@ -2,8 +2,8 @@
 
 The scans a profile needs do not depend on the number of columns:
 
-1. one aggregate without shuffle: counts, extremes, moments;
-2. one shuffle of typed cells: exact distinct counts and the shapes of text values;
+1. one shuffle of typed cells: counts, exact distinct counts, shapes of text values;
+2. one aggregate without shuffle: extremes and moments of numbers, extremes of dates;
 3. exact quartiles of the numeric columns (``quantiles``);
 4. one aggregate without shuffle: values outside the quartile fences;
 5. one grouping of the few-valued text columns: their most frequent values.
@@ -40,38 +40,44 @@ def column_types(df: DataFrame) -> dict[str, str]:
     return {field.name: lt.logical_type(field.dataType) for field in df.schema}
 
 
-def _value_statistics(df: DataFrame, columns: Sequence[str], shapes: bool) -> dict[str, dict]:
-    """Distinct values per column, and how many values of a text column have which shape.
+def _value_statistics(
+    df: DataFrame, columns: Sequence[str], shapes: bool
+) -> tuple[int, dict[str, dict[str, int]]]:
+    """Rows, and per column: non-null values, distinct values, text values of each shape.
 
     Values are grouped first, so a value is inspected once however often it occurs, and
     the grouping folds repeats before anything is shuffled.
     """
-    grouped = cells(df, list(enumerate(columns))).groupBy("slot", *KEY).agg(F.count("*").alias("n"))
-    counts = [F.count("*").alias("distinct")]
+    grouped = (
+        cells(df, list(enumerate(columns)), {"row": F.lit(1)})
+        .groupBy("slot", *KEY).agg(F.count("*").alias("n"))
+    )
+    counts = [F.sum("n").alias("present"), F.count("*").alias("distinct")]
     if shapes:
         grouped = tx.with_shape(grouped, "text", "shape")
         # A long text left as a digest carries its shape along.
         bits = F.coalesce(F.col("whole"), F.col("shape").cast("bigint"))
-        counts += [
-            F.sum(F.when(F.col("text").isNotNull() & (bits.bitwiseAND(F.lit(bit)) != 0), F.col("n")).otherwise(0)).alias(name)
-            for name, bit in _SHAPES.items()
-        ]
+        for name, bit in _SHAPES.items():
+            has = F.col("text").isNotNull() & (bits.bitwiseAND(F.lit(bit)) != 0)
+            counts.append(F.sum(F.when(has, F.col("n")).otherwise(0)).alias(name))
     found = {row["slot"]: row.asDict() for row in grouped.groupBy("slot").agg(*counts).collect()}
-    return {name: found.get(slot, {"distinct": 0}) for slot, name in enumerate(columns)}
+    nothing = {"present": 0, "distinct": 0}
+    rows = found.get(None, nothing)["present"]
+    return rows, {name: found.get(slot, nothing) for slot, name in enumerate(columns)}
 
 
-def _statistics(name: str, kind: str, shapes: bool) -> Column:
+def _extremes(name: str, kind: str) -> Column:
+    """Extremes and moments of a numeric column, extremes of a temporal one."""
     value = F.col(name)
-    fields = [F.count(value).alias("present")]
-    if kind in lt.NUMERIC_TYPES and shapes:
+    if kind in lt.NUMERIC_TYPES:
         number = value.cast("double")
-        fields += [
+        fields = [
             F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"),
             F.stddev_samp(number).alias("stddev"),
         ]
-    elif kind in lt.TEMPORAL_TYPES and shapes:
+    else:
         pattern = "yyyy-MM-dd" if kind == lt.DATE else "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-        fields += [
+        fields = [
             F.regexp_replace(F.date_format(end(value), pattern), r"\.000000$", "").alias(label)
             for end, label in ((F.min, "min"), (F.max, "max"))
         ]
@@ -123,25 +129,27 @@ def profile(
     """One profile row per column of ``df`` (schema ``types.PROFILE``).
 
     ``base_only`` stops after null, distinct, constant and empty, which is all that
-    classification and relationship detection read.  ``df`` is scanned several times: pass
+    classification and relationship detection read, and takes the first scan only.  ``df`` is scanned several times: pass
     a stored table, not an expensive query.
     """
     kinds = column_types(df)
     names = list(columns if columns is not None else df.columns)
     rows = 0
-    stats, values = {}, {}
+    stats: dict[str, dict] = {}
     for batch in batched(names, COLUMNS_PER_SCAN):
-        row = df.agg(
-            F.count("*").alias("*"), *[_statistics(n, kinds[n], not base_only) for n in batch]
-        ).first()
-        rows = row["*"]
-        stats.update({name: row[name] for name in batch})
-        used = [n for n in batch if row[n]["present"]]
-        if used:
-            values.update(_value_statistics(df, used, not base_only))
+        rows, found = _value_statistics(df, batch, not base_only)
+        stats.update(found)
 
     quartiles, outliers, top = {}, {}, {}
     if not base_only:
+        ordered = [
+            n for n in names
+            if kinds[n] in lt.NUMERIC_TYPES + lt.TEMPORAL_TYPES and stats[n]["present"]
+        ]
+        for batch in batched(ordered, COLUMNS_PER_SCAN):
+            row = df.agg(*[_extremes(n, kinds[n]) for n in batch]).first()
+            for n in batch:
+                stats[n].update(row[n].asDict())
         present = {
             n: stats[n]["present"]
             for n in names
@@ -154,14 +162,14 @@ def profile(
         few = [
             n
             for n in names
-            if kinds[n] == lt.STRING and stats[n]["present"] and values[n]["distinct"] <= FEW_VALUES
+            if kinds[n] == lt.STRING and stats[n]["present"] and stats[n]["distinct"] <= FEW_VALUES
         ]
         for batch in batched(few, COLUMNS_PER_SCAN):
             top.update(_top_values(df, list(batch)))
 
     records = []
     for position, name in enumerate(names):
-        found, kind = stats[name].asDict() | values.get(name, {}), kinds[name]
+        found, kind = stats[name], kinds[name]
         used = found["present"] > 0
         is_number, is_time, is_text = (
             used and kind in lt.NUMERIC_TYPES,

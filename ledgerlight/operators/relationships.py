@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ledgerlight import types as lt
 from ledgerlight.functions.numbers import percent_text
 from ledgerlight.operators.cells import KEY, cells
-from ledgerlight.operators.profile import profile as profile_table
-from ledgerlight.operators.semantics import DIMENSION, IDENTIFIER, KEY_ENDING, with_meaning
+from ledgerlight.operators.profile import column_types, profile as profile_table
+from ledgerlight.operators.semantics import DIMENSION, IDENTIFIER, KEY_ENDING, may_be_key, with_meaning
 from ledgerlight.session import durable, small_frame
 
 # What counts as evidence.
@@ -38,8 +38,14 @@ _FAMILY = {t: lt.type_family(t) for t in (
 
 
 def describe(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Base profile with role, for all columns of all tables."""
-    profiles = [profile_table(df, name, "clean", base_only=True) for name, df in tables.items()]
+    """Base profile with role, for every column that could take part in a relationship."""
+    profiles = [
+        profile_table(
+            df, name, "clean", [c for c, kind in column_types(df).items() if may_be_key(c, kind)],
+            base_only=True,
+        )
+        for name, df in tables.items()
+    ]
     return with_meaning(reduce(DataFrame.unionByName, profiles))
 
 
@@ -90,15 +96,15 @@ def measure_containment(tables: Mapping[str, DataFrame], pairs: DataFrame) -> Da
         | {(p.to_table, p.to_column, p.family) for p in wanted}
     )
     slots = {(table, column): slot for slot, (table, column, _) in enumerate(ends)}
-    by_scan: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for table, column, family in ends:
-        by_scan[table, family].append(column)
+    by_table: dict[str, list[str]] = defaultdict(list)
+    for table, column, _ in ends:
+        by_table[table].append(column)
 
+    families = F.array(*[F.lit(family) for _, _, family in ends])
     held = reduce(DataFrame.unionByName, [
         cells(_comparable(tables[table].select(*names)), [(slots[table, c], c) for c in names])
-        .withColumn("family", F.lit(family))
-        for (table, family), names in by_scan.items()
-    ])
+        for table, names in by_table.items()
+    ]).withColumn("family", F.element_at(families, F.col("slot") + 1))
     words = range((len(slots) + BITS - 1) // BITS)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot") % BITS)
     presence = held.groupBy("family", *KEY).agg(*[

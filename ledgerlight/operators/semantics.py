@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -48,6 +49,14 @@ def name_tag(name: Column) -> Column:
     ])
 
 
+def may_be_key(name: str, logical: str) -> bool:
+    """False for columns that no statistics could make an identifier or a dimension."""
+    if logical in lt.TEMPORAL_TYPES:
+        return False
+    words = "|".join("|".join(w.split()) for tag, w in NAME_TAGS if tag in KEY_TAGS)
+    return logical != lt.DECIMAL or bool(re.search(f"{KEY_ENDING}|(^|_)({words})", name))
+
+
 MEANING = ["table", "position", "column", "data_type", "role", "tags", "rationale"]
 
 
