@@ -97,7 +97,11 @@ def bounded_select(
 def run_bounded(
     spark: SparkSession, text: str, seconds: float = DEADLINE_SECONDS, **options
 ) -> list[Row]:
-    """Rows of ``bounded_select``, cancelled on the cluster once ``seconds`` have passed."""
+    """Rows of ``bounded_select``, cancelled on the cluster once ``seconds`` have passed.
+
+    The caller is released at once; tasks stop at their next check, so clusters should also
+    set ``spark.task.reaper.enabled`` to be rid of tasks caught in a tight loop.
+    """
     result = bounded_select(spark, text, **options)
     context, tag = spark.sparkContext, f"bounded-{uuid.uuid4().hex}"
     expired = threading.Event()
