@@ -21,6 +21,7 @@ LONG_TEXT_BYTES = 128
 LARGEST_EXACT_DOUBLE = 2.0**53
 _TYPES = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
 KEY = list(_TYPES)
+ROWS = -1
 
 
 def _key_fields(value: Column, dtype: T.DataType) -> dict[str, Column]:
@@ -54,7 +55,7 @@ def cells(
     """Non-null values of ``columns`` as rows ``slot, whole, real, moment, text``.
 
     ``columns`` pairs a slot number with a column name.  ``measures`` ride, under their
-    names, on one extra row per input row with a NULL slot, so that totals and distinct
+    names, on one extra row per input row in slot ``ROWS``, so that totals and distinct
     counts can share one scan.
     """
     measures = measures or {}
@@ -68,15 +69,13 @@ def cells(
         fields = _key_fields(value, df.schema[name].dataType)
         has_text = has_text or "text" in fields
         present = F.when(value.isNotNull(), F.lit(slot))
-        flat += [present, F.lit(True), *{**empty, **fields}.values(), *no_measures]
+        flat += [present, *{**empty, **fields}.values(), *no_measures]
     count = len(columns)
     if measures:
-        flat += [F.lit(None).cast("int"), F.lit(False), *empty.values(), *measures.values()]
+        flat += [F.lit(ROWS), *empty.values(), *measures.values()]
         count += 1
-    stacked = (
-        df.select(F.stack(F.lit(count), *flat).alias("slot", "is_cell", *KEY, *measures))
-        .where(F.col("slot").isNotNull() | ~F.col("is_cell"))
-        .drop("is_cell")
+    stacked = df.select(F.stack(F.lit(count), *flat).alias("slot", *KEY, *measures)).where(
+        F.col("slot").isNotNull()
     )
     return _shorten(stacked) if has_text else stacked
 

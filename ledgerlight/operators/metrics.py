@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ledgerlight.functions.numbers import finite, ratio
 from ledgerlight.functions.periods import truncate
-from ledgerlight.operators.cells import KEY, cells
+from ledgerlight.operators.cells import KEY, ROWS, cells
 from ledgerlight.operators.semantics import Shape
 
 MOST_GROUPS_SHOWN = 100
@@ -106,7 +106,7 @@ def _totals(df: DataFrame, shape: Shape) -> DataFrame:
     )
     slot = F.col("slot")
     return folded.agg(
-        F.coalesce(F.sum(F.when(slot.isNull(), F.col("n"))), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(slot == ROWS, F.col("n"))), F.lit(0)).alias("rows"),
         F.count_if(slot == 0).alias("customers"),
         F.count_if((slot == 0) & (F.col("n") > 1)).alias("repeat_customers"),
         F.count_if(slot == 1).alias("orders"),

@@ -1,6 +1,6 @@
 """Column profiles: about twenty statistics per column, for all columns together.
 
-The scans a profile needs do not depend on the number of columns:
+The scans a profile needs, for up to COLUMNS_PER_SCAN columns together:
 
 1. one shuffle of typed cells: counts, exact distinct counts, shapes of text values;
 2. one aggregate without shuffle: extremes and moments of numbers, extremes of dates;
@@ -21,14 +21,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlight import types as lt
 from ledgerlight.functions import text as tx
 from ledgerlight.functions.numbers import finite
-from ledgerlight.operators.cells import KEY, cells
+from ledgerlight.operators.cells import KEY, ROWS, cells
 from ledgerlight.operators.quantiles import exact_quantiles
 from ledgerlight.session import small_frame
 
 TOP_VALUES = 10
 FEW_VALUES = 50
 FENCE = 1.5
-COLUMNS_PER_SCAN = 100
+# Generated code for more columns at once grows beyond what the JVM compiles (measured); a
+# columnar table is still read once in all, as each scan reads its own columns only.
+COLUMNS_PER_SCAN = 20
 
 _SHAPES = {
     "blank": tx.BLANK, "token": tx.TOKEN, "padded": tx.PADDED, "number": tx.NUMBER,
@@ -62,7 +64,7 @@ def _value_statistics(
             counts.append(F.sum(F.when(has, F.col("n")).otherwise(0)).alias(name))
     found = {row["slot"]: row.asDict() for row in grouped.groupBy("slot").agg(*counts).collect()}
     nothing = {"present": 0, "distinct": 0}
-    rows = found.get(None, nothing)["present"]
+    rows = found.get(ROWS, nothing)["present"]
     return rows, {name: found.get(slot, nothing) for slot, name in enumerate(columns)}
 
 
@@ -215,11 +217,18 @@ def _derived(rows: DataFrame) -> DataFrame:
     }).select(*lt.PROFILE.fieldNames())
 
 
-def duplicate_rows(df: DataFrame) -> int:
-    """Rows that repeat an earlier row exactly.
+def duplicate_summary(df: DataFrame) -> DataFrame:
+    """One row ``rows, duplicate_rows``: all rows, and those that repeat an earlier one exactly.
 
     One grouping over whole rows: copies are folded before the shuffle, so however many
     copies a row has, each task sends it once.
     """
     copies = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
-    return copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("extra")).first()["extra"]
+    return copies.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
+    )
+
+
+def duplicate_rows(df: DataFrame) -> int:
+    return duplicate_summary(df).first()["duplicate_rows"]

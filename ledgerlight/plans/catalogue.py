@@ -198,10 +198,7 @@ def profile_top_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def duplicate_count(spark: SparkSession, folder: str) -> DataFrame:
-    df = exports.messy_sales(spark, folder)
-    return df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(
-        F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicate_rows")
-    )
+    return prof.duplicate_summary(exports.messy_sales(spark, folder))
 
 
 # ---------------------------------------------------------------- cleaning and quality
@@ -468,4 +465,4 @@ def pipeline_kpis(spark: SparkSession, folder: str) -> DataFrame:
         header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
     cleaned, analysed = run_pipeline(spark, path, table="messy_sales", location=place)
-    return analysed.kpis.select("key", _r("value", 2))
+    return analysed.kpis.select("key", _r("value", 4))

@@ -441,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
         "rfm_features": f"WITH {_RFM} SELECT customer, recency_days, frequency, round(monetary, 4) AS monetary, tenure_days FROM rfm",
         "churn_cutoff": f"WITH {_RFM} SELECT cutoff_days FROM cut",
         "churn_labels": f"WITH {_RFM} SELECT recency_days > cutoff_days AS lapsed, count(*) AS customers, max(recency_days) AS longest, min(recency_days) AS shortest FROM rfm, cut GROUP BY 1",
-        "pipeline_kpis": f"WITH {MESSY}, {CLEANED}, k AS ({_union(_kpis('cleaned', 'revenue', 'customer', 'order_no', places=2))}) SELECT key, value FROM k",
+        "pipeline_kpis": f"WITH {MESSY}, {CLEANED}, k AS ({_union(_kpis('cleaned', 'revenue', 'customer', 'order_no'))}) SELECT key, value FROM k",
     }
     for grain in ("day", "week"):
         found[f"timeseries_{grain}"] = _timeseries(grain, sales=False)
