@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import exact, packing, transducer
+from ledgerlight.llm import exact, minhash, mixing, packing, secrets, transducer
 from ledgerlight.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,61 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = secrets.scan(read(spark, folder, "documents"))
+    return scanned.select("doc_id", *secrets.summary(scanned))
+
+
+def _secrets_sql() -> str:
+    """Spans per rule from what lies between the matches; ``least`` as in the rules."""
+    parts = []
+    for number, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT row, {number} AS number, '{rule.kind}' AS kind,
+         regexp_split_to_array(t, '{pattern}') AS gaps,
+         regexp_extract_all(t, '{pattern}', 0) AS found,
+         regexp_extract_all(t, '{pattern}', {rule.group}) AS asked, {rule.least} AS least
+  FROM texts""")
+    base = len(secrets.BASE_RULES)
+    counts = ", ".join(
+        f"coalesce(count(*) FILTER (number = {n}), 0) AS n_{r.kind}" for n, r in enumerate(secrets.BASE_RULES)
+    )
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+matched AS ({" UNION ALL ".join(parts)}),
+numbered AS (
+  SELECT row, number, kind, gaps, found, least, asked, unnest(range(1, len(found) + 1)) AS i FROM matched
+), spans AS (
+  SELECT row, number, kind,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start,
+         length(found[i]) AS size
+  FROM numbered WHERE length(asked[i]) >= least
+), shown AS (
+  SELECT row, number, start::BIGINT AS start,
+         kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM spans
+), folded AS (
+  SELECT row, {counts},
+         string_agg(span, ',' ORDER BY start, number) FILTER (number < {base}) AS base,
+         string_agg(span, ',' ORDER BY start, number) AS spans
+  FROM shown GROUP BY row
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN folded USING (row)
+"""
+
+
+ORACLES["op1_secret_scan"] = _secrets_sql()
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.link_near_copies(read(spark, folder, "documents"), words=2)
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.mark_copies(read(spark, folder, "documents"))
@@ -49,3 +104,32 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     counted = transducer.count_tokens(read(spark, folder, "documents"), model)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Equal weights for all sources, as many rows as there are documents."""
+    return mixing.mix(read(spark, folder, "documents"))
+
+
+ORACLES["op7_mix_sources"] = f"""
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+  SELECT source, rate, greatest(1, ceil(rate / {mixing.PART}))::BIGINT AS parts
+  FROM (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes) * (SELECT sum(n) FROM sizes)::DOUBLE / n AS rate
+        FROM sizes)
+), cdf AS (
+  SELECT source, parts, rate / parts AS r, 0 AS k, exp(-rate / parts) AS p, exp(-rate / parts) AS edge FROM rates
+  UNION ALL
+  SELECT source, parts, r, k + 1, p * r / (k + 1), edge + p * r / (k + 1) FROM cdf WHERE k < {mixing.PART + mixing.TAIL}
+), edges AS (SELECT source, parts, list(edge ORDER BY k) AS edges FROM cdf GROUP BY source, parts),
+keyed AS (
+  SELECT d.*, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key, parts, edges
+  FROM documents d JOIN edges e ON d.source IS NOT DISTINCT FROM e.source
+), drawn AS (
+  SELECT *, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(edges, lambda e:
+      ('0x' || substr(md5('{mixing.SEED}|' || i || '|' || key), 1, 12))::BIGINT / {float(1 << 48)} >= e)))) AS copies
+  FROM keyed
+)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(0, copies::BIGINT)) AS copy FROM drawn
+"""
