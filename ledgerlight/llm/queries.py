@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import exact, minhash, mixing, packing, secrets, transducer
+from ledgerlight.llm import (
+    chat, exact, minhash, mixing, packing, quality, rules, secrets, transducer, warc,
+)
 from ledgerlight.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +101,16 @@ def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op5_quality_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    scored = quality.score(docs, quality.fit(docs, read(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -133,3 +145,44 @@ keyed AS (
 )
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, copies::BIGINT)) AS copy FROM drawn
 """
+
+
+@query
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = read(spark, folder, "labels").filter("quality = 1")
+    judged = rules.judge(read(spark, folder, "documents"), trusted)
+    return judged.select("doc_id", "n_words", *rules.COLUMNS, "base_failed", "kept", "log_ratio")
+
+
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.read_archives(warc.write_archives(read(spark, folder, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         list_aggregate(list_transform(string_split(sha1(coalesce(html, '')), ''),
+           lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS bits,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS full_id
+  FROM pages
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         list_sum(list_transform(range(0, 5), lambda k: substr(bits, 5 * i + k + 1, 1)::BIGINT * (16 >> k::INT)))::BIGINT
+           + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = full_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> full_id THEN full_id END AS refers_to
+FROM hashed
+"""
+
+
+@query
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one, numbered -7, whose texts hold control strings."""
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.digests(chat.format_turns(rows.unionByName(odd), tokenizer), tokenizer)
