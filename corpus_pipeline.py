@@ -1,6 +1,7 @@
 """From raw documents to packed training windows, in five stages.
 
-Each stage is written as Parquet into the shared folder and read again by the next one.
+Each stage works on what the one before it kept, written as Parquet into the shared folder and
+read again.  All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -8,25 +9,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import exact, packing
-from ledgerlight.llm.common import read, stored
+from ledgerlight.llm import exact, minhash, mixing, packing, quality
+from ledgerlight.llm.common import free_name, read, stored
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    name = free_name(docs, "_score")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, name).filter(F.col(name) >= quality.THRESHOLD).drop(name)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact.drop_copies(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts that share 0.8 of their five-word shingles stays."""
+    return minhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source gets the same share of as many rows as there are; documents repeat or go."""
+    return mixing.mix(docs, copy_column=None)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document's tokens lies in the training windows."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact_dedup", exact_dedup),
-    ("pack", pack),
+    ("quality_classifier", classify_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("minhash_near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("pack", pack_tokens),
 ]
 
 #: Learned scores, hash sketches and differencing have no SQL form.
@@ -36,6 +57,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

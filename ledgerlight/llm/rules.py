@@ -25,7 +25,7 @@ from ledgerlight.llm.common import free_name, text_of
 BUCKETS_LOG2 = 16
 BUCKETS = 1 << BUCKETS_LOG2
 #: Mean log ratio from which a document stays.
-THRESHOLD = -0.2
+THRESHOLD = -0.35
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: Trusted ids that are sent to every task; more of them are joined by a shuffle.
 MOST_SENT = 1_000_000
