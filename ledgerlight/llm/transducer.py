@@ -198,7 +198,7 @@ class Transducer:
         if one.end is None:
             return ChunkMap(one.head + two.head, two.end, two.count)
         state, count = self.run(one.end, two.head)
-        return ChunkMap(one.head, two.end or state, one.count + count + two.count)
+        return ChunkMap(one.head, state if two.end is None else two.end, one.count + count + two.count)
 
     def scan(self, maps: Sequence[ChunkMap]) -> list[ChunkMap]:
         """All prefixes of ``maps`` composed: pairs first, then the odd places between them."""
