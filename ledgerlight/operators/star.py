@@ -54,16 +54,25 @@ def star(fact: str, tables: Mapping[str, DataFrame], edges: DataFrame) -> DataFr
 
 
 def star_sql(fact: str, columns: Mapping[str, Iterable[str]], edges: DataFrame, database: str) -> str:
-    """The same as a SELECT over stored tables, for a catalog view that is never stale."""
-    shown = [f"f.{identifier(c)}" for c in columns[fact]]
-    clauses = [f"{identifier(database)}.{identifier(fact)} f"]
-    for number, join in enumerate(joins_for(fact, columns, edges)):
-        shown += [f"d{number}.{identifier(c)} AS {identifier(name)}" for c, name in join.columns]
-        clauses.append(
-            f"LEFT JOIN {database}.{identifier(join.dimension)} d{number} "
-            f"ON f.{identifier(join.fact_column)} = d{number}.{identifier(join.dimension_column)}"
+    """The same as a SELECT over stored tables, for a catalog view that is never stale.
+
+    Each dimension comes as a subselect that already has the star's names and a key column,
+    which the outer list leaves out.
+    """
+    joins = joins_for(fact, columns, edges)
+    left = f"{identifier(database)}.{identifier(fact)}"
+    text = f"{left} AS fact"
+    for number, join in enumerate(joins):
+        inner = ", ".join(
+            f"{identifier(c)} AS {identifier(name)}"
+            for c, name in [(join.dimension_column, f"__key_{number}"), *join.columns]
         )
-    return f"SELECT {', '.join(shown)} FROM {' '.join(clauses)}"
+        text += (
+            f" LEFT JOIN (SELECT {inner} FROM {identifier(database)}.{identifier(join.dimension)}) AS side_{number}"
+            f" ON fact.{identifier(join.fact_column)} = side_{number}.`__key_{number}`"
+        )
+    left_out = ", ".join(f"`__key_{number}`" for number in range(len(joins)))
+    return f"SELECT *{f' EXCEPT ({left_out})' if left_out else ''} FROM {text}"
 
 
 def table_roles(spark: SparkSession, tables: Iterable[str], edges: DataFrame) -> DataFrame:
