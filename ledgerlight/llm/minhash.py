@@ -8,8 +8,9 @@ grown to components by alternating large-star and small-star.
 
 A link between two classes neither of which was its bucket's anchor can still be missing.  So
 buckets that hold several components are gone through again, each with fresh anchors from outside
-its largest component, until a round finds no link.  No step lists the pairs of a bucket, and a
-bucket, class or component of any size is only ever folded or joined.
+its largest component, those first that came closest to another class, until a round finds no
+link.  No step lists the pairs of a bucket, and a bucket, class or component of any size is only
+ever folded or joined.
 
 Two documents are linked when intersection >= threshold * union of their sets.  With ``bands=40,
 rows=6`` a pair at 0.8 shares no bucket with probability 5e-6, and sketches of linked sets fall
@@ -21,6 +22,7 @@ document.  Null ids are never a component's name unless it has no other.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from ledgerlight.llm.components import components
 from ledgerlight.llm.shingles import Shingler, Sketcher
 
 WORDS, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 40, 6, 20240229
-#: Anchors of a bucket in each round after the first.
+#: Anchors of a bucket in each round after the first, at most.
 ANCHORS = 2
 #: Standard deviations by which a sketch may fall short of the threshold.
 SLACK = 3.8
@@ -89,26 +91,32 @@ def _agreeing(pairs: DataFrame, sketch: DataFrame, threshold: int, functions: in
     return map_batches(both.select("hub", "leaf", "hub_minima", "leaf_minima"), agree, "hub long, leaf long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold.  Rows come sorted by hub, whose set is kept."""
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Pairs with the similarity of their full sets, and whether it reaches the threshold.
+
+    Rows come sorted by hub, whose set is kept.
+    """
     shingler = Shingler(words)
 
     def compare(batch: pa.RecordBatch):
-        hubs, leaves, known, prints = [], [], None, None
-        for hub, leaf, hub_text, leaf_text in zip(*batch.columns):
+        linked, closeness, known, prints = [], [], None, None
+        for hub, hub_text, leaf_text in zip(batch.column(0).to_pylist(), *batch.columns[2:]):
             if known != hub:
                 known, prints = hub, shingler(hub_text.as_py())
             other = shingler(leaf_text.as_py())
             shared = len(np.intersect1d(prints, other, assume_unique=True))
-            if 100 * shared >= threshold * (len(prints) + len(other) - shared):
-                hubs.append(hub.as_py())
-                leaves.append(leaf.as_py())
-        return hubs, leaves
+            union = len(prints) + len(other) - shared
+            linked.append(100 * shared >= threshold * union)
+            closeness.append(shared / union)
+        return batch.column(0), batch.column(1), closeness, linked
 
     both = pairs
     for side in ("leaf", "hub"):
         both = both.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")), side)
-    return map_batches(both.select("hub", "leaf", "hub_text", "leaf_text"), compare, "hub long, leaf long")
+    return map_batches(
+        both.select("hub", "leaf", "hub_text", "leaf_text"), compare,
+        "hub long, leaf long, closeness double, linked boolean",
+    )
 
 
 def _same_size(one: str, two: str, threshold: int) -> Column:
@@ -132,40 +140,69 @@ def _class_components(
     keyed = docs.select(_row_key(id_column, text_column).alias("row_key"), text_of(text_column).alias("text"))
     texts = stored(keyed.dropDuplicates(["row_key"]).join(needed.select("node", "row_key"), "row_key").drop("row_key"))
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def compare(pairs: DataFrame) -> DataFrame:
         likely = _agreeing(pairs.distinct(), needed.select("node", "minima"), threshold, bands * rows)
-        return stored(_confirmed(likely, texts, words, threshold))
+        return stored(_compared(likely, texts, words, threshold))
 
-    found = links(
+    done = compare(
         shared.filter(F.col("node") != F.col("anchor.node"))
         .filter(_same_size("n_shingles", "anchor.n_shingles", threshold))
         .select(F.col("anchor.node").alias("hub"), F.col("node").alias("leaf"))
     )
-    labels = stored(components(found, "hub", "leaf"))
-    members = shared.drop("anchor")
-    for number in range(1, 1 << 30):
-        known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = known.groupBy("bucket", "component").agg(F.count("node").alias("size"))
-        main = sizes.groupBy("bucket").agg(
-            F.max(F.struct("size", "component"))["component"].alias("main"), F.count("component").alias("parts")
-        ).filter("parts > 1").drop("parts")
-        known = stored(known.join(main, "bucket"))
-        anchors = known.filter("component <> main").groupBy("bucket").agg(F.array_distinct(F.array(*[
-            F.min(F.struct(
-                F.xxhash64("bucket", "node", F.lit(number), F.lit(n)).alias("draw"), "node", "n_shingles", "component"
-            )) for n in range(ANCHORS)
-        ])).alias("anchors"))
-        pairs = (
-            known.join(anchors, "bucket").withColumn("anchor", F.explode("anchors"))
+    labels = components(done.filter("linked"), "hub", "leaf")
+    seen, used, members = done, None, shared.drop("anchor")
+    while True:
+        known = stored(_unresolved(members, _states(labels, seen, used)))
+        members = known.select("bucket", "node", "n_shingles")
+        anchors = stored(
+            known.filter((F.col("component") != F.col("main")) & ~F.col("used"))
+            .groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(ANCHORS)).alias("part"))
+            .agg(F.max(F.struct("closeness", "node", "n_shingles", "component")).alias("anchor"))
+        )
+        done = compare(
+            known.join(anchors, "bucket")
             .filter(F.col("component") != F.col("anchor.component"))
             .filter(_same_size("n_shingles", "anchor.n_shingles", threshold))
             .select(F.col("anchor.node").alias("hub"), F.col("node").alias("leaf"))
         )
-        more = links(pairs)
+        more = done.filter("linked").select("hub", "leaf")
         if more.isEmpty():
             return labels
-        edges = labels.select(F.col("node").alias("hub"), F.col("component").alias("leaf")).union(more)
-        labels = stored(components(edges, "hub", "leaf"))
+        labels = components(labels.select(F.col("node").alias("hub"), F.col("component").alias("leaf")).union(more), "hub", "leaf")
+        named = anchors.select("anchor.node")
+        used = named if used is None else used.union(named)
+        seen = seen.union(done)
+
+
+def _states(labels: DataFrame, seen: DataFrame, used: DataFrame | None) -> DataFrame:
+    """What is known of a node: its component, how close it came to another, whether it was an anchor."""
+    def rows(frame: DataFrame, node: str, component, closeness, was_used) -> DataFrame:
+        return frame.select(
+            F.col(node).alias("node"), component.cast("long").alias("component"),
+            closeness.cast("double").alias("closeness"), F.lit(was_used).alias("used"),
+        )
+
+    none, apart = F.lit(None), seen.filter("NOT linked")
+    parts = [rows(labels, "node", F.col("component"), none, False)]
+    parts += [rows(apart, side, none, F.col("closeness"), False) for side in ("hub", "leaf")]
+    if used is not None:
+        parts.append(rows(used, "node", none, none, True))
+    return reduce(DataFrame.union, parts).groupBy("node").agg(
+        F.max("component").alias("component"), F.max("closeness").alias("closeness"), F.max("used").alias("used")
+    )
+
+
+def _unresolved(members: DataFrame, states: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with the bucket's largest."""
+    known = members.join(states, "node", "left").select(
+        "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"),
+        F.coalesce("closeness", F.lit(0.0)).alias("closeness"), F.coalesce("used", F.lit(False)).alias("used"),
+    )
+    sizes = known.groupBy("bucket", "component").agg(F.count("node").alias("size"))
+    main = sizes.groupBy("bucket").agg(
+        F.max(F.struct("size", "component"))["component"].alias("main"), F.count("component").alias("parts")
+    ).filter("parts > 1").drop("parts")
+    return known.join(main, "bucket")
 
 
 def _resolved(
