@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ledgerlight.functions.text import with_shape
 
 LONG_TEXT_BYTES = 128
-LARGEST_EXACT_DOUBLE = 2.0**53
+END_OF_BIGINT = 2.0**63
 _TYPES = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
 KEY = list(_TYPES)
 ROWS = -1
@@ -34,13 +34,21 @@ def _key_fields(value: Column, dtype: T.DataType) -> dict[str, Column]:
     if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
         return {"moment": value.cast("timestamp_ntz")}
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        # One key per value: a bigint where it is one, else a double that gives the value back,
+        # else (long decimals) its digits without closing zeros.
         number = value.cast("double")
-        is_whole = (value == F.floor(value)) & (F.abs(number) <= LARGEST_EXACT_DOUBLE)
-        fields = {"whole": F.when(is_whole, value.try_cast("bigint"))}
-        if isinstance(dtype, T.DecimalType) and dtype.precision > 15:
-            fields["text"] = F.when(~is_whole, value.cast("string"))
-        else:
-            fields["real"] = F.when(is_whole, F.lit(None)).otherwise(number)
+        if not isinstance(dtype, T.DecimalType):
+            is_whole = (value == F.floor(value)) & (F.abs(number) < END_OF_BIGINT)
+            return {
+                "whole": F.when(is_whole, number.try_cast("bigint")),
+                "real": F.when(is_whole, F.lit(None)).otherwise(number),
+            }
+        whole = F.when(value == F.floor(value), value.try_cast("bigint"))
+        gives_back = number.try_cast(dtype) == value
+        fields = {"whole": whole, "real": F.when(whole.isNull() & gives_back, number)}
+        if dtype.precision > 15:
+            digits = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+            fields["text"] = F.when(whole.isNull() & ~F.coalesce(gives_back, F.lit(False)), digits)
         return fields
     if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
         return {"text": value}

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from ledgerlight.functions.numbers import normal_quantile, student_quantile
 from ledgerlight.functions.periods import step_ahead
@@ -80,9 +81,12 @@ def _names(ddl: str) -> list[str]:
 def _seasonal(
     points: DataFrame, keys: Sequence[str], horizon: int, confidence: float, season: int
 ) -> DataFrame:
-    """Seasonal smoothing; the interval grows with the square root of the distance."""
+    """Seasonal smoothing; the interval grows with the square root of the distance.
+
+    Only the values reach Python, so keys may have any name and type.
+    """
     spread = normal_quantile(0.5 + confidence / 2)
-    facts, fitted = _names(_FACTS), _names(_FITTED)
+    facts = _names(_FACTS)
     series = points.groupBy(*keys).agg(
         *_facts()[:-1],
         F.transform(F.array_sort(F.collect_list(F.struct("index", "value"))), lambda p: p["value"]).alias("values"),
@@ -96,22 +100,19 @@ def _seasonal(
 
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
-                record = row._asdict()
-                values = np.asarray(record.pop("values"), dtype=float)
-                ahead, errors = smooth(values, season, horizon)
+            for values in batch:
+                ahead, errors = smooth(np.asarray(values, dtype=float), season, horizon)
                 deviation = float(errors.std(ddof=1))
-                for step in range(1, horizon + 1):
-                    rows.append({
-                        **record, "step": step, "predicted": float(ahead[step - 1]),
-                        "margin": spread * deviation * step**0.5, "residual_sd": deviation,
-                    })
-            yield pd.DataFrame(rows, columns=[*keys, *facts, *fitted])
-
-    key_types = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
-    schema = ", ".join(filter(None, [key_types, _FACTS, _FITTED]))
+                rows.append([
+                    (step, float(ahead[step - 1]), spread * deviation * step**0.5, deviation)
+                    for step in range(1, horizon + 1)
+                ])
+            yield pd.Series(rows)
+
+    fitting = F.pandas_udf(fit, f"array<struct<{_FITTED.replace(' ', ':').replace(',:', ', ')}>>", PandasUDFType.SCALAR_ITER)
     return (
-        series.select(*keys, *facts, "values").mapInPandas(fit, schema)
+        series.withColumn("fitted", fitting("values"))
+        .select(*[F.col(f"`{k}`") for k in keys], *facts, F.inline("fitted"))
         .withColumn("method", F.lit("holt_winters"))
     )
 
@@ -125,7 +126,9 @@ def forecast(
     season_length: int = SEASON,
 ) -> DataFrame:
     """Future periods with value and interval; a series too short gives one refusal row."""
-    horizon = max(1, min(horizon, LONGEST_HORIZON))
+    horizon = max(1, horizon)
+    if horizon > LONGEST_HORIZON:
+        raise ValueError(f"a forecast reaches {LONGEST_HORIZON} periods at most, not {horizon}")
     if not keys:
         # A constant key, so that a method without any series to fit gives no row.
         one = series.withColumn("__series", F.lit(0))

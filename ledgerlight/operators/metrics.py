@@ -12,7 +12,6 @@ from ledgerlight.functions.periods import truncate
 from ledgerlight.operators.cells import KEY, ROWS, cells
 from ledgerlight.operators.semantics import Shape
 
-MOST_GROUPS_SHOWN = 100
 
 # Order in which metrics are shown.
 DISPLAY_ORDER = (
@@ -202,6 +201,6 @@ def breakdown(df: DataFrame, shape: Shape, dimension: str | None = None, limit:
         .groupBy(F.col(dimension).alias("label"))
         .agg(_measure(df, shape).alias("value"))
         .orderBy(F.desc_nulls_last("value"), "label")
-        .limit(max(1, min(limit, MOST_GROUPS_SHOWN)))
+        .limit(max(1, limit))
         .select(F.col("label").cast("string"), "value")
     )

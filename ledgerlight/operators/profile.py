@@ -152,13 +152,9 @@ def profile(
             row = df.agg(*[_extremes(n, kinds[n]) for n in batch]).first()
             for n in batch:
                 stats[n].update(row[n].asDict())
-        present = {
-            n: stats[n]["present"]
-            for n in names
-            if kinds[n] in lt.NUMERIC_TYPES and stats[n]["present"]
-        }
-        for batch in batched(present, COLUMNS_PER_SCAN):
-            some = exact_quantiles(df, {n: present[n] for n in batch}, (0.25, 0.5, 0.75))
+        numeric = [n for n in names if kinds[n] in lt.NUMERIC_TYPES and stats[n]["present"]]
+        for batch in batched(numeric, COLUMNS_PER_SCAN):
+            some = exact_quantiles(df, list(batch), (0.25, 0.5, 0.75))
             quartiles.update(some)
             outliers.update(_outliers(df, some))
         few = [

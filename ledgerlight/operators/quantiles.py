@@ -1,22 +1,22 @@
 """Exact quantiles of many numeric columns without sorting or gathering a whole column.
 
-Spark's exact ``percentile`` keeps a column's distinct values in one task.  That is fine
-while a column is known to be small; beyond ``ONE_TASK_VALUES`` each quantile is pinned
-down by narrowing: a mergeable sketch gives an interval that must hold it, one counting
+Spark's exact ``percentile`` keeps a column's distinct values in one task.  Here each quantile
+is pinned down by narrowing: a mergeable sketch gives an interval that must hold it, one counting
 scan verifies the interval and how many values lie below, and the step repeats inside the
-interval until what is left is small.  State per task and on the driver stays bounded, and
-neither skewed nor repeated values matter because interval ends are counted, not stored.
+interval until at most ``HELD_VALUES`` values are left.  State per task and on the driver stays
+bounded, and neither skewed nor repeated values matter because interval ends are counted, not
+stored.  NaN has no place in the order and is left out, like NULL.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-ONE_TASK_VALUES = 1_000_000
+HELD_VALUES = 10_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -38,48 +38,32 @@ class _Bracket:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    present: Mapping[str, int],
-    fractions: Sequence[float],
-    one_task_values: int | None = None,
+    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], held_values: int = HELD_VALUES
 ) -> dict[str, list[float | None]]:
-    """Continuous (interpolated) quantiles per column.
-
-    ``present`` gives the number of non-null values of each column, which decides how a
-    column is handled; columns without values give NULLs.
-    """
-    limit = ONE_TASK_VALUES if one_task_values is None else one_task_values
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in present])
-    found: dict[str, list[float | None]] = {c: [None] * len(fractions) for c in present}
-
-    small = [c for c, n in present.items() if 0 < n <= limit]
-    if small:
-        row = numbers.agg(
-            *[F.percentile(c, F.array(*map(F.lit, fractions))).alias(c) for c in small]
-        ).first()
-        found.update({c: list(row[c]) for c in small})
-
-    large = [c for c, n in present.items() if n > limit]
-    if large:
-        ranks = {
-            (c, i): (math.floor(f * (present[c] - 1)), math.ceil(f * (present[c] - 1)))
-            for c in large
-            for i, f in enumerate(fractions)
-        }
-        values = _select_ranks(numbers.select(*large), {c: present[c] for c in large}, ranks, limit)
-        for (c, i), (low, high) in values.items():
-            share = fractions[i] * (present[c] - 1) % 1
-            found[c][i] = low + (high - low) * share if share else low
+    """Continuous (interpolated) quantiles per column; NULLs for columns without values."""
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    found: dict[str, list[float | None]] = {c: [None] * len(fractions) for c in columns}
+    if not columns:
+        return found
+    ends = numbers.agg(*[
+        F.struct(F.count(c).alias("size"), F.min(c).alias("low"), F.max(c).alias("high")) for c in columns
+    ]).first()
+    seen = {c: end for c, end in zip(columns, ends) if end["size"]}
+    ranks = {
+        (c, i): (math.floor(f * (end["size"] - 1)), math.ceil(f * (end["size"] - 1)))
+        for c, end in seen.items()
+        for i, f in enumerate(fractions)
+    }
+    for (c, i), (low, high) in _select_ranks(numbers.select(*seen), seen, ranks, held_values).items():
+        share = fractions[i] * (seen[c]["size"] - 1) % 1
+        found[c][i] = low + (high - low) * share if share else low
     return found
 
 
-def _select_ranks(df, sizes, ranks, limit):
-    ends = df.agg(
-        *[F.min(c).alias(f"{c}/min") for c in sizes], *[F.max(c).alias(f"{c}/max") for c in sizes]
-    ).first()
+def _select_ranks(df, ends, ranks, limit):
     done: dict = {}
     open_ = {
-        key: _Bracket(key[0], first, last, ends[f"{key[0]}/min"], ends[f"{key[0]}/max"], 0, sizes[key[0]])
+        key: _Bracket(key[0], first, last, ends[key[0]]["low"], ends[key[0]]["high"], 0, ends[key[0]]["size"])
         for key, (first, last) in ranks.items()
     }
     while open_:

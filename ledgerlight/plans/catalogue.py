@@ -38,8 +38,6 @@ CONFIRMED = {
     ("sales", "customer_id", "customers", "customer_id"): True,
     ("sales", "product_id", "products", "product_id"): True,
 }
-# Fewer than 24 months of sales, so that the linear method applies.
-RECENT = "2000-01-01"
 
 
 def query(function: Query) -> Query:
@@ -377,10 +375,6 @@ def star_columns(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- predictions
 
 
-def _recent(spark: SparkSession, folder: str) -> DataFrame:
-    return exports.sales(spark, folder).where(F.col("order_date") >= F.lit(RECENT).cast("timestamp_ntz"))
-
-
 def _outlook(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.select(
         *keys, _stamp("period"), _r("value", 2), _r("lower", 2), _r("upper", 2), "method",
@@ -390,13 +384,14 @@ def _outlook(frame: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def forecast_linear(spark: SparkSession, folder: str) -> DataFrame:
-    series = metrics.period_totals(_recent(spark, folder), SALES_SHAPE)
+    """All sales by year: few enough periods for the straight trend."""
+    series = metrics.period_totals(exports.sales(spark, folder), SALES_SHAPE, "year")
     return _outlook(outlook.forecast(series, horizon=6))
 
 
 @query
 def forecast_linear_by_status(spark: SparkSession, folder: str) -> DataFrame:
-    series = metrics.period_totals(_recent(spark, folder), SALES_SHAPE, keys=["status"])
+    series = metrics.period_totals(exports.sales(spark, folder), SALES_SHAPE, "year", keys=["status"])
     return _outlook(outlook.forecast(series, ["status"], horizon=6), "status")
 
 

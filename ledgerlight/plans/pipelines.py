@@ -68,10 +68,12 @@ def analyse_table(warehouse: Warehouse, table: str, profile_rows: DataFrame | No
     return Analysed(semantics, shape, kpis(df, shape, warehouse.name(CLEAN, table)))
 
 
-def ingest(spark: SparkSession, warehouse: Warehouse, path: str, table: str | None = None) -> str:
+def ingest(
+    spark: SparkSession, warehouse: Warehouse, path: str, table: str | None = None, multi_line: bool | None = None
+) -> str:
     """Store a delimited file as a raw table; repeating it replaces the table."""
     name = table or table_slug(path)
-    warehouse.write(RAW, name, read_delimited(spark, path))
+    warehouse.write(RAW, name, read_delimited(spark, path, multi_line))
     return name
 
 
@@ -81,10 +83,11 @@ def run_pipeline(
     table: str | None = None,
     deduplicate: bool = True,
     location: str | None = None,
+    multi_line: bool | None = None,
 ) -> tuple[Cleaned, Analysed]:
     """File to raw table, clean table, semantics and metrics."""
     warehouse = Warehouse(spark, location)
-    name = ingest(spark, warehouse, path, table)
+    name = ingest(spark, warehouse, path, table, multi_line)
     cleaned = clean_table(warehouse, name, deduplicate)
     return cleaned, analyse_table(warehouse, name, cleaned.profile)
 

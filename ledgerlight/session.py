@@ -6,6 +6,7 @@ DataFrames.  ``local_session`` is for tests, the bench and notebooks.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -44,21 +45,32 @@ def small_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructT
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach, under ``spark.checkpoint.dir`` if that is set."""
+class NoSharedFolder(RuntimeError):
+    """The session names no folder that all executors can reach."""
+
+
+def _base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where all of Spark is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="ledgerlight-")
-    return f"{base.rstrip('/')}/ledgerlight-{uuid.uuid4().hex}"
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors can reach")
+        base = tempfile.mkdtemp(prefix="ledgerlight-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder every executor can reach, under ``spark.checkpoint.dir``."""
+    return f"{_base(spark).rstrip('/')}/ledgerlight-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint a frame that several jobs will read, so a lost executor costs one read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) is a temporary folder used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ledgerlight-"))
+        context.setCheckpointDir(_base(df.sparkSession))
     return df.checkpoint()

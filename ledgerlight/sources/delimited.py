@@ -1,22 +1,21 @@
-"""Delimited files: schema from a bounded sample, then one distributed read.
+"""Delimited files: types from all rows in one distributed aggregate, then one distributed read.
 
-Types are decided on the first rows only; a later cell that does not fit becomes NULL, and
-``unreadable_cells`` counts those.  Cells are read as text and cast with the shape-checked
-casts, so one bad row never fails a load.
+A column gets the narrowest type that every cell of it fits, and stays text if there is none, so
+no cell is lost.  Cells are read as text and cast with the shape-checked casts.  Line breaks inside
+quotes are looked for, and a file that has some is read record by record instead of line by line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerlight import types as lt
 from ledgerlight.functions import text as tx
 from ledgerlight.session import small_frame
 from ledgerlight.sources.naming import header_names, separator_for
 
-SAMPLE_ROWS = 10_000
 SAMPLE_VALUES = 5
 LONGEST_HEADER = 300
 
@@ -82,41 +81,37 @@ def _infer(sample: DataFrame) -> list[str]:
     ]
 
 
-def _sample_types(spark: SparkSession, cells: DataFrame, rows: int) -> list[str]:
-    # head() reads only as many splits as the sample needs, however large the file is.
-    sample = cells.head(rows)
-    return _infer(small_frame(spark, sample, cells.schema))
+def breaks_inside_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line leaves a quote open; stops at the first one found."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
-def read_delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The whole file with normalised names and inferred types.
-
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
-    """
+def _read(spark: SparkSession, path: str, multi_line: bool | None, rows: int | None) -> DataFrame:
+    if multi_line is None:
+        multi_line = breaks_inside_quotes(spark, path)
     headers, cells = _read_text(spark, path, multi_line)
-    kinds = _sample_types(spark, cells, SAMPLE_ROWS)
+    if rows is not None:
+        cells = cells.limit(rows)
+    kinds = _infer(cells)
     return cells.select(*[
         _cast(F.col(c), kind).cast(_SQL_TYPES[kind]).alias(name, metadata={"header": header[:LONGEST_HEADER]})
         for c, kind, name, header in zip(cells.columns, kinds, header_names(headers), headers)
     ])
 
 
-def read_sample(
-    spark: SparkSession, path: str, rows: int = SAMPLE_ROWS, multi_line: bool = False
-) -> DataFrame:
-    """The first ``rows`` rows, typed from themselves."""
-    return read_delimited(spark, path, multi_line).limit(rows)
+def read_delimited(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """The whole file with normalised names and inferred types.
 
+    ``multi_line`` reads line breaks inside quotes, at the price of one task per file; None
+    finds out whether there are any.
+    """
+    return _read(spark, path, multi_line, None)
 
-def unreadable_cells(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """``column, cells``: cells with text that the column's type could not take."""
-    headers, cells = _read_text(spark, path, multi_line)
-    kinds = _sample_types(spark, cells, SAMPLE_ROWS)
-    counts = [
-        F.struct(F.lit(name).alias("column"), F.count_if(F.col(c).isNotNull() & _cast(F.col(c), kind).isNull()).alias("cells"))
-        for c, kind, name in zip(cells.columns, kinds, header_names(headers))
-    ]
-    return cells.agg(F.array(*counts).alias("found")).select(F.inline("found"))
+
+def read_sample(spark: SparkSession, path: str, rows: int, multi_line: bool | None = None) -> DataFrame:
+    """The first ``rows`` rows, typed from themselves."""
+    return _read(spark, path, multi_line, rows)
 
 
 def detect_schema(df: DataFrame) -> DataFrame:
@@ -138,14 +133,23 @@ def detect_schema(df: DataFrame) -> DataFrame:
 
 
 def _samples(df: DataFrame) -> list[list[str]]:
-    """First non-null values per column; only sparse columns need a look beyond the head."""
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    """First non-null values per column; sparse columns share one look beyond the head."""
+    texts = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])
     head = texts.head(100)
     found: Sequence[list[str]] = [
         [row[i] for row in head if row[i] is not None][:SAMPLE_VALUES] for i in range(len(df.columns))
     ]
-    if len(head) == 100:
-        for i, name in enumerate(df.columns):
-            if len(found[i]) < SAMPLE_VALUES:
-                found[i] = [r[0] for r in texts.select(name).where(F.col(name).isNotNull()).head(SAMPLE_VALUES)]
+    sparse = [i for i, values in enumerate(found) if len(values) < SAMPLE_VALUES] if len(head) == 100 else []
+    if sparse:
+        # Spark limits each task to its first rows of a slot before they are shuffled
+        order = Window.partitionBy("slot").orderBy("place")
+        firsts = (
+            texts.withColumn("place", F.monotonically_increasing_id())
+            .select("place", F.posexplode(F.array(*[f"c{i}" for i in sparse])).alias("slot", "value"))
+            .where(F.col("value").isNotNull())
+            .withColumn("number", F.row_number().over(order)).where(F.col("number") <= SAMPLE_VALUES)
+        )
+        for row in firsts.orderBy("slot", "number").collect():
+            i = sparse[row["slot"]]
+            found[i] = [*(found[i] if row["number"] > 1 else []), row["value"]]
     return list(found)

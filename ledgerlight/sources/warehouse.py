@@ -11,7 +11,6 @@ from ledgerlight.operators.star import star_sql
 from ledgerlight.sources.naming import identifier
 
 RAW, CLEAN, STAR = "raw", "clean", "star"
-LONGEST_PREVIEW = 1000
 
 
 def preview(
@@ -19,7 +18,7 @@ def preview(
 ) -> DataFrame:
     """A page of rows; give ``order_by`` to make pages repeatable."""
     page = df.orderBy(*order_by) if order_by else df
-    return page.offset(max(0, offset)).limit(max(1, min(limit, LONGEST_PREVIEW)))
+    return page.offset(max(0, offset)).limit(max(1, limit))
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

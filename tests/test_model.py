@@ -149,3 +149,14 @@ def test_star_views_come_and_go(spark, tables, confirmed):
     assert not store.exists("star", "orders")
     for name in tables:
         store.drop(name)
+
+
+def test_equal_numbers_of_different_types_share_a_key(spark):
+    from ledgerlight.operators import cells
+
+    df = spark.sql("""SELECT * FROM VALUES
+        (9007199254740993L, CAST(9007199254740993 AS DECIMAL(20,0)), CAST(1.50 AS DECIMAL(18,2)), CAST(1.5 AS DECIMAL(10,1)), 1.5D),
+        (7L, CAST(7 AS DECIMAL(20,0)), CAST(0.10 AS DECIMAL(18,2)), CAST(0.1 AS DECIMAL(10,1)), 0.1D) AS t(a, b, c, d, e)""")
+    keyed = cells.cells(df, list(enumerate(df.columns))).collect()
+    keys = [{tuple(r)[1:5] for r in keyed if r["slot"] == n} for n in range(5)]
+    assert keys[0] == keys[1] and keys[2] == keys[3] == keys[4]

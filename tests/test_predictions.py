@@ -56,9 +56,11 @@ def test_values_stay_above_zero_unless_allowed(spark):
 
 def test_horizon_and_volatility(spark):
     wild = series(spark, [10, 90, 15, 85, 20, 95])
-    rows = outlook.forecast(wild, horizon=99).collect()
+    rows = outlook.forecast(wild, horizon=24).collect()
     assert len(rows) == 24 and rows[0]["noise_ratio"] > 0.5 and "Volatile" in rows[0]["rationale"]
     assert outlook.forecast(wild, horizon=0).count() == 1
+    with pytest.raises(ValueError):
+        outlook.forecast(wild, horizon=25)
 
 
 def test_month_ends_and_weeks(spark):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -25,11 +26,20 @@ def test_quantiles_do_not_depend_on_how_they_are_found(spark, limit):
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(5)
     columns = {c: [r[i] for r in rows if r[i] is not None] for i, c in enumerate("abcde")}
     fractions = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    found = exact_quantiles(df, {c: len(v) for c, v in columns.items()}, fractions, limit)
+    found = exact_quantiles(df, list(columns), fractions, limit)
     for name, values in columns.items():
         assert found[name] == pytest.approx(list(np.quantile(values, fractions)), rel=1e-12)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.4, 0.6, 1.0])
+def test_quantiles_with_nan_end_and_leave_it_out(spark, share):
+    rows = [(math.nan if i < 1000 * share else float(i % 37),) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double")
+    values = [v for (v,) in rows if not math.isnan(v)]
+    found = exact_quantiles(df, ["a"], (0.25, 0.5, 0.75), held_values=1)["a"]
+    assert found == (pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75]))) if values else [None] * 3)
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
     rows = [

@@ -59,14 +59,17 @@ def test_tab_separated_ragged_and_duplicate_headers(spark, write_file):
 
 def test_line_breaks_inside_quotes(spark, write_file):
     path = write_file("x.csv", 'a,b\n1,"two\nlines"\n')
-    assert delimited.read_delimited(spark, path, multi_line=True).collect()[0]["b"] == "two\nlines"
+    for how in (True, None):
+        assert [tuple(r) for r in delimited.read_delimited(spark, path, how).collect()] == [(1, "two\nlines")]
+    assert not delimited.breaks_inside_quotes(spark, write_file("y.csv", 'a,b\n1,"say ""so"", x"\n'))
 
 
-def test_late_misfits_become_null_and_are_counted(spark, write_file, monkeypatch):
-    monkeypatch.setattr(delimited, "SAMPLE_ROWS", 2)
-    path = write_file("x.csv", "a,b\n1,x\n2,y\noops,z\n")
-    assert [r["a"] for r in delimited.read_delimited(spark, path).collect()] == [1, 2, None]
-    assert {r["column"]: r["cells"] for r in delimited.unreadable_cells(spark, path).collect()} == {"a": 1, "b": 0}
+def test_a_misfit_in_the_last_row_keeps_the_column_text(spark, write_file):
+    path = write_file("x.csv", "a,b\n" + "".join(f"{n},{n}\n" for n in range(12_000)) + "A-0,7\n")
+    read = delimited.read_delimited(spark, path)
+    assert dict(read.dtypes) == {"a": "string", "b": "bigint"}
+    assert read.where("a IS NULL").count() == 0 and read.count() == 12_001
+    assert dict(delimited.read_sample(spark, path, rows=50).dtypes)["a"] == "bigint"
 
 
 def test_empty_file(spark, write_file):
