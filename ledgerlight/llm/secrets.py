@@ -134,8 +134,11 @@ def row_key(id_column: str, text_column: str) -> Column:
 
 def postings(docs: DataFrame, grams: Sequence[str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The inverted index: (gram, row_key) for each row whose text holds the trigram in any case."""
-    folded = F.lower(text_of(text_column))
-    held = F.array(*[F.when(F.contains(folded, F.lit(gram)), F.lit(gram)) for gram in grams])
+    # the lambda's argument is worked out once for all trigrams
+    held = F.element_at(F.transform(
+        F.array(F.lower(text_of(text_column))),
+        lambda folded: F.array(*[F.when(F.contains(folded, F.lit(gram)), F.lit(gram)) for gram in grams]),
+    ), 1)
     return docs.select(
         F.explode(F.array_compact(held)).alias("gram"), row_key(id_column, text_column).alias("row_key")
     )
