@@ -51,8 +51,8 @@ class Churn:
 def rfm(df: DataFrame, shape: Shape) -> DataFrame:
     """``customer, recency_days, frequency, monetary, tenure_days, as_of``, a row per customer.
 
-    One grouping on the customer, folded per task first.  "Now" is the newest date in the
-    data, read by a scalar subquery over that column alone.
+    One grouping on the customer, folded per task first and checkpointed.  "Now" is the
+    newest date among the customers' last ones, so the input is read once.
     """
     if shape.customer is None or shape.time is None:
         raise ValueError("churn needs a customer column and a date column")
@@ -63,14 +63,12 @@ def rfm(df: DataFrame, shape: Shape) -> DataFrame:
         F.coalesce(amount, F.lit(0.0)).alias("amount"),
     ).where(F.col("customer").isNotNull() & F.col("at").isNotNull())
     days = lambda late, early: F.extract(F.lit("DAY"), late - early).cast("bigint")
-    newest = rows.agg(F.max("at")).scalar()
+    grouped = durable(rows.groupBy("customer").agg(
+        F.max("at").alias("last"), F.min("at").alias("first"),
+        F.count("*").alias("frequency"), F.sum("amount").alias("monetary"),
+    ))
     return (
-        rows.groupBy("customer")
-        .agg(
-            F.max("at").alias("last"), F.min("at").alias("first"),
-            F.count("*").alias("frequency"), F.sum("amount").alias("monetary"),
-        )
-        .withColumn("as_of", newest)
+        grouped.withColumn("as_of", grouped.agg(F.max("last")).scalar())
         .select(
             "customer", days(F.col("as_of"), F.col("last")).alias("recency_days"), "frequency",
             "monetary", days(F.col("last"), F.col("first")).alias("tenure_days"), "as_of",
@@ -98,7 +96,7 @@ def churn(df: DataFrame, shape: Shape) -> Churn:
     row per customer reaches the fit, which runs distributed; the driver sees totals and
     coefficients.
     """
-    features = durable(rfm(df, shape))
+    features = rfm(df, shape)
     cutoff = lapse_cutoff(features).first()["cutoff_days"]
     lapsed = (F.col("recency_days") > F.lit(cutoff)).cast("double")
     facts = features.agg(

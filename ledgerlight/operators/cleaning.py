@@ -75,9 +75,7 @@ def is_noop(plan: DataFrame) -> bool:
 
 
 def cleaned(value: Column, actions: Sequence[str]) -> Column:
-    """Apply a column's actions in their fixed order: trim, placeholders, one conversion."""
-    if TRIM in actions:
-        value = tx.trim_spaces(value)
+    """A trimmed column's other actions in their fixed order: placeholders, one conversion."""
     if NULLIFY in actions:
         value = F.when(~tx.is_null_token(value), value)
     for action, convert in ((BOOLEAN, tx.to_boolean), (DATE, tx.to_date), (NUMBER, tx.to_number)):
@@ -89,5 +87,9 @@ def cleaned(value: Column, actions: Sequence[str]) -> Column:
 def clean(df: DataFrame, plan: DataFrame) -> DataFrame:
     """Lazy cleaned frame: one projection, then DISTINCT if the plan asks for it."""
     planned = {row["column"]: row["actions"] for row in plan.collect()}
-    projected = df.select(*[cleaned(F.col(c), planned.get(c, ())).alias(c) for c in df.columns])
+    # Trimmed values are named first, as each is asked for several times afterwards.
+    trimmed = df.select(*[
+        (tx.trim_spaces(F.col(c)) if TRIM in planned.get(c, ()) else F.col(c)).alias(c) for c in df.columns
+    ])
+    projected = trimmed.select(*[cleaned(F.col(c), planned.get(c, ())).alias(c) for c in df.columns])
     return projected.distinct() if DEDUPLICATE in planned.get(None, ()) else projected

@@ -7,11 +7,12 @@ long ones get seasonal smoothing, the one place where a Python function runs in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 
 from ledgerlight.functions.numbers import normal_quantile, student_quantile
 from ledgerlight.functions.periods import step_ahead
@@ -94,10 +95,7 @@ def _seasonal(
 
     smooth = smoothing.holt_winters
 
-    def fit(batches):
-        import numpy as np
-        import pandas as pd
-
+    def fit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             rows = []
             for values in batch:
@@ -109,7 +107,7 @@ def _seasonal(
                 ])
             yield pd.Series(rows)
 
-    fitting = F.pandas_udf(fit, f"array<struct<{_FITTED.replace(' ', ':').replace(',:', ', ')}>>", PandasUDFType.SCALAR_ITER)
+    fitting = F.pandas_udf(fit, f"array<struct<{_FITTED.replace(' ', ':').replace(',:', ', ')}>>")
     return (
         series.withColumn("fitted", fitting("values"))
         .select(*[F.col(f"`{k}`") for k in keys], *facts, F.inline("fitted"))

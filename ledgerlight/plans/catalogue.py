@@ -17,7 +17,7 @@ from ledgerlight.operators import (
 )
 from ledgerlight.operators.semantics import Shape
 from ledgerlight.plans import exports
-from ledgerlight.plans.pipelines import run_pipeline
+from ledgerlight.plans.pipelines import build_model, propose_model, run_pipeline
 from ledgerlight.session import shared_folder, small_frame
 from ledgerlight.types import EDGES
 from ledgerlight.sources import bounded_sql, delimited, naming, warehouse
@@ -110,6 +110,22 @@ def scan_delimited(spark: SparkSession, folder: str) -> DataFrame:
     return read.withColumn("order_date", _stamp("order_date"))
 
 
+@query
+def scan_delimited_odd(spark: SparkSession, folder: str) -> DataFrame:
+    """Line breaks inside quotes, and one cell among all rows that is no number."""
+    path = shared_folder(spark) + ".csv"
+    orders = exports.load(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    orders.select(
+        F.when(key == last, F.concat(F.lit("A-"), key.cast("string"))).otherwise(key.cast("string")).alias("Order ID"),
+        F.when(key % 7 == 0, F.concat(F.lit("two\nlines, \"quoted\" "), "o_orderpriority"))
+        .otherwise(F.col("o_orderpriority")).alias("Note"),
+        F.col("o_custkey").alias("Customer"),
+    ).write.options(header=True, escape='"').csv(path)
+    return delimited.read_delimited(spark, path)
+
+
 @query
 def detect_schema(spark: SparkSession, folder: str) -> DataFrame:
     read = delimited.read_delimited(spark, _orders_as_file(spark, folder))
@@ -369,7 +385,34 @@ def table_roles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def star_columns(spark: SparkSession, folder: str) -> DataFrame:
-    return stars.star_columns("sales", _tables(spark, folder), _confirmed(spark))
+    """What detected and confirmed edges add to the fact, and how often each column is filled."""
+    tables = _tables(spark, folder)
+    edges = rel.decide(rel.detect(tables), CONFIRMED)
+    described = stars.star_columns("sales", tables, edges)
+    names = [row["column"] for row in described.collect()]
+    counts = stars.star("sales", tables, edges).agg(
+        F.array(*[F.struct(F.lit(n).alias("column"), F.count(n).alias("filled")) for n in names]).alias("counts")
+    )
+    return described.join(counts.select(F.inline("counts")), "column")
+
+
+@query
+def model_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables stored, edges proposed and decided, star views rebuilt, and the star read back."""
+    store = warehouse.Warehouse(spark, shared_folder(spark))
+    names = {name: f"job_{name}" for name in ("sales", "customers", "products")}
+    for name, frame in _tables(spark, folder).items():
+        store.write(warehouse.CLEAN, names[name], frame)
+    decisions = {
+        (names[a], b, names[c], d): answer for (a, b, c, d), answer in CONFIRMED.items()
+    }
+    edges = rel.decide(propose_model(store, list(names.values())), decisions)
+    build_model(store, list(names.values()), edges)
+    star = spark.table(store.target(names["sales"]))
+    return star.groupBy(
+        F.col("job_customers_segment").alias("customers_segment"),
+        F.col("job_products_category").alias("products_category"),
+    ).agg(F.count("*").alias("rows"), F.round(F.sum("revenue"), 4).alias("revenue"))
 
 
 # ---------------------------------------------------------------- predictions
@@ -395,6 +438,18 @@ def forecast_linear_by_status(spark: SparkSession, folder: str) -> DataFrame:
     return _outlook(outlook.forecast(series, ["status"], horizon=6), "status")
 
 
+@query
+def forecast_seasonal_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """The seasonal branch, all sales by month: periods, and band widths against the first."""
+    series = metrics.period_totals(exports.sales(spark, folder), SALES_SHAPE)
+    rows = outlook.forecast(series, horizon=6, allow_negative=True)
+    first = F.min(F.struct("period", (F.col("upper") - F.col("lower")).alias("width")))
+    return rows.join(rows.agg(first.alias("first"))).select(
+        _stamp("period"), "method", "history_points",
+        _r(((F.col("upper") - F.col("lower")) / F.col("first.width")).alias("width_ratio"), 4).alias("width_ratio"),
+    )
+
+
 @query
 def forecast_seasonal(spark: SparkSession, folder: str) -> DataFrame:
     series = metrics.period_totals(exports.sales(spark, folder), SALES_SHAPE)

@@ -213,6 +213,7 @@ _EVENT_TYPES = {
     "event_id": "integer", "ts": "timestamp", "user_id": "integer", "event_type": "string",
     "value": "decimal", "props": "string",
 }
+# The words of column names by tag.
 _TAGS = (
     ("discount", "discount|markdown|rebate"), ("cost", "cost|cogs|expense|spend"),
     ("rating", "rating|score|nps|satisfaction"),
@@ -323,6 +324,12 @@ def _edges() -> str:
         PARTITION BY from_table, from_column ORDER BY confidence DESC, name_match DESC, to_table, to_column) = 1)"""
 
 
+_STAR_COLUMNS = {
+    "customers": {"customer_name": "string", "segment": "string", "nation_id": "integer", "balance": "decimal"},
+    "products": {
+        "product_name": "string", "brand": "string", "category": "string", "size": "integer", "list_price": "decimal",
+    },
+}
 _STAR = """star AS (
     SELECT s.*, c.customer_name AS customers_customer_name, c.segment AS customers_segment,
         c.nation_id AS customers_nation_id, c.balance AS customers_balance,
@@ -436,12 +443,19 @@ def oracle_sql() -> dict[str, str]:
         "star_reconcile": f"{star} SELECT customers_segment, products_category, count(*) AS rows, round(sum(revenue), 4) AS revenue FROM star GROUP BY 1, 2",
         "table_roles": """SELECT 'sales' AS "table", 'fact' AS role, count(*) AS rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
             UNION ALL SELECT 'customers', 'dimension', count(*) FROM customer UNION ALL SELECT 'products', 'dimension', count(*) FROM part""",
-        "star_columns": """SELECT * FROM (VALUES
-            ('customers_customer_name', 'string, from customers via customer_id'), ('customers_segment', 'string, from customers via customer_id'),
-            ('customers_nation_id', 'integer, from customers via customer_id'), ('customers_balance', 'decimal, from customers via customer_id'),
-            ('products_product_name', 'string, from products via product_id'), ('products_brand', 'string, from products via product_id'),
-            ('products_category', 'string, from products via product_id'), ('products_size', 'integer, from products via product_id'),
-            ('products_list_price', 'decimal, from products via product_id')) AS t("column", description)""",
+        "star_columns": f"{star} " + _union(
+            f"SELECT '{t}_{c}' AS \"column\", '{kind}, from {t} via {t[:-1]}_id' AS description, count({t}_{c}) AS filled FROM star"
+            for t, columns in _STAR_COLUMNS.items() for c, kind in columns.items()
+        ),
+        "model_job": f"{star} SELECT customers_segment, products_category, count(*) AS rows, round(sum(revenue), 4) AS revenue FROM star GROUP BY 1, 2",
+        "forecast_seasonal_bands": f"""WITH {SALES}, s AS (SELECT max(date_trunc('month', order_date)) AS last,
+            count(DISTINCT date_trunc('month', order_date)) AS n FROM sales)
+            SELECT strftime(last + to_months(CAST(h AS INTEGER)), '%Y-%m-%d') AS period, 'holt_winters' AS method,
+            n AS history_points, round(sqrt(h), 4) AS width_ratio FROM s, range(1, 7) AS steps(h)""",
+        "scan_delimited_odd": """SELECT CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'A-' || o_orderkey
+            ELSE o_orderkey::VARCHAR END AS order_id,
+            CASE WHEN o_orderkey % 7 = 0 THEN 'two' || chr(10) || 'lines, "quoted" ' ELSE '' END || o_orderpriority AS note,
+            o_custkey AS customer FROM orders""",
         "forecast_linear": _forecast(None),
         "forecast_linear_by_status": _forecast("status"),
         "anomalies": _anomalies("SELECT 0 AS k, date_trunc('month', order_date) AS period, sum(revenue) AS value FROM sales GROUP BY 1, 2", None, 3.0),
