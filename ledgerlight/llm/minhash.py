@@ -7,9 +7,8 @@ bucket: first the sketches, then, where those may agree, the full sets.  Confirm
 grown to components by alternating large-star and small-star.
 
 A link between two classes neither of which was its bucket's anchor can still be missing.  So
-buckets that hold several components are gone through again, each with fresh anchors from outside
-its largest component, those first that came closest to another class, until a round finds no
-link.  No step lists the pairs of a bucket, and a bucket, class or component of any size is only
+buckets that hold several components are gone through again, each with a fresh anchor from outside
+its largest component, the one that came closest to another class, until a round finds no link.  No step lists the pairs of a bucket, and a bucket, class or component of any size is only
 ever folded or joined.
 
 Two documents are linked when intersection >= threshold * union of their sets.  With ``bands=40,
@@ -33,8 +32,6 @@ from ledgerlight.llm.components import components
 from ledgerlight.llm.shingles import Shingler, Sketcher
 
 WORDS, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 40, 6, 20240229
-#: Anchors of a bucket in each round after the first, at most.
-ANCHORS = 2
 #: Standard deviations by which a sketch may fall short of the threshold.
 SLACK = 3.8
 
@@ -156,8 +153,7 @@ def _class_components(
         members = known.select("bucket", "node", "n_shingles")
         anchors = stored(
             known.filter((F.col("component") != F.col("main")) & ~F.col("used"))
-            .groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(ANCHORS)).alias("part"))
-            .agg(F.max(F.struct("closeness", "node", "n_shingles", "component")).alias("anchor"))
+            .groupBy("bucket").agg(F.max(F.struct("closeness", "node", "n_shingles", "component")).alias("anchor"))
         )
         done = compare(
             known.join(anchors, "bucket")
