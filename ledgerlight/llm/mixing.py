@@ -47,9 +47,10 @@ def rates(
         given = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
         weight = F.coalesce(F.element_at(given, F.coalesce("mix_source", F.lit(""))), weight)
     sizes = stored(sizes.withColumn("weight", weight))
-    whole = sizes.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").alias("all_docs"))
-    wanted = F.lit(rows) if rows is not None else F.col("all_docs")
-    rate = F.col("weight") / F.col("all_weight") * wanted / F.col("n_docs")
+    all_weight, all_docs = sizes.agg(F.sum("weight"), F.sum("n_docs")).first()  # two numbers
+    wanted = all_docs if rows is None else rows
+    share = F.col("weight") / F.lit(all_weight).cast("double")
+    rate = share * F.lit(wanted).cast("double") / F.col("n_docs")
     start = F.struct(F.exp(-F.col("part_rate")).alias("p"), F.array(F.exp(-F.col("part_rate"))).alias("cdf"))
 
     def extend(state, k):
@@ -59,8 +60,7 @@ def rates(
         )
 
     return (
-        sizes.join(whole)  # one row
-        .withColumn("rate", F.coalesce(rate, F.lit(0.0)))
+        sizes.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
         .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
         .withColumn("part_rate", F.col("rate") / F.col("parts"))
         .withColumn("cdf", F.aggregate(F.sequence(F.lit(1), F.lit(PART + TAIL)), start, extend)["cdf"])
