@@ -443,10 +443,10 @@ def forecast_seasonal_bands(spark: SparkSession, folder: str) -> DataFrame:
     """The seasonal branch, all sales by month: periods, and band widths against the first."""
     series = metrics.period_totals(exports.sales(spark, folder), SALES_SHAPE)
     rows = outlook.forecast(series, horizon=6, allow_negative=True)
-    first = F.min(F.struct("period", (F.col("upper") - F.col("lower")).alias("width")))
-    return rows.join(rows.agg(first.alias("first"))).select(
-        _stamp("period"), "method", "history_points",
-        _r(((F.col("upper") - F.col("lower")) / F.col("first.width")).alias("width_ratio"), 4).alias("width_ratio"),
+    width = F.col("upper") - F.col("lower")
+    first = rows.agg(F.min_by(width, F.col("period"))).scalar()
+    return rows.select(
+        _stamp("period"), "method", "history_points", _r(width / first, 4).alias("width_ratio")
     )
 
 
