@@ -17,7 +17,7 @@ from ledgerlight.operators import (
 )
 from ledgerlight.operators.semantics import Shape
 from ledgerlight.plans import exports
-from ledgerlight.plans.pipelines import build_model, propose_model, run_pipeline
+from ledgerlight.plans.pipelines import build_model, decide_model, propose_model, run_pipeline
 from ledgerlight.session import shared_folder, small_frame
 from ledgerlight.types import EDGES
 from ledgerlight.sources import bounded_sql, delimited, naming, warehouse
@@ -406,7 +406,10 @@ def model_job(spark: SparkSession, folder: str) -> DataFrame:
     decisions = {
         (names[a], b, names[c], d): answer for (a, b, c, d), answer in CONFIRMED.items()
     }
-    edges = rel.decide(propose_model(store, list(names.values())), decisions)
+    for first_time in (True, False):  # the second detection finds the decisions of the first
+        edges = propose_model(store, list(names.values()), name="job")
+        if first_time:
+            decide_model(store, decisions, "job")
     build_model(store, list(names.values()), edges)
     star = spark.table(store.target(names["sales"]))
     return star.groupBy(

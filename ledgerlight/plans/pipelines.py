@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +12,7 @@ from ledgerlight.operators.cleaning import audit, clean, plan_cleaning
 from ledgerlight.operators.metrics import kpis
 from ledgerlight.operators.profile import duplicate_rows, profile
 from ledgerlight.operators.quality import quality_issues, quality_report
-from ledgerlight.operators.semantics import Shape, classify, shape_of
+from ledgerlight.operators.semantics import Shape, resolve, shape_of
 from ledgerlight.sources.delimited import read_delimited
 from ledgerlight.sources.naming import table_slug
 from ledgerlight.sources.warehouse import CLEAN, RAW, Warehouse
@@ -45,7 +45,7 @@ def _rows(profile_rows: DataFrame, df: DataFrame) -> int:
 def clean_table(warehouse: Warehouse, table: str, deduplicate: bool = True) -> Cleaned:
     """Profile the raw table, clean it in one pass, store and profile the result.
 
-    Findings describe the raw table; the stored profile describes the clean one.
+    Findings describe the raw table; the profile that is kept describes the clean one.
     """
     raw = warehouse.read(RAW, table)
     before = profile(raw, table, RAW)
@@ -53,19 +53,23 @@ def clean_table(warehouse: Warehouse, table: str, deduplicate: bool = True) -> C
     duplicates = duplicate_rows(raw) if deduplicate else 0
     plan = plan_cleaning(before, duplicates, deduplicate)
     stored = warehouse.write(CLEAN, table, clean(raw, plan))
-    after = profile(stored, table, CLEAN)
-    issues = quality_issues(before, rows, duplicates)
+    after = warehouse.keep(f"{table}_profile", profile(stored, table, CLEAN))
+    issues = warehouse.keep(f"{table}_issues", quality_issues(before, rows, duplicates))
     report = quality_report(issues, len(raw.columns), rows, _rows(after, stored))
     return Cleaned(stored, before, after, audit(plan), issues, report)
 
 
 def analyse_table(warehouse: Warehouse, table: str, profile_rows: DataFrame | None = None) -> Analysed:
-    """Classify a clean table afresh and compute every metric it supports."""
+    """Classify a clean table and compute every metric it supports.
+
+    Roles that are kept, corrected by a user or not, are used while they name every column.
+    """
     df = warehouse.read(CLEAN, table)
     rows = profile(df, table, CLEAN, base_only=True) if profile_rows is None else profile_rows
-    semantics = classify(rows)
+    semantics = warehouse.keep(f"{table}_roles", resolve(rows, warehouse.kept(f"{table}_roles")))
     shape = shape_of(semantics)
-    return Analysed(semantics, shape, kpis(df, shape, warehouse.name(CLEAN, table)))
+    found = warehouse.keep(f"{table}_metrics", kpis(df, shape, warehouse.name(CLEAN, table)))
+    return Analysed(semantics, shape, found)
 
 
 def ingest(
@@ -93,11 +97,24 @@ def run_pipeline(
 
 
 def propose_model(
-    warehouse: Warehouse, tables: Sequence[str], known: DataFrame | None = None
+    warehouse: Warehouse, tables: Sequence[str], known: DataFrame | None = None, name: str = "model"
 ) -> DataFrame:
-    """Proposed relationships among clean tables, merged into those already known."""
+    """Proposed relationships among clean tables, merged into those known or kept, and kept.
+
+    Decisions taken on an edge stay; ``decide_model`` takes them.
+    """
     found = relationships.detect({t: warehouse.read(CLEAN, t) for t in tables})
-    return found.orderBy(F.desc("confidence")) if known is None else relationships.merge_decisions(known, found)
+    known = warehouse.kept(f"{name}_edges") if known is None else known
+    merged = found if known is None else relationships.merge_decisions(known, found)
+    return warehouse.keep(f"{name}_edges", merged).orderBy(F.desc("confidence"))
+
+
+def decide_model(warehouse: Warehouse, decisions: Mapping[tuple[str, str, str, str], bool], name: str = "model") -> DataFrame:
+    """Confirm or reject kept edges."""
+    edges = warehouse.kept(f"{name}_edges")
+    if edges is None:
+        raise LookupError(f"no edges are kept for {name}")
+    return warehouse.keep(f"{name}_edges", relationships.decide(edges, decisions))
 
 
 def build_model(warehouse: Warehouse, tables: Sequence[str], edges: DataFrame) -> list[str]:

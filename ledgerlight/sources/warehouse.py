@@ -8,9 +8,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlight.operators.star import star_sql
+from ledgerlight.session import small_frame
 from ledgerlight.sources.naming import identifier
 
-RAW, CLEAN, STAR = "raw", "clean", "star"
+RAW, CLEAN, STAR, META = "raw", "clean", "star", "meta"
+
+
+#: Results kept per table.
+RESULTS = ("profile", "issues", "roles", "metrics")
 
 
 def preview(
@@ -34,7 +39,7 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 class Warehouse:
-    """Tables of one workspace, named ``raw.x``, ``clean.x`` and ``star.x``.
+    """Tables of one workspace, named ``raw.x``, ``clean.x`` and ``star.x``; ``meta.x`` has results.
 
     Replacing a table overwrites it as a whole, so repeating a load changes nothing.
     """
@@ -43,7 +48,7 @@ class Warehouse:
         """``location`` stores the tables in that folder instead of the catalog's own."""
         self.spark = spark
         self.location = location
-        for database in (RAW, CLEAN, STAR):
+        for database in (RAW, CLEAN, STAR, META):
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
 
     def name(self, layer: str, table: str) -> str:
@@ -61,6 +66,16 @@ class Warehouse:
     def read(self, layer: str, table: str) -> DataFrame:
         return self.spark.table(self.name(layer, table))
 
+    def keep(self, table: str, results: DataFrame) -> DataFrame:
+        """Replace a small set of results (one row per column, edge or metric) as a whole.
+
+        The rows pass through the driver, so a set may be made from its former self.
+        """
+        return self.write(META, table, small_frame(self.spark, results.collect(), results.schema))
+
+    def kept(self, table: str) -> DataFrame | None:
+        return self.read(META, table) if self.exists(META, table) else None
+
     def exists(self, layer: str, table: str) -> bool:
         return self.spark.catalog.tableExists(self.name(layer, table))
 
@@ -78,10 +93,12 @@ class Warehouse:
         return self.read(layer, table).count()
 
     def drop(self, table: str) -> None:
-        """Remove a table from every layer, its star view included."""
+        """Remove a table from every layer, with its star view and results."""
         self.spark.sql(f"DROP VIEW IF EXISTS {self.name(STAR, table)}")
         for layer in (RAW, CLEAN):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name(layer, table)}")
+        for results in RESULTS:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(META, f'{table}_{results}')}")
 
     def query(self, sql: str, **parameters: Any) -> DataFrame:
         """Trusted SQL with ``:name`` parameters."""
