@@ -2,13 +2,16 @@
 
 Every document becomes its set of word shingles.  Documents with equal sets form a class; from
 there on only classes move.  A class's sketch is the minima of many universal hash functions;
-each band of them names a bucket.  Classes that share a bucket are compared with an anchor of the
+each band of them names a bucket.  Classes that share a bucket are compared with one anchor of the
 bucket: first the sketches, then, where those may agree, the full sets.  Confirmed links are
 grown to components by alternating large-star and small-star.
 
-A link between two classes neither of which was its bucket's anchor can still be missing.  So
-buckets that hold several components are gone through again, each with a fresh anchor from outside
-its largest component, the one that came closest to another class, until a round finds no link.  No step lists the pairs of a bucket, and a bucket, class or component of any size is only
+What is left are pairs of one bucket neither of which was its anchor, in different components.
+Their classes are joined on rare shingles: with all sets in one order, rare shingles first, a pair
+that reaches the threshold has its first common shingle so early in both that enough can follow.
+Among equally large sets that is the first ninth at 0.8, so what a whole group has in common
+meets nobody unless the group's sets are linked by it.  Any order is right, so counts by hash slot
+serve.  No step lists the pairs of a bucket, and a bucket, class or component of any size is only
 ever folded or joined.
 
 Two documents are linked when intersection >= threshold * union of their sets.  With ``bands=40,
@@ -21,7 +24,6 @@ document.  Null ids are never a component's name unless it has no other.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from ledgerlight.llm.shingles import Shingler, Sketcher
 WORDS, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 40, 6, 20240229
 #: Standard deviations by which a sketch may fall short of the threshold.
 SLACK = 3.8
+#: Shingles are counted by so many leading bits, to tell rare ones from common ones.
+SLOT_BITS = 20
 
 
 def _row_key(id_column: str, text_column: str) -> Column:
@@ -141,64 +145,94 @@ def _class_components(
         likely = _agreeing(pairs.distinct(), needed.select("node", "minima"), threshold, bands * rows)
         return stored(_compared(likely, texts, words, threshold))
 
-    done = compare(
+    first = compare(
         shared.filter(F.col("node") != F.col("anchor.node"))
         .filter(_same_size("n_shingles", "anchor.n_shingles", threshold))
         .select(F.col("anchor.node").alias("hub"), F.col("node").alias("leaf"))
+    ).filter("linked").select("hub", "leaf")
+    labels = stored(components(first, "hub", "leaf"))
+    left = stored(_unresolved(shared, labels))
+    more = compare(_rare_pairs(left, texts, words, threshold)).filter("linked").select("hub", "leaf")
+    if more.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("hub"), F.col("component").alias("leaf"))
+    return components(known.union(more), "hub", "leaf")
+
+
+def _unresolved(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, component) of classes in a bucket that holds several components besides its anchor's pairs."""
+    rest = shared.filter(F.col("node") != F.col("anchor.node")).select("bucket", "node")
+    known = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    open_buckets = known.groupBy("bucket").agg(
+        F.min("component").alias("least"), F.max("component").alias("most")
+    ).filter("least <> most").select("bucket")
+    return known.join(open_buckets, "bucket", "left_semi").select("node", "component").distinct()
+
+
+def _rare_pairs(nodes: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(hub, leaf) for all pairs of different components that can reach the threshold.
+
+    A pair of sizes a and b reaches it with ``(100 + threshold) * common >= threshold * (a + b)``,
+    and at most ``size - place`` shingles are common from the first common one on.
+    """
+    shingler, counts = Shingler(words), np.zeros(1 << SLOT_BITS, np.int64)
+    shift = np.uint64(64 - SLOT_BITS)
+
+    def count(batch: pa.RecordBatch):
+        if not batch.num_rows:
+            return None
+        slots = np.concatenate([shingler(text.as_py()) >> shift for text in batch.column(0)])
+        return [pa.array(part.astype(np.int64)) for part in np.unique(slots, return_counts=True)]
+
+    named = stored(texts.join(nodes, "node").select("node", "component", "text"))
+    totals = (
+        map_batches(named.select("text"), count, "slot long, n long")
+        .groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
     )
-    labels = components(done.filter("linked"), "hub", "leaf")
-    seen, used, members = done, None, shared.drop("anchor")
-    while True:
-        known = stored(_unresolved(members, _states(labels, seen, used)))
-        members = known.select("bucket", "node", "n_shingles")
-        anchors = stored(
-            known.filter((F.col("component") != F.col("main")) & ~F.col("used"))
-            .groupBy("bucket").agg(F.max(F.struct("closeness", "node", "n_shingles", "component")).alias("anchor"))
-        )
-        done = compare(
-            known.join(anchors, "bucket")
-            .filter(F.col("component") != F.col("anchor.component"))
-            .filter(_same_size("n_shingles", "anchor.n_shingles", threshold))
-            .select(F.col("anchor.node").alias("hub"), F.col("node").alias("leaf"))
-        )
-        more = done.filter("linked").select("hub", "leaf")
-        if more.isEmpty():
-            return labels
-        labels = components(labels.select(F.col("node").alias("hub"), F.col("component").alias("leaf")).union(more), "hub", "leaf")
-        named = anchors.select("anchor.node")
-        used = named if used is None else used.union(named)
-        seen = seen.union(done)
-
-
-def _states(labels: DataFrame, seen: DataFrame, used: DataFrame | None) -> DataFrame:
-    """What is known of a node: its component, how close it came to another, whether it was an anchor."""
-    def rows(frame: DataFrame, node: str, component, closeness, was_used) -> DataFrame:
-        return frame.select(
-            F.col(node).alias("node"), component.cast("long").alias("component"),
-            closeness.cast("double").alias("closeness"), F.lit(was_used).alias("used"),
-        )
-
-    none, apart = F.lit(None), seen.filter("NOT linked")
-    parts = [rows(labels, "node", F.col("component"), none, False)]
-    parts += [rows(apart, side, none, F.col("closeness"), False) for side in ("hub", "leaf")]
-    if used is not None:
-        parts.append(rows(used, "node", none, none, True))
-    return reduce(DataFrame.union, parts).groupBy("node").agg(
-        F.max("component").alias("component"), F.max("closeness").alias("closeness"), F.max("used").alias("used")
-    )
-
+    counts[totals["slot"].to_numpy()] = totals["n"].to_numpy()
 
-def _unresolved(members: DataFrame, states: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with the bucket's largest."""
-    known = members.join(states, "node", "left").select(
-        "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"),
-        F.coalesce("closeness", F.lit(0.0)).alias("closeness"), F.coalesce("used", F.lit(False)).alias("used"),
-    )
-    sizes = known.groupBy("bucket", "component").agg(F.count("node").alias("size"))
-    main = sizes.groupBy("bucket").agg(
-        F.max(F.struct("size", "component"))["component"].alias("main"), F.count("component").alias("parts")
+    def begin(batch: pa.RecordBatch):
+        if not batch.num_rows:
+            return None
+        found = [[] for _ in range(5)]
+        for row, text in enumerate(batch.column(2)):
+            prints = shingler(text.as_py())
+            size, often = len(prints), counts[prints >> shift]
+            order = np.lexsort((prints, often))
+            # the other set has threshold % of this one's size at least
+            places = np.arange(size - -(-threshold * size // 100) + 1)
+            order = order[places]
+            again = often[order] > 0
+            places, chosen = places[again], prints[order[again]]
+            whose = [np.full(len(places), batch.column(i)[row].as_py(), np.int64) for i in (0, 1)]
+            for out, part in zip(found, (*whose, chosen.view(np.int64), places, np.full(len(places), size))):
+                out.append(part.astype(np.int64))
+        return [pa.array(np.concatenate(parts)) for parts in found]
+
+    begun = stored(map_batches(named, begin, "node long, component long, shingle long, place long, size long"))
+    sizes = begun.groupBy("shingle", "component").agg(F.count("node").alias("n"))
+    main = sizes.groupBy("shingle").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"), F.count("component").alias("parts")
     ).filter("parts > 1").drop("parts")
-    return known.join(main, "bucket")
+    met = stored(begun.join(main, "shingle"))
+
+    def reaches(side: str) -> Column:
+        least = threshold * (F.col("a.size") + F.col("b.size"))
+        return (100 + threshold) * (F.col(f"{side}.size") - F.col(f"{side}.place")) >= least
+
+    # of a pair one side at least is outside the shingle's main component
+    early = met.filter((100 + threshold) * (F.col("size") - F.col("place")) >= 2 * threshold * F.col("size"))
+    larger = F.struct("a.size", "a.node") < F.struct("b.size", "b.node")
+    parts = []
+    for short, long in ((early.filter("component <> main"), met), (early, met.filter("component <> main"))):
+        parts.append(
+            short.alias("a").join(
+                long.alias("b"),
+                (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
+                & larger & reaches("a") & reaches("b"),
+            ).select(F.col("a.node").alias("hub"), F.col("b.node").alias("leaf"))
+        )
+    return parts[0].union(parts[1])
 
 
 def _resolved(

@@ -101,6 +101,36 @@ def test_near_against_brute_force(spark, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def template_rows():
+    """A shared passage makes all pairs 0.75 to 0.79 alike; 40 pairs among them have 0.8 to 0.83."""
+    template, draw = prose(500, 350).split(" "), random.Random(8)
+
+    def own(count):
+        return [f"y{draw.randrange(10**9)}" for _ in range(count)]
+
+    texts = [" ".join(template + own(50)) for _ in range(1120)]
+    for _ in range(40):
+        tail = own(50)
+        texts += [" ".join(template + tail[:12] + own(38)), " ".join(template + tail[:12] + own(38))]
+    draw.shuffle(texts)
+    return [(n, text, "en", "s1", len(text), "extra", "extra") for n, text in enumerate(texts)]
+
+
+def test_near_links_within_a_template(spark):
+    """The linked pairs share large buckets with many classes that no link reaches."""
+    records = template_rows()
+    sets = [shingle_set(r[1], 2) for r in records]
+    shares, linked = [], {}
+    for a, b in combinations(range(len(records)), 2):
+        shared = len(sets[a] & sets[b])
+        shares.append(shared / (len(sets[a]) + len(sets[b]) - shared))
+        if shares[-1] >= 0.8:
+            linked[b] = a
+    assert len(linked) == 40 and all(0.75 <= s <= 0.83 for s in shares)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.link_near_copies(frame(spark, records), words=2).collect()}
+    assert got == {n: linked.get(n, n) for n in range(len(records))}
+
+
 def test_near_filter(spark):
     docs = frame(spark, near_rows())
     got = minhash.drop_near_copies(docs, words=2)
