@@ -9,8 +9,10 @@ count.  States and transitions are compiled when first met.
 
 A chunk of text is a map from states to (state, count).  No piece holds a space mark after another
 character, so such a mark resets the state: a chunk's map is what its head before the first mark
-does to the incoming state, and a constant behind it.  Maps compose associatively, and a text's
-chunks are composed by a parallel prefix scan.  Characters outside the vocabulary count as their
+does to the incoming state, and a constant behind it.  A head without a mark, however long, is run
+once from the reset state; from another state only the letters are run until both runs are in the
+same state.  Maps compose associatively without copying text, the first one starts in the reset
+state, and a text's chunks are composed by a parallel prefix scan.  Characters outside the vocabulary count as their
 UTF-8 bytes (byte fallback) and reset the state too.
 
 Null and empty texts have no tokens; an empty table gives an empty result.
@@ -30,14 +32,28 @@ from ledgerlight.llm.common import free_name, text_of
 MARK = "▁"
 CHUNK = 8192
 LIMIT = 4096
+#: Places at which a head remembers the state of its run from the reset state.
+SYNC = 256
 #: States and pairs remembered before they are forgotten and compiled again, and words.
 MEMORY, WORDS = 600_000, 250_000
 
 
+class Head:
+    """A stretch without reset: its run from the reset state, and what that run met first."""
+
+    __slots__ = ("text", "states", "counts", "end", "count")
+
+    def __init__(self, text: str, states: list, counts: list, end: State, count: int) -> None:
+        self.text, self.states, self.counts, self.end, self.count = text, states, counts, end, count
+
+
 class ChunkMap(NamedTuple):
-    """``head`` acts on the incoming state; behind it follow ``count`` tokens up to state ``end``."""
+    """``head`` acts on the incoming state; behind it follow ``count`` tokens up to state ``end``.
+
+    A head is a ``Head``, a pair of heads of which the left one acts first, or empty.
+    """
 
-    head: str
+    head: Head | tuple
     end: State | None
     count: int
 
@@ -167,6 +183,40 @@ class Transducer:
             count += gain
         return state, count
 
+    def _head(self, text: str) -> Head:
+        state, count = self.reset, 0
+        states, counts = [state], [0]
+        for letter in text[:SYNC]:
+            state, gain = state[letter]
+            count += gain
+            states.append(state)
+            counts.append(count)
+        end, rest = self.run(state, text[SYNC:])
+        return Head(text, states, counts, end, count + rest)
+
+    def _through(self, state: State, head: Head) -> tuple[State, int]:
+        text, count = head.text, 0
+        for n, (met, before) in enumerate(zip(head.states, head.counts)):
+            if state is met:
+                return head.end, count + head.count - before
+            if n < len(text):
+                state, gain = state[text[n]]
+                count += gain
+        state, rest = self.run(state, text[len(head.states):])
+        return state, count + rest
+
+    def act(self, state: State, heads: Head | tuple) -> tuple[State, int]:
+        """What ``heads`` make of ``state``, and how many tokens they add."""
+        count, left = 0, [heads]
+        while left:
+            part = left.pop()
+            if isinstance(part, tuple):
+                left.extend(reversed(part))
+            else:
+                state, more = self._through(state, part)
+                count += more
+        return state, count
+
     def _word(self, word: str) -> int:
         count = self.older.get(word)
         if count is None:
@@ -182,7 +232,7 @@ class Transducer:
         """``chunk`` uses marks for spaces; words between resets are looked up."""
         first = _RESET.search(chunk)
         if first is None:
-            return ChunkMap(chunk, None, 0)
+            return ChunkMap(self._head(chunk), None, 0)
         at = first.end()
         words = _WORDS.findall(chunk, at)
         end, count = self.run(self.reset, words.pop())
@@ -191,13 +241,13 @@ class Transducer:
             count += sum([known[word] for word in words])
         except KeyError:
             count += sum([known[word] if word in known else self._word(word) for word in words])
-        return ChunkMap(chunk[:at], end, count)
+        return ChunkMap(self._head(chunk[:at]), end, count)
 
     def compose(self, one: ChunkMap, two: ChunkMap) -> ChunkMap:
         """First ``one``, then ``two``; associative."""
         if one.end is None:
-            return ChunkMap(one.head + two.head, two.end, two.count)
-        state, count = self.run(one.end, two.head)
+            return ChunkMap((one.head, two.head), two.end, two.count)
+        state, count = self.act(one.end, two.head)
         return ChunkMap(one.head, state if two.end is None else two.end, one.count + count + two.count)
 
     def scan(self, maps: Sequence[ChunkMap]) -> list[ChunkMap]:
@@ -217,8 +267,8 @@ class Transducer:
             self.clear()
         marked = MARK + text.replace(" ", MARK)
         maps = [self.chunk_map(marked[n:n + chunk]) for n in range(0, len(marked), chunk)]
-        whole = self.scan(maps)[-1]
-        return self.run(self.reset, whole.head)[1] + whole.count
+        maps[0] = self.compose(ChunkMap((), self.reset, 0), maps[0])
+        return self.scan(maps)[-1].count
 
 
 _RESET = re.compile(f"[^{MARK}](?={MARK})")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -73,6 +74,20 @@ def test_chunk_maps_compose(chunk):
         assert machine.count(text, chunk) == len(library.encode(text))
 
 
+def test_text_without_spaces_is_held_once():
+    """No chunk of it has a mark; prefixes of the scan must not each hold their text."""
+    import sentencepiece
+
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=PIECES), transducer.Transducer.from_file(PIECES)
+    for text in [prose(11, 15_000).replace(" ", "\n"), "日本語。" * 15_000, "ab" * 30_000]:
+        assert machine.count(text, 64) == machine.count(text) == len(library.encode(text))
+        tracemalloc.start()
+        machine.count(text, 64)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16e6
+
+
 def test_encoder_against_library():
     from tokenizers import Tokenizer
 
