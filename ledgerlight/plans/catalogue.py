@@ -380,7 +380,8 @@ def star_reconcile(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def table_roles(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
-    return stars.model_summary(tables, _confirmed(spark)).select("table", "role", "rows")
+    edges = rel.decide(rel.detect(tables), CONFIRMED)
+    return stars.model_summary(tables, edges).select("table", "role", "rows")
 
 
 @query

@@ -46,3 +46,12 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert registry.entry(spark).columns == ["period", "value"]
+
+
+def test_table_roles_come_from_detected_edges(spark, monkeypatch):
+    from ledgerlight.plans import catalogue
+
+    unseen = ("sales", "customer_id", "products", "product_id")
+    monkeypatch.setattr(catalogue, "CONFIRMED", {**catalogue.CONFIRMED, unseen: True})
+    with pytest.raises(ValueError, match="no such relationship"):
+        QUERIES["table_roles"](spark, FOLDER)
