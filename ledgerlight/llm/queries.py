@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlight.llm import (
-    chat, exact, minhash, mixing, packing, quality, rules, secrets, transducer, warc,
+    chat, exact, leaks, minhash, mixing, packing, periodic, quality, resampling, rules, secrets, transducer, warc,
 )
-from ledgerlight.llm.common import read
+from ledgerlight.llm.common import WORD, read, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,3 +187,118 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return chat.digests(chat.format_turns(rows.unionByName(odd), tokenizer), tokenizer)
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark"), carry=["doc_id"]
+    )
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words_sql(table: str, key: str) -> str:
+    return f"""SELECT row_number() OVER () AS r, {key},
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_LETTERS}') AS w
+  FROM {table}"""
+
+
+#: CRC-32 from its polynomial, once per distinct word.
+ORACLES["op11_importance_resampling"] = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+docs AS ({_words_sql("documents", "doc_id")}),
+target AS ({_words_sql("benchmark", "item_id")}),
+told AS (SELECT r, unnest(w) AS word FROM docs),
+goal AS (SELECT unnest(w) AS word FROM target),
+vocabulary AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(word))),
+           lambda i: ('0x' || substr(hex(encode(word)), 2 * i::INT + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) % {resampling.BUCKETS} AS bucket
+  FROM (SELECT word FROM told UNION SELECT word FROM goal) v, crc
+), s AS (SELECT bucket, count(*) AS n FROM told JOIN vocabulary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM goal JOIN vocabulary USING (word) GROUP BY bucket),
+gains AS (
+  SELECT b AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM told) + {resampling.BUCKETS})
+           / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM goal) + {resampling.BUCKETS}))))::BIGINT AS gain
+  FROM range({resampling.BUCKETS}) x(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b
+), weights AS (
+  SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM told JOIN vocabulary USING (word) JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (r)
+), ranked AS (
+  SELECT *, n >= {resampling.LEAST_WORDS} AS able,
+         row_number() OVER (PARTITION BY n >= {resampling.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place
+  FROM scored
+)
+SELECT doc_id, n AS n_features, n AS n_words, weight, score,
+       CASE WHEN able AND place <= {resampling.PERCENT} * (SELECT count(*) FROM ranked WHERE able) // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose id's CRC-32 ends in 0 get a periodic end first."""
+
+    @F.pandas_udf("string")
+    def planted(hashes: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([periodic_end(h, text) for h, text in zip(hashes, texts)], dtype=object)
+
+    docs = read(spark, folder, "documents")
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    marked = periodic.mark_runs(docs.select("doc_id", planted(hashed, text_of()).alias("text")))
+    return marked.select("doc_id", *periodic.digests(marked))
+
+
+def periodic_end(h: int | None, text: str) -> str:
+    """The text, or if ``h`` ends in 0 its words, from one on repeating the ones before."""
+    if h is None or h != h or int(h) % 10:
+        return text
+    words, g = WORD.findall(text), int(h) // 10
+    if not words:
+        return text
+    start = g % len(words)
+    period = 1 + (len(words) - start) // (3 + g % 8)
+    return " ".join(words[:start] + [words[start + (i - start) % period] for i in range(start, len(words))])
+
+
+@query
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", *leaks.summary())
+
+
+ORACLES["op13_decontamination"] = f"""
+WITH docs AS ({_words_sql("documents", "doc_id")}),
+items AS ({_words_sql("benchmark", "item_id")}),
+windows AS (
+  SELECT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM (
+    SELECT *, unnest(range(1, len(w) - size + 2)) AS i
+    FROM (SELECT item_id, w, least(len(w), {leaks.WINDOW}) AS size FROM items WHERE len(w) > 0))
+), sizes AS (SELECT DISTINCT size FROM windows),
+cut AS (
+  SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS words FROM (
+    SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)
+), hits AS (SELECT r, i, size, item_id FROM cut JOIN windows USING (size, words)),
+hit AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS place FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM hits GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
