@@ -9,10 +9,10 @@ grown to components by alternating large-star and small-star.
 What is left are pairs of one bucket neither of which was its anchor, in different components.
 Their classes are joined on rare shingles: with all sets in one order, rare shingles first, a pair
 that reaches the threshold has its first common shingle so early in both that enough can follow.
-Among equally large sets that is the first ninth at 0.8, so what a whole group has in common
-meets nobody unless the group's sets are linked by it.  Any order is right, so counts by hash slot
-serve.  No step lists the pairs of a bucket, and a bucket, class or component of any size is only
-ever folded or joined.
+Among equally large sets that is the first ninth at 0.8.  Where a group's sets have spent most of that
+on shingles of their own, what all have in common still meets; there the parities of two sets, a
+lower bound of their difference, refuse a pair inside the join, before it is a row.  No step lists the
+pairs of a bucket, and a bucket, class or component of any size is only ever folded or joined.
 
 Two documents are linked when intersection >= threshold * union of their sets.  With ``bands=40,
 rows=6`` a pair at 0.8 shares no bucket with probability 5e-6, and sketches of linked sets fall
@@ -36,12 +36,16 @@ from ledgerlight.llm.shingles import Shingler, Sketcher
 WORDS, THRESHOLD, BANDS, ROWS, SEED = 5, 80, 40, 6, 20240229
 #: Standard deviations by which a sketch may fall short of the threshold.
 SLACK = 3.8
-#: Shingles are counted by so many leading bits, to tell rare ones from common ones.
-SLOT_BITS = 20
+#: A set's parities are those of its shingles' counts in 2**PARITY_BITS classes of hashes.
+PARITY_BITS = 9
+#: Earlier shingles that an entry carries, to tell a pair's first common one.
+EARLIER = 16
 
 
 def _row_key(id_column: str, text_column: str) -> Column:
-    return F.xxhash64(F.col(f"`{id_column}`").cast("string"), F.col(f"`{text_column}`").cast("string"))
+    """128 bits of a row's id and text; null and empty texts differ."""
+    text = F.concat(F.lit("="), F.col(f"`{text_column}`").cast("string"))
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")), text))
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_column: str, text_column: str) -> DataFrame:
@@ -69,7 +73,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_column: str,
     )
     return map_batches(
         texts, sketch,
-        "doc_id long, row_key long, n_shingles long, digest string, buckets array<long>, minima binary",
+        "doc_id long, row_key string, n_shingles long, digest string, buckets array<long>, minima binary",
     )
 
 
@@ -173,63 +177,68 @@ def _rare_pairs(nodes: DataFrame, texts: DataFrame, words: int, threshold: int)
     """(hub, leaf) for all pairs of different components that can reach the threshold.
 
     A pair of sizes a and b reaches it with ``(100 + threshold) * common >= threshold * (a + b)``,
-    and at most ``size - place`` shingles are common from the first common one on.
+    and at most ``size - place`` shingles are common from the first common one on.  Shingles of one
+    component only can be common to no such pair, so they take the first places; the others follow by
+    their exact counts.  A pair is given at its first common shingle.
     """
-    shingler, counts = Shingler(words), np.zeros(1 << SLOT_BITS, np.int64)
-    shift = np.uint64(64 - SLOT_BITS)
-
-    def count(batch: pa.RecordBatch):
-        if not batch.num_rows:
-            return None
-        slots = np.concatenate([shingler(text.as_py()) >> shift for text in batch.column(0)])
-        return [pa.array(part.astype(np.int64)) for part in np.unique(slots, return_counts=True)]
-
-    named = stored(texts.join(nodes, "node").select("node", "component", "text"))
-    totals = (
-        map_batches(named.select("text"), count, "slot long, n long")
-        .groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
-    )
-    counts[totals["slot"].to_numpy()] = totals["n"].to_numpy()
+    shingler, shift = Shingler(words), np.uint64(64 - PARITY_BITS)
 
-    def begin(batch: pa.RecordBatch):
-        if not batch.num_rows:
-            return None
-        found = [[] for _ in range(5)]
-        for row, text in enumerate(batch.column(2)):
-            prints = shingler(text.as_py())
-            size, often = len(prints), counts[prints >> shift]
-            order = np.lexsort((prints, often))
-            # the other set has threshold % of this one's size at least
-            places = np.arange(size - -(-threshold * size // 100) + 1)
-            order = order[places]
-            again = often[order] > 0
-            places, chosen = places[again], prints[order[again]]
-            whose = [np.full(len(places), batch.column(i)[row].as_py(), np.int64) for i in (0, 1)]
-            for out, part in zip(found, (*whose, chosen.view(np.int64), places, np.full(len(places), size))):
-                out.append(part.astype(np.int64))
-        return [pa.array(np.concatenate(parts)) for parts in found]
-
-    begun = stored(map_batches(named, begin, "node long, component long, shingle long, place long, size long"))
-    sizes = begun.groupBy("shingle", "component").agg(F.count("node").alias("n"))
-    main = sizes.groupBy("shingle").agg(
-        F.max(F.struct("n", "component"))["component"].alias("main"), F.count("component").alias("parts")
-    ).filter("parts > 1").drop("parts")
-    met = stored(begun.join(main, "shingle"))
+    def spell(batch: pa.RecordBatch):
+        sizes, parities, prints = [], [], []
+        for text in batch.column(2):
+            found = shingler(text.as_py())
+            odd = np.bincount((found >> shift).astype(np.int64), minlength=1 << PARITY_BITS) & 1
+            sizes.append(len(found))
+            parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            prints.append(found.view(np.int64))
+        return batch.column(0), batch.column(1), sizes, parities, prints
+
+    named = texts.join(nodes, "node").select("node", "component", "text")
+    spelt = stored(map_batches(
+        named, spell, "node long, component long, size long, parity array<long>, prints array<long>"
+    ))
+    single = spelt.select("node", "component", F.explode("prints").alias("shingle"))
+    met = stored(
+        single.groupBy("shingle", "component").agg(F.count("node").alias("n")).groupBy("shingle").agg(
+            F.sum("n").alias("n"), F.max(F.struct("n", "component"))["component"].alias("main"),
+            F.count("component").alias("parts"),
+        ).filter("parts > 1").drop("parts")
+    )
+    shared = single.join(met, "shingle").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("n", "shingle", "main"))).alias("shared")
+    )
+    # the other set has threshold % of this one's size at least
+    begun = spelt.drop("prints").join(shared, "node").withColumn("own", F.col("size") - F.size("shared")).withColumn(
+        "prefix", F.slice("shared", 1, F.greatest(F.lit(0), F.expr(
+            f"cast(size - ceil({threshold} * size / 100) + 1 - own AS int)"
+        )))
+    ).select("node", "component", "size", "parity", "own", "prefix", F.posexplode("prefix").alias("at", "one"))
+    begun = stored(begun.select(
+        "node", "component", "size", "parity", "one.shingle", "one.main", (F.col("own") + F.col("at")).alias("place"),
+        F.slice("prefix.shingle", F.lit(1), F.least("at", F.lit(EARLIER))).alias("earlier"),
+    ))
 
     def reaches(side: str) -> Column:
         least = threshold * (F.col("a.size") + F.col("b.size"))
         return (100 + threshold) * (F.col(f"{side}.size") - F.col(f"{side}.place")) >= least
 
+    # a class of hashes that holds an odd number of one set and an even one of the other tells a difference
+    differ = sum(
+        F.bit_count(F.col("a.parity")[n].bitwiseXOR(F.col("b.parity")[n])) for n in range((1 << PARITY_BITS) // 64)
+    )
+    near = (100 + threshold) * differ <= (100 - threshold) * (F.col("a.size") + F.col("b.size"))
     # of a pair one side at least is outside the shingle's main component
-    early = met.filter((100 + threshold) * (F.col("size") - F.col("place")) >= 2 * threshold * F.col("size"))
+    early = begun.filter((100 + threshold) * (F.col("size") - F.col("place")) >= 2 * threshold * F.col("size"))
     larger = F.struct("a.size", "a.node") < F.struct("b.size", "b.node")
     parts = []
-    for short, long in ((early.filter("component <> main"), met), (early, met.filter("component <> main"))):
+    for short, long in (
+        (early.filter("component <> main"), begun), (early.filter("component = main"), begun.filter("component <> main"))
+    ):
         parts.append(
             short.alias("a").join(
                 long.alias("b"),
                 (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
-                & larger & reaches("a") & reaches("b"),
+                & larger & reaches("a") & reaches("b") & near & ~F.arrays_overlap("a.earlier", "b.earlier"),
             ).select(F.col("a.node").alias("hub"), F.col("b.node").alias("leaf"))
         )
     return parts[0].union(parts[1])
