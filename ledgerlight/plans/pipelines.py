@@ -73,11 +73,11 @@ def analyse_table(warehouse: Warehouse, table: str, profile_rows: DataFrame | No
 
 
 def ingest(
-    spark: SparkSession, warehouse: Warehouse, path: str, table: str | None = None, multi_line: bool | None = None
+    spark: SparkSession, warehouse: Warehouse, path: str, table: str | None = None, one_task: bool = False
 ) -> str:
     """Store a delimited file as a raw table; repeating it replaces the table."""
     name = table or table_slug(path)
-    warehouse.write(RAW, name, read_delimited(spark, path, multi_line))
+    warehouse.write(RAW, name, read_delimited(spark, path, one_task))
     return name
 
 
@@ -87,11 +87,11 @@ def run_pipeline(
     table: str | None = None,
     deduplicate: bool = True,
     location: str | None = None,
-    multi_line: bool | None = None,
+    one_task: bool = False,
 ) -> tuple[Cleaned, Analysed]:
     """File to raw table, clean table, semantics and metrics."""
     warehouse = Warehouse(spark, location)
-    name = ingest(spark, warehouse, path, table, multi_line)
+    name = ingest(spark, warehouse, path, table, one_task)
     cleaned = clean_table(warehouse, name, deduplicate)
     return cleaned, analyse_table(warehouse, name, cleaned.profile)
 

@@ -1,8 +1,9 @@
 """Delimited files: types from all rows in one distributed aggregate, then one distributed read.
 
 A column gets the narrowest type that every cell of it fits, and stays text if there is none, so
-no cell is lost.  Cells are read as text and cast with the shape-checked casts.  Line breaks inside
-quotes are looked for, and a file that has some is read record by record instead of line by line.
+no cell is lost.  Cells are read as text and cast with the shape-checked casts.  Days may come first
+(``31/12/2025``), if they do in every cell of a column.  Files are split, whether or not quoted
+cells hold line breaks (``records``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ledgerlight import types as lt
 from ledgerlight.functions import text as tx
 from ledgerlight.session import small_frame
+from ledgerlight.sources import records
 from ledgerlight.sources.naming import header_names, separator_for
 
 SAMPLE_VALUES = 5
@@ -22,6 +24,13 @@ LONGEST_HEADER = 300
 _INTEGER = r"^[+-]?[0-9]{1,19}$"
 _MOMENT = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$"
 _DAY = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$"
+_DAY_FIRST = r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4})"
+_TIME = r"[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$"
+#: Ways to read a cell, each with the logical type it gives.
+_READINGS = {
+    lt.BOOLEAN: lt.BOOLEAN, lt.INTEGER: lt.INTEGER, lt.DECIMAL: lt.DECIMAL, lt.DATE: lt.DATE,
+    "day first": lt.DATE, lt.TIMESTAMP: lt.TIMESTAMP, "day first, time": lt.TIMESTAMP, lt.STRING: lt.STRING,
+}
 _SQL_TYPES = {
     lt.BOOLEAN: "boolean", lt.INTEGER: "bigint", lt.DECIMAL: "double", lt.DATE: "date",
     lt.TIMESTAMP: "timestamp_ntz", lt.STRING: "string",
@@ -33,7 +42,11 @@ class UnreadableFile(ValueError):
 
 
 def _cast(text: Column, logical: str) -> Column:
-    """Strict reading of a cell as a type: nothing is stripped or repaired at this stage."""
+    """Strict reading of a cell: nothing is stripped or repaired at this stage."""
+    if logical.startswith("day first"):
+        end, kind = (_TIME, "timestamp_ntz") if logical.endswith("time") else ("$", "date")
+        turned = F.regexp_replace(text, _DAY_FIRST, "$4-$3-$1")
+        return F.when(text.rlike(_DAY_FIRST + end), turned.try_cast(kind))
     if logical == lt.BOOLEAN:
         return F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
     if logical == lt.INTEGER:
@@ -47,28 +60,28 @@ def _cast(text: Column, logical: str) -> Column:
     return text
 
 
-def _text_reader(spark: SparkSession, path: str, multi_line: bool):
-    return (
-        spark.read.option("sep", separator_for(path)).option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-        .option("nullValue", "").option("emptyValue", "")
-    )
+_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "", "emptyValue": ""}
 
 
-def _read_text(spark: SparkSession, path: str, multi_line: bool) -> tuple[list[str], DataFrame]:
+def _read_text(spark: SparkSession, path: str, one_task: bool) -> tuple[list[str], DataFrame]:
     """Original headers, and all cells as text under positional names."""
-    first = _text_reader(spark, path, multi_line).option("header", False).csv(path).head(1)
+    separator = separator_for(path)
+    options = {**_OPTIONS, "sep": separator}
+    # reads the first record only, whose cells may hold line breaks too
+    first = spark.read.options(**options, multiLine=True, header=False).csv(path).head(1)
     if not first:
         raise UnreadableFile(f"{path} contains no columns")
     headers = ["" if h is None else h for h in first[0]]
     schema = ", ".join(f"c{i} string" for i in range(len(headers)))
-    cells = _text_reader(spark, path, multi_line).option("header", True).schema(schema).csv(path)
-    return headers, cells
+    broken = None if one_task else records.broken_records(spark, path, separator)
+    if broken is not None:
+        return headers, broken.select(F.from_csv("value", F.lit(schema), options).alias("cells")).select("cells.*")
+    return headers, spark.read.options(**options, multiLine=one_task, header=True).schema(schema).csv(path)
 
 
 def _infer(sample: DataFrame) -> list[str]:
-    """Narrowest type that every sampled value of a column fits; text if there is none."""
-    order = [lt.BOOLEAN, lt.INTEGER, lt.DECIMAL, lt.DATE, lt.TIMESTAMP]
+    """Narrowest reading that every sampled value of a column fits; text if there is none."""
+    order = [reading for reading in _READINGS if reading != lt.STRING]
     row = sample.agg(*[
         F.struct(
             F.count(c).alias("present"), *[F.count(_cast(F.col(c), kind)).alias(kind) for kind in order]
@@ -81,37 +94,28 @@ def _infer(sample: DataFrame) -> list[str]:
     ]
 
 
-def breaks_inside_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether some line leaves a quote open; stops at the first one found."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
-def _read(spark: SparkSession, path: str, multi_line: bool | None, rows: int | None) -> DataFrame:
-    if multi_line is None:
-        multi_line = breaks_inside_quotes(spark, path)
-    headers, cells = _read_text(spark, path, multi_line)
+def _read(spark: SparkSession, path: str, one_task: bool, rows: int | None) -> DataFrame:
+    headers, cells = _read_text(spark, path, one_task)
     if rows is not None:
         cells = cells.limit(rows)
-    kinds = _infer(cells)
+    readings = _infer(cells)
     return cells.select(*[
-        _cast(F.col(c), kind).cast(_SQL_TYPES[kind]).alias(name, metadata={"header": header[:LONGEST_HEADER]})
-        for c, kind, name, header in zip(cells.columns, kinds, header_names(headers), headers)
+        _cast(F.col(c), how).cast(_SQL_TYPES[_READINGS[how]]).alias(name, metadata={"header": header[:LONGEST_HEADER]})
+        for c, how, name, header in zip(cells.columns, readings, header_names(headers), headers)
     ])
 
 
-def read_delimited(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, one_task: bool = False) -> DataFrame:
     """The whole file with normalised names and inferred types.
 
-    ``multi_line`` reads line breaks inside quotes, at the price of one task per file; None
-    finds out whether there are any.
+    ``one_task`` leaves the splitting into records to one task per file.
     """
-    return _read(spark, path, multi_line, None)
+    return _read(spark, path, one_task, None)
 
 
-def read_sample(spark: SparkSession, path: str, rows: int, multi_line: bool | None = None) -> DataFrame:
+def read_sample(spark: SparkSession, path: str, rows: int, one_task: bool = False) -> DataFrame:
     """The first ``rows`` rows, typed from themselves."""
-    return _read(spark, path, multi_line, rows)
+    return _read(spark, path, one_task, rows)
 
 
 def detect_schema(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from ledgerlight.sources import delimited, naming, warehouse
+from ledgerlight.sources import delimited, naming, records, warehouse
 
 
 def test_headers():
@@ -59,9 +61,70 @@ def test_tab_separated_ragged_and_duplicate_headers(spark, write_file):
 
 def test_line_breaks_inside_quotes(spark, write_file):
     path = write_file("x.csv", 'a,b\n1,"two\nlines"\n')
-    for how in (True, None):
-        assert [tuple(r) for r in delimited.read_delimited(spark, path, how).collect()] == [(1, "two\nlines")]
-    assert not delimited.breaks_inside_quotes(spark, write_file("y.csv", 'a,b\n1,"say ""so"", x"\n'))
+    for one_task in (True, False):
+        assert [tuple(r) for r in delimited.read_delimited(spark, path, one_task).collect()] == [(1, "two\nlines")]
+    assert records.broken_records(spark, write_file("y.csv", 'a,b\n1,"say ""so"", x"\n5" pipe,x\n'), ",") is None
+
+
+def odd_lines(separator):
+    """Broken and whole cells, doubled quotes, stray quotes, text after a closing quote, blank lines."""
+    draw = random.Random(4)
+    cells = ['plain', '"quoted"', '"a ""b"" c"', '5" pipe', '"two\nlines"', '"x\n\n""y""\nz"', '', '""', '"end""\n"',
+             f'"in{separator}side"', '"after" word', ' "not open', '"\n"', '"one\ntwo" tail', "it's", '"cr\r\nlf"']
+    rows = [separator.join(draw.choice(cells) for _ in range(3)) for _ in range(400)]
+    long = '"' + "\n".join(["long, " * 20] * 200) + '"'
+    rows[150] = separator.join([long, "x", long])
+    rows[300] += "\n\n"
+    return rows
+
+
+@pytest.mark.parametrize("name,separator", [("x.csv", ","), ("x.tsv", "\t")])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_split_files_give_the_records_of_one_task(spark, write_file, name, separator, end):
+    texts = [e.join([separator.join(["a", '"b\n2"', "c"]), *odd_lines(separator)]) + e for e in (end, "\n")]
+    path, plain = (write_file(place + name, text) for place, text in zip("pq", texts))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert records._lines(spark, path).rdd.getNumPartitions() > 20
+        one, many = (delimited.read_delimited(spark, p, t) for p, t in ((plain, True), (path, False)))
+        assert one.dtypes == many.dtypes
+        assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect())) and many.count() >= 390
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_every_range_is_composed_from_either_state():
+    draw = random.Random(6)
+    for _ in range(300):
+        text = "".join(draw.choice('ab,"\n') for _ in range(draw.randint(1, 60)))
+        lines = text.split("\n")
+        inside, wanted = False, []
+        for line in lines:
+            wanted.append(inside)
+            inside = records.ends_inside(line, ",", inside)
+        begins = sorted(draw.sample(range(1, len(lines)), min(len(lines) - 1, 3))) if len(lines) > 1 else []
+        rows = []
+        for begin, end in zip([0, *begins], [*begins, len(lines)]):
+            own = [line for line in lines[begin:end] if '"' in line]
+            state = [False, True, False, False]
+            for line in own:
+                state[:2] = (records.ends_inside(line, ",", s) for s in state[:2])
+                state[2:] = state[2] or state[0], state[3] or not state[1]
+            if own:
+                rows.append(dict(zip(
+                    ("file", "begin", "from_start", "from_inside", "breaks", "closed"), ("f", begin, *state)
+                )))
+        states = records.States(rows)
+        assert [states.at("f", b)[0] for b in [0, *begins]] == [wanted[b] for b in [0, *begins]]
+
+
+def test_days_first(spark, write_file):
+    path = write_file("x.csv", "a,b,c,d\n31/12/2025,05-06-2025,31/12/2025 10:30,12/31/2025\n01/2/2026,7-8-2025,1/1/2026 00:00:01.5,12/30/2025\n")
+    read = delimited.read_delimited(spark, path)
+    assert dict(read.dtypes) == {"a": "date", "b": "date", "c": "timestamp_ntz", "d": "string"}
+    assert [str(v) for v in read.collect()[1]] == ["2026-02-01", "2025-08-07", "2026-01-01 00:00:01.500000", "12/30/2025"]
+    mixed = delimited.read_delimited(spark, write_file("y.csv", "a\n31/12/2025\n2025-12-30\n"))
+    assert dict(mixed.dtypes) == {"a": "string"}
 
 
 def test_a_misfit_in_the_last_row_keeps_the_column_text(spark, write_file):
