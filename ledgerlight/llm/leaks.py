@@ -30,70 +30,105 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlight.llm.common import stored, text_of
 
 WINDOW, SHINGLE = 10, 3
-#: The bitmap has 16 bits per shingle and so lets one in sixteen others through; at most 32 MB.
+#: The bitmap has 64 bits or more per shingle, so it lets few others through; at most 32 MB.
 LEAST_BITS, MOST_BITS = 16, 28
-#: Words whose hashes a task remembers at a time.
-MEMORY = 400_000
+#: Bytes of text that are looked at together.
+BLOCK = 1 << 20
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
+_DRAW = np.random.Generator(np.random.PCG64(20240229))
+#: A word's hash is the sum of a number per byte times a number per place; spaces add nothing.
+_BYTES = _DRAW.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+_BYTES[32] = 0
+_PLACES = _DRAW.integers(0, 1 << 64, 1 << 16, np.uint64) | np.uint64(1)
 
 
 class Words:
-    """A text's words, and the 64-bit hashes of its runs of a few words."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def split(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        try:
-            return np.array([known[word] for word in words], np.uint64)
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    known[word] = xxhash.xxh3_64_intdigest(word)
-            return np.array([known[word] for word in words], np.uint64)
-
-    @staticmethod
-    def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
-        """One number for the ``size`` words from each place on."""
-        count = len(hashes) - size + 1
+    """The words of some texts on end: where each lies, its hash, and the text it is of."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        parts = [text.encode("utf-8", "surrogatepass").translate(_FOLD) for text in texts]
+        self.data = b" ".join(parts)
+        found = [self._words(begin, end) for begin, end in self._cuts()]
+        self.starts, self.ends, self.hashes = (
+            np.concatenate([f[n] for f in found]) if found else np.empty(0, kind)
+            for n, kind in enumerate((np.int64, np.int64, np.uint64))
+        )
+        #: Number of the first word of each text, and of all words.
+        self.first = np.searchsorted(self.starts, np.cumsum([0, *(len(part) + 1 for part in parts)]))
+        self.text = np.repeat(np.arange(len(parts)), np.diff(self.first))
+
+    def _cuts(self) -> Iterator[tuple[int, int]]:
+        """Stretches of about BLOCK bytes that end at spaces."""
+        begin = 0
+        while begin < len(self.data):
+            end = self.data.find(b" ", begin + BLOCK)
+            end = len(self.data) if end < 0 else end
+            yield begin, end
+            begin = end
+
+    def _words(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.frombuffer(self.data, np.uint8, end - begin, begin)
+        edges = np.flatnonzero(np.diff(codes != 32, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return starts, ends, np.empty(0, np.uint64)
+        place = np.arange(starts[0], len(codes)) - np.repeat(starts, np.diff(starts, append=len(codes)))
+        terms = _BYTES[codes[starts[0]:]] * _PLACES[place & 0xFFFF]
+        return starts + begin, ends + begin, np.add.reduceat(terms, starts - starts[0])
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of its first word, and a hash, of every run of ``size`` words of one text."""
+        count = len(self.hashes) - size + 1
         if count < 1:
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
         found = np.full(count, size, np.uint64)
         for n in range(size):
-            found = (found ^ hashes[n:n + count]) * _MIX
+            found = (found ^ self.hashes[n:n + count]) * _MIX
             found ^= found >> _SHIFT
-        return found * _MIX
+        whole = np.flatnonzero(self.text[:count] == self.text[size - 1:])
+        return whole, found[whole] * _MIX
+
+    def between(self, first: int, last: int) -> str:
+        """The words from ``first`` to before ``last``, joined by spaces."""
+        if last <= first:
+            return ""
+        return b" ".join(self.data[self.starts[first]:self.ends[last - 1]].split()).decode("utf-8", "replace")
+
+
+def _blocks(texts: pa.Array) -> Iterator[Words]:
+    """The texts in order, as many together as have about BLOCK characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= BLOCK:
+            yield Words(held)
+            held, size = [], 0
+    if held:
+        yield Words(held)
 
 
 def _windows(items: DataFrame, window: int, shingle: int, item_column: str, text_column: str) -> DataFrame:
     """(item, words, size, part, shingles): every window of every item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Words()
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = tool.split(text.as_py())
-                if not words:
+                words = Words([text.as_py()])
+                count = len(words.hashes)
+                if not count:
                     continue
-                size = min(window, len(words))
+                size = min(window, count)
                 part = min(shingle, size)
-                prints = tool.shingles(tool.hashes(words), part).view(np.int64)
-                for begin in range(0, len(words) - size + 1, 10_000):
-                    places = range(begin, min(begin + 10_000, len(words) - size + 1))
+                prints = words.shingles(part)[1].view(np.int64)
+                for begin in range(0, count - size + 1, 10_000):
+                    places = range(begin, min(begin + 10_000, count - size + 1))
                     yield pa.RecordBatch.from_arrays([
                         pa.array([item] * len(places), pa.string()),
-                        pa.array([b" ".join(words[p:p + size]).decode("utf-8", "replace") for p in places], pa.string()),
+                        pa.array([words.between(p, p + size) for p in places], pa.string()),
                         pa.array([size] * len(places), pa.int32()), pa.array([part] * len(places), pa.int32()),
                         pa.array([prints[p:p + size - part + 1] for p in places], pa.list_(pa.int64())),
                     ], ["item", "words", "size", "part", "shingles"])
@@ -108,7 +143,7 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     Pieces of 4 KB are made in tasks; the driver gets at most 8,192 of them.
     """
     count = hashes.agg(F.approx_count_distinct(column)).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * count).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * count).bit_length()))
     slot = F.shiftrightunsigned(column, 64 - bits) + 1
     pieces = hashes.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("held")
@@ -131,13 +166,11 @@ def _counted(texts: DataFrame, bits: np.ndarray, parts: Sequence[int]) -> DataFr
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Words()
         for batch in batches:
             kept = [np.empty(0, np.uint64)]
-            for text in batch.column(batch.num_columns - 1):
-                hashes = tool.hashes(tool.split(text.as_py()))
+            for words in _blocks(batch.column(batch.num_columns - 1)):
                 for part in parts:
-                    prints = tool.shingles(hashes, part)
+                    _, prints = words.shingles(part)
                     kept.append(prints[_passes(shared.value, prints)])
             found, times = np.unique(np.concatenate(kept), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["shingle", "n"])
@@ -153,23 +186,23 @@ def _places(texts: DataFrame, bits: np.ndarray, parts: Sequence[int], window: in
     ]))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Words()
         for batch in batches:
             sizes, found = [], []
-            for text in batch.column(1):
-                words = tool.split(text.as_py())
-                hashes, own = tool.hashes(words), []
+            for words in _blocks(batch.column(1)):
+                held: list[list[dict]] = [[] for _ in range(len(words.first) - 1)]
                 for part in parts:
-                    prints = tool.shingles(hashes, part)
-                    for place in np.flatnonzero(_passes(shared.value, prints)).tolist():
-                        begin = max(0, place - window)
-                        around = b" ".join(words[begin:place + window]).decode("utf-8", "replace")
-                        own.append({
-                            "shingle": int(prints[place].view(np.int64)), "place": place,
-                            "before": place - begin, "around": around,
+                    at, prints = words.shingles(part)
+                    passed = _passes(shared.value, prints)
+                    for word, shingle in zip(at[passed].tolist(), prints[passed].view(np.int64).tolist()):
+                        text = words.text[word]
+                        low, high = words.first[text], words.first[text + 1]
+                        begin = max(low, word - window)
+                        held[text].append({
+                            "shingle": shingle, "place": int(word - low), "before": int(word - begin),
+                            "around": words.between(begin, min(high, word + window)),
                         })
-                sizes.append(len(words))
-                found.append(own)
+                sizes += np.diff(words.first).tolist()
+                found += held
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, found_type)], ["id", "n_words", "found"]
             )
