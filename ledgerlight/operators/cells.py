@@ -58,13 +58,14 @@ def _key_fields(value: Column, dtype: T.DataType) -> dict[str, Column]:
 
 
 def cells(
-    df: DataFrame, columns: Sequence[tuple[int, str]], measures: Mapping[str, Column] | None = None
+    df: DataFrame, columns: Sequence[tuple[int, str]], measures: Mapping[str, Column] | None = None,
+    row_text: Column | None = None,
 ) -> DataFrame:
     """Non-null values of ``columns`` as rows ``slot, whole, real, moment, text``.
 
     ``columns`` pairs a slot number with a column name.  ``measures`` ride, under their
     names, on one extra row per input row in slot ``ROWS``, so that totals and distinct
-    counts can share one scan.
+    counts can share one scan.  ``row_text`` is that row's text, such as a digest of the input row.
     """
     measures = measures or {}
     empty = {name: F.lit(None).cast(kind) for name, kind in _TYPES.items()}
@@ -73,14 +74,15 @@ def cells(
     flat: list[Column] = []
     has_text = False
     for slot, name in columns:
-        value = F.col(name)
+        value = F.col(f"`{name}`")
         fields = _key_fields(value, df.schema[name].dataType)
         has_text = has_text or "text" in fields
         present = F.when(value.isNotNull(), F.lit(slot))
         flat += [present, *{**empty, **fields}.values(), *no_measures]
     count = len(columns)
     if measures:
-        flat += [F.lit(ROWS), *empty.values(), *measures.values()]
+        own = empty if row_text is None else {**empty, "text": row_text}
+        flat += [F.lit(ROWS), *own.values(), *measures.values()]
         count += 1
     stacked = df.select(F.stack(F.lit(count), *flat).alias("slot", *KEY, *measures)).where(
         F.col("slot").isNotNull()

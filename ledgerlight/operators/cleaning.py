@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlight import types as lt
 from ledgerlight.functions import text as tx
 from ledgerlight.functions.numbers import count_text
+from ledgerlight.operators.rows import distinct_count, distinct_rows
 from ledgerlight.session import small_frame
 
 # Share of values that must support a conversion, and the action names.
@@ -84,12 +85,23 @@ def cleaned(value: Column, actions: Sequence[str]) -> Column:
     return value
 
 
-def clean(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """Lazy cleaned frame: one projection, then DISTINCT if the plan asks for it."""
-    planned = {row["column"]: row["actions"] for row in plan.collect()}
+def _projected(df: DataFrame, planned: dict) -> DataFrame:
     # Trimmed values are named first, as each is asked for several times afterwards.
     trimmed = df.select(*[
         (tx.trim_spaces(F.col(c)) if TRIM in planned.get(c, ()) else F.col(c)).alias(c) for c in df.columns
     ])
-    projected = trimmed.select(*[cleaned(F.col(c), planned.get(c, ())).alias(c) for c in df.columns])
-    return projected.distinct() if DEDUPLICATE in planned.get(None, ()) else projected
+    return trimmed.select(*[cleaned(F.col(c), planned.get(c, ())).alias(c) for c in df.columns])
+
+
+def clean(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """Cleaned frame: one projection, then one of each row if the plan asks for it."""
+    planned = {row["column"]: row["actions"] for row in plan.collect()}
+    projected = _projected(df, planned)
+    return distinct_rows(projected) if DEDUPLICATE in planned.get(None, ()) else projected
+
+
+def clean_row_count(df: DataFrame, plan: DataFrame) -> int:
+    """How many rows ``clean`` leaves, from the digests of cleaned rows."""
+    planned = {row["column"]: row["actions"] for row in plan.collect()}
+    projected = _projected(df, planned)
+    return distinct_count(projected) if DEDUPLICATE in planned.get(None, ()) else projected.count()

@@ -1,14 +1,11 @@
 """Column profiles: about twenty statistics per column, for all columns together.
 
-The scans a profile needs, for up to COLUMNS_PER_SCAN columns together:
-
-1. one shuffle of typed cells: counts, exact distinct counts, shapes of text values;
-2. one aggregate without shuffle: extremes and moments of numbers, extremes of dates;
-3. exact quartiles of the numeric columns (``quantiles``);
-4. one aggregate without shuffle: values outside the quartile fences;
-5. one grouping of the few-valued text columns: their most frequent values.
-
-Each scan reads only the columns it needs.  What reaches the driver is one row per column.
+The table is read once, for up to COLUMNS_PER_SCAN columns together: every value becomes a typed
+cell, and one shuffle counts equal cells.  These counts are stored, and everything else is read from
+them: counts, exact distinct counts and shapes of text values, extremes and moments, exact quartiles
+(``quantiles``), values outside the quartile fences, and the most frequent values of few-valued text
+columns.  The digest of a whole row is a cell too, so repeated rows come from the same scan.  What
+reaches the driver is one row per column.
 """
 
 from __future__ import annotations
@@ -22,8 +19,9 @@ from ledgerlight import types as lt
 from ledgerlight.functions import text as tx
 from ledgerlight.functions.numbers import finite
 from ledgerlight.operators.cells import KEY, ROWS, cells
-from ledgerlight.operators.quantiles import exact_quantiles
-from ledgerlight.session import small_frame
+from ledgerlight.operators.quantiles import quantiles_of_counts
+from ledgerlight.operators.rows import duplicate_summary, row_digest
+from ledgerlight.session import small_frame, stored
 
 TOP_VALUES = 10
 FEW_VALUES = 50
@@ -42,65 +40,82 @@ def column_types(df: DataFrame) -> dict[str, str]:
     return {field.name: lt.logical_type(field.dataType) for field in df.schema}
 
 
-def _value_statistics(
-    df: DataFrame, columns: Sequence[str], shapes: bool
-) -> tuple[int, dict[str, dict[str, int]]]:
-    """Rows, and per column: non-null values, distinct values, text values of each shape.
-
-    Values are grouped first, so a value is inspected once however often it occurs, and
-    the grouping folds repeats before anything is shuffled.
-    """
-    grouped = (
-        cells(df, list(enumerate(columns)), {"row": F.lit(1)})
-        .groupBy("slot", *KEY).agg(F.count("*").alias("n"))
+def _counted(df: DataFrame, columns: Sequence[str], digest: bool) -> DataFrame:
+    """``slot, whole, real, moment, text, n``: how often each value occurs, and each row in slot ROWS."""
+    listed = cells(
+        df, list(enumerate(columns)), {"row": F.lit(1)}, row_digest(df) if digest else None
     )
-    counts = [F.sum("n").alias("present"), F.count("*").alias("distinct")]
-    if shapes:
-        grouped = tx.with_shape(grouped, "text", "shape")
+    return listed.groupBy("slot", *KEY).agg(F.count("*").alias("n"))
+
+
+def _slots(names: Sequence[str], columns: Sequence[str]) -> Column:
+    return F.col("slot").isin([columns.index(n) for n in names])
+
+
+def _statistics(counted: DataFrame, columns: Sequence[str], kinds: dict[str, str], base_only: bool) -> dict[int, dict]:
+    """Per slot: non-null values, distinct values; text values of each shape, extremes, sums."""
+    found = [F.sum("n").alias("present"), F.count("*").alias("distinct")]
+    if not base_only:
+        texts = [c for c in columns if kinds[c] == lt.STRING]
+        counted = tx.with_shape(counted.withColumn("word", F.when(_slots(texts, columns), F.col("text"))), "word", "shape")
         # A long text left as a digest carries its shape along.
         bits = F.coalesce(F.col("whole"), F.col("shape").cast("bigint"))
         for name, bit in _SHAPES.items():
-            has = F.col("text").isNotNull() & (bits.bitwiseAND(F.lit(bit)) != 0)
-            counts.append(F.sum(F.when(has, F.col("n")).otherwise(0)).alias(name))
-    found = {row["slot"]: row.asDict() for row in grouped.groupBy("slot").agg(*counts).collect()}
-    nothing = {"present": 0, "distinct": 0}
-    rows = found.get(ROWS, nothing)["present"]
-    return rows, {name: found.get(slot, nothing) for slot, name in enumerate(columns)}
-
-
-def _extremes(name: str, kind: str) -> Column:
-    """Extremes and moments of a numeric column, extremes of a temporal one."""
-    value = F.col(name)
-    if kind in lt.NUMERIC_TYPES:
-        number = value.cast("double")
-        fields = [
-            F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"),
-            F.stddev_samp(number).alias("stddev"),
-        ]
-    else:
-        pattern = "yyyy-MM-dd" if kind == lt.DATE else "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-        fields = [
-            F.regexp_replace(F.date_format(end(value), pattern), r"\.000000$", "").alias(label)
-            for end, label in ((F.min, "min"), (F.max, "max"))
-        ]
-    return F.struct(*fields).alias(name)
-
-
-def _outliers(df: DataFrame, quartiles: dict[str, list[float | None]]) -> dict[str, int]:
-    fences = {
-        name: (q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1))
-        for name, (q1, _, q3) in quartiles.items()
-        if q1 is not None and q3 > q1
+            has = F.col("word").isNotNull() & (bits.bitwiseAND(F.lit(bit)) != 0)
+            found.append(F.sum(F.when(has, F.col("n")).otherwise(0)).alias(name))
+        found.append(F.max(F.col("word").isNotNull() & F.col("whole").isNotNull()).alias("long"))
+        value = _number(columns, kinds)
+        found += [F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value * F.col("n")).alias("total")]
+        for kind, pattern in ((lt.DATE, "yyyy-MM-dd"), (lt.TIMESTAMP, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")):
+            own = _slots([c for c in columns if kinds[c] == kind], columns)
+            moment = F.when(own, F.coalesce("moment", F.timestamp_micros("whole").cast("timestamp_ntz")))
+            found += [
+                F.regexp_replace(F.date_format(end(moment), pattern), r"\.000000$", "").alias(f"{label}_{kind}")
+                for end, label in ((F.min, "first"), (F.max, "last"))
+            ]
+    return {row["slot"]: row.asDict() for row in counted.groupBy("slot").agg(*found).collect()}
+
+
+def _number(columns: Sequence[str], kinds: dict[str, str]) -> Column:
+    own = _slots([c for c in columns if kinds[c] in lt.NUMERIC_TYPES], columns)
+    return F.when(own, F.coalesce("real", F.col("whole").cast("double"), F.col("text").try_cast("double")))
+
+
+def _spread(
+    counted: DataFrame, columns: Sequence[str], kinds: dict[str, str], means: dict[int, float],
+    quartiles: dict[int, list[float]],
+) -> dict[int, tuple[float | None, int]]:
+    """Per numeric slot: the standard deviation, and values outside the quartile fences."""
+    rows = []
+    for slot, mean in means.items():
+        q1, _, q3 = quartiles.get(slot, (None, None, None))
+        fenced = q1 is not None and q3 > q1
+        rows.append((slot, mean, *((q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)) if fenced else (None, None))))
+    around = small_frame(counted.sparkSession, rows, lt.struct("slot int, mean double, low double, high double"))
+    value, n = F.col("value"), F.col("n")
+    found = (
+        counted.withColumn("value", _number(columns, kinds)).where("value IS NOT NULL")
+        .join(F.broadcast(around), "slot").groupBy("slot").agg(  # a row per column
+            F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))).alias("squares"), F.sum("n").alias("size"),
+            F.sum(F.when((value < F.col("low")) | (value > F.col("high")), n).otherwise(0)).alias("outside"),
+        )
+    )
+    return {
+        row["slot"]: ((row["squares"] / (row["size"] - 1)) ** 0.5 if row["size"] > 1 else None, row["outside"])
+        for row in found.collect()
     }
-    counts = {name: 0 for name, (q1, _, _) in quartiles.items() if q1 is not None}
-    if fences:
-        outside = {
-            name: (F.col(name).cast("double") < low) | (F.col(name).cast("double") > high)
-            for name, (low, high) in fences.items()
-        }
-        row = df.agg(*[F.count_if(flag).alias(name) for name, flag in outside.items()]).first()
-        counts.update(row.asDict())
-    return counts
+
+
+def _frequent(counted: DataFrame, columns: Sequence[str], few: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
+    """Most frequent values of text columns already known to have at most FEW_VALUES."""
+    if not few:
+        return {}
+    found: dict[str, list[tuple[str, int]]] = {name: [] for name in few}
+    rows = counted.where(_slots(few, columns)).select("slot", "text", "n").collect()
+    for row in sorted(rows, key=lambda r: (r["slot"], -r["n"], r["text"])):
+        if len(found[columns[row["slot"]]]) < TOP_VALUES:
+            found[columns[row["slot"]]].append((row["text"], row["n"]))
+    return found
 
 
 def _top_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
@@ -131,39 +146,60 @@ def profile(
     """One profile row per column of ``df`` (schema ``types.PROFILE``).
 
     ``base_only`` stops after null, distinct, constant and empty, which is all that
-    classification and relationship detection read, and takes the first scan only.  ``df`` is scanned several times: pass
-    a stored table, not an expensive query.
+    classification and relationship detection read.
     """
+    return survey(df, table, layer, columns, base_only, False)[0]
+
+
+def survey(
+    df: DataFrame,
+    table: str = "data",
+    layer: str = "raw",
+    columns: Sequence[str] | None = None,
+    base_only: bool = False,
+    duplicates: bool = True,
+) -> tuple[DataFrame, int]:
+    """The profile, and how many rows repeat an earlier one (0 unless ``duplicates``), from one reading."""
     kinds = column_types(df)
     names = list(columns if columns is not None else df.columns)
-    rows = 0
+    rows = repeated = 0
+    nothing = {"present": 0, "distinct": 0}
     stats: dict[str, dict] = {}
-    for batch in batched(names, COLUMNS_PER_SCAN):
-        rows, found = _value_statistics(df, batch, not base_only)
-        stats.update(found)
-
     quartiles, outliers, top = {}, {}, {}
-    if not base_only:
-        ordered = [
-            n for n in names
-            if kinds[n] in lt.NUMERIC_TYPES + lt.TEMPORAL_TYPES and stats[n]["present"]
-        ]
-        for batch in batched(ordered, COLUMNS_PER_SCAN):
-            row = df.agg(*[_extremes(n, kinds[n]) for n in batch]).first()
-            for n in batch:
-                stats[n].update(row[n].asDict())
-        numeric = [n for n in names if kinds[n] in lt.NUMERIC_TYPES and stats[n]["present"]]
-        for batch in batched(numeric, COLUMNS_PER_SCAN):
-            some = exact_quantiles(df, list(batch), (0.25, 0.5, 0.75))
-            quartiles.update(some)
-            outliers.update(_outliers(df, some))
-        few = [
-            n
-            for n in names
-            if kinds[n] == lt.STRING and stats[n]["present"] and stats[n]["distinct"] <= FEW_VALUES
-        ]
-        for batch in batched(few, COLUMNS_PER_SCAN):
-            top.update(_top_values(df, list(batch)))
+    for number, batch in enumerate(batched(names, COLUMNS_PER_SCAN) if names else [()]):
+        digest = duplicates and number == 0
+        counted = _counted(df, batch, digest)
+        if not base_only:
+            counted = stored(counted)
+        found = _statistics(counted, batch, kinds, base_only)
+        all_rows = found.pop(ROWS, nothing)
+        rows = all_rows["present"]
+        if digest:
+            repeated = rows - all_rows["distinct"]
+        stats.update({name: found.get(slot, nothing) for slot, name in enumerate(batch)})
+        if base_only:
+            continue
+        for slot, name in enumerate(batch):
+            for kind in lt.TEMPORAL_TYPES:
+                if kinds[name] == kind:
+                    ends = stats[name].get(f"first_{kind}"), stats[name].get(f"last_{kind}")
+                    stats[name] = {**stats[name], "min": ends[0], "max": ends[1]}
+        means = {
+            slot: found[slot]["total"] / found[slot]["present"]
+            for slot, name in enumerate(batch) if slot in found and kinds[name] in lt.NUMERIC_TYPES
+        }
+        if means:
+            ranked = quantiles_of_counts(counted.select("slot", _number(batch, kinds).alias("value"), "n"), (0.25, 0.5, 0.75))
+            spread = _spread(counted, batch, kinds, means, ranked)
+            for slot, mean in means.items():
+                stats[batch[slot]] |= {"mean": mean, "stddev": spread[slot][0]}
+                if slot in ranked:
+                    quartiles[batch[slot]] = ranked[slot]
+                    outliers[batch[slot]] = spread[slot][1]
+        few = [n for n in batch if kinds[n] == lt.STRING and 0 < stats[n]["distinct"] <= FEW_VALUES]
+        whole = [n for n in few if not stats[n]["long"]]
+        top.update(_frequent(counted, batch, whole))
+        top.update(_top_values(df, [n for n in few if n not in whole]))  # long texts are counted by their digests
 
     records = []
     for position, name in enumerate(names):
@@ -197,7 +233,7 @@ def profile(
         })
     return _derived(small_frame(
         df.sparkSession, [[record.get(f.name) for f in lt.PROFILE] for record in records], lt.PROFILE
-    ))
+    )), repeated
 
 
 def _derived(rows: DataFrame) -> DataFrame:
@@ -213,18 +249,5 @@ def _derived(rows: DataFrame) -> DataFrame:
     }).select(*lt.PROFILE.fieldNames())
 
 
-def duplicate_summary(df: DataFrame) -> DataFrame:
-    """One row ``rows, duplicate_rows``: all rows, and those that repeat an earlier one exactly.
-
-    One grouping over whole rows: copies are folded before the shuffle, so however many
-    copies a row has, each task sends it once.
-    """
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
-    return copies.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
-    )
-
-
 def duplicate_rows(df: DataFrame) -> int:
     return duplicate_summary(df).first()["duplicate_rows"]

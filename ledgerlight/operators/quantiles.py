@@ -1,158 +1,88 @@
-"""Exact quantiles of many numeric columns without sorting or gathering a whole column.
+"""Exact quantiles of many numeric columns by rank selection over range-partitioned value counts.
 
-Spark's exact ``percentile`` keeps a column's distinct values in one task.  Here each quantile
-is pinned down by narrowing: a mergeable sketch gives an interval that must hold it, one counting
-scan verifies the interval and how many values lie below, and the step repeats inside the
-interval until at most ``HELD_VALUES`` values are left.  State per task and on the driver stays
-bounded, and neither skewed nor repeated values matter because interval ends are counted, not
-stored.  NaN has no place in the order and is left out, like NULL.
+Spark's exact ``percentile`` keeps a column's distinct values in one task.  Here every column's values
+are counted first, so repeats are folded, and one shuffle deals ``(slot, value, n)`` into ranges.  The
+totals of ranges, a few rows per range, are added up in order; that tells which range holds a wanted
+rank, and only those ranges are read again.  No task holds more than its range, whatever the column.
+NaN has no place in the order and is left out, like NULL.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-HELD_VALUES = 10_000
-SKETCH_ACCURACY = 10_000
-
-
-@dataclass
-class _Bracket:
-    """The values at 0-based ranks ``first`` and ``last`` of a column lie in [low, high]."""
-
-    column: str
-    first: int
-    last: int
-    low: float
-    high: float
-    below: int  # values < low
-    size: int  # values in [low, high]
-
-    def inside(self) -> Column:
-        value = F.col(self.column)
-        return F.when((value >= self.low) & (value <= self.high), value)
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from ledgerlight.session import small_frame, stored
+
+_WANTED = T.StructType([
+    T.StructField("part", T.IntegerType()), T.StructField("slot", T.IntegerType()),
+    T.StructField("rank", T.LongType()),
+])
+
+
+def quantiles_of_counts(
+    counts: DataFrame, fractions: Sequence[float], ranges: int | None = None
+) -> dict[int, list[float]]:
+    """Continuous (interpolated) quantiles per slot of ``slot, value, n``; slots without values are missing."""
+    order = ["slot", "value"]
+    numbers = counts.select(F.col("slot").cast("int").alias("slot"), "value", "n").where("value IS NOT NULL AND NOT isnan(value)")
+    dealt = numbers.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    held = stored(dealt.withColumn("part", F.spark_partition_id()))
+    totals = defaultdict(list)
+    for row in held.groupBy("part", "slot").agg(
+        F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    ).collect():  # one row per range and slot in it
+        totals[row["slot"]].append(row)
+
+    wanted: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+    values: dict[tuple[int, int], float] = {}
+    sizes = {slot: sum(row["n"] for row in rows) for slot, rows in totals.items()}
+    for slot, rows in totals.items():
+        rows.sort(key=lambda row: row["part"])
+        for rank in {end(f * (sizes[slot] - 1)) for f in fractions for end in (math.floor, math.ceil)}:
+            before = 0
+            for row in rows:
+                if rank < before + row["n"]:
+                    if row["low"] == row["high"]:
+                        values[slot, rank] = row["low"]
+                    else:
+                        wanted[row["part"], slot, rank - before].append((slot, rank))
+                    break
+                before += row["n"]
+    if wanted:
+        asked = small_frame(counts.sparkSession, wanted, _WANTED)
+        up_to = Window.partitionBy("part", "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        read = held.where(F.col("part").isin(sorted({part for part, _, _ in wanted}))).withColumn(
+            "reach", F.sum("n").over(up_to)
+        )
+        found = read.join(asked, ["part", "slot"]).where("rank < reach AND rank >= reach - n")
+        for row in found.select("part", "slot", "rank", "value").collect():
+            for key in wanted[row["part"], row["slot"], row["rank"]]:
+                values[key] = row["value"]
+
+    out = {}
+    for slot, size in sizes.items():
+        out[slot] = []
+        for fraction in fractions:
+            place = fraction * (size - 1)
+            low, high = values[slot, math.floor(place)], values[slot, math.ceil(place)]
+            out[slot].append(low + (high - low) * (place % 1) if place % 1 else low)
+    return out
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], held_values: int = HELD_VALUES
+    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], ranges: int | None = None
 ) -> dict[str, list[float | None]]:
-    """Continuous (interpolated) quantiles per column; NULLs for columns without values."""
-    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    found: dict[str, list[float | None]] = {c: [None] * len(fractions) for c in columns}
+    """Quantiles per column; NULLs for columns without values."""
     if not columns:
-        return found
-    ends = numbers.agg(*[
-        F.struct(F.count(c).alias("size"), F.min(c).alias("low"), F.max(c).alias("high")) for c in columns
-    ]).first()
-    seen = {c: end for c, end in zip(columns, ends) if end["size"]}
-    ranks = {
-        (c, i): (math.floor(f * (end["size"] - 1)), math.ceil(f * (end["size"] - 1)))
-        for c, end in seen.items()
-        for i, f in enumerate(fractions)
-    }
-    for (c, i), (low, high) in _select_ranks(numbers.select(*seen), seen, ranks, held_values).items():
-        share = fractions[i] * (seen[c]["size"] - 1) % 1
-        found[c][i] = low + (high - low) * share if share else low
-    return found
-
-
-def _select_ranks(df, ends, ranks, limit):
-    done: dict = {}
-    open_ = {
-        key: _Bracket(key[0], first, last, ends[key[0]]["low"], ends[key[0]]["high"], 0, ends[key[0]]["size"])
-        for key, (first, last) in ranks.items()
-    }
-    while open_:
-        for key in [k for k, b in open_.items() if b.low == b.high]:
-            done[key] = (open_[key].low, open_[key].high)
-            del open_[key]
-        ready = {k: b for k, b in open_.items() if b.size <= limit}
-        if ready:
-            done.update(_read_off(df, ready))
-            open_ = {k: b for k, b in open_.items() if k not in ready}
-        if open_:
-            open_ = _narrow(df, open_, done)
-    return done
-
-
-def _read_off(df, brackets):
-    """Pick the wanted ranks out of brackets known to hold few values."""
-    ordered = {k: F.sort_array(F.collect_list(b.inside())) for k, b in brackets.items()}
-    row = df.agg(
-        *[
-            F.array(F.get(ordered[k], F.lit(b.first - b.below)), F.get(ordered[k], F.lit(b.last - b.below)))
-            for k, b in brackets.items()
-        ]
-    ).first()
-    return {k: tuple(pair) for k, pair in zip(brackets, row)}
-
-
-def _narrow(df, brackets, done):
-    """One sketch scan and one counting scan; settles or strictly shrinks every bracket."""
-    margin = 2 / SKETCH_ACCURACY
-    row = df.agg(
-        *[
-            F.percentile_approx(
-                b.inside(),
-                [
-                    max(0.0, (b.first - b.below) / b.size - margin),
-                    min(1.0, (b.last - b.below + 1) / b.size + margin),
-                ],
-                SKETCH_ACCURACY,
-            )
-            for b in brackets.values()
-        ]
-    ).first()
-    proposals = [tuple(pair) for pair in row]
-
-    measures = []
-    for b, (low, high) in zip(brackets.values(), proposals):
-        value = F.col(b.column)
-        below, above = value < low, value > high
-        between = (value > low) & (value < high)
-        measures += [
-            F.struct(
-                F.count_if(below).alias("below"),
-                F.count_if(value == low).alias("at_low"),
-                F.count_if(between).alias("between"),
-                F.count_if((value == high) & (value != low)).alias("at_high"),
-                F.max(F.when(below, value)).alias("last_below"),
-                F.min(F.when(between, value)).alias("first_between"),
-                F.max(F.when(between, value)).alias("last_between"),
-                F.min(F.when(above, value)).alias("first_above"),
-            )
-        ]
-    counted = df.agg(*measures).first()
-
-    remaining = {}
-    for (key, b), (low, high), seen in zip(brackets.items(), proposals, counted):
-        # Five zones in value order, each (ranks before its end, least value, greatest value).
-        zones = [
-            (seen.below, b.low, seen.last_below),
-            (seen.at_low, low, low),
-            (seen.between, seen.first_between, seen.last_between),
-            (seen.at_high, high, high),
-            (b.below + b.size - seen.below - seen.at_low - seen.between - seen.at_high, seen.first_above, b.high),
-        ]
-        # ``first`` and ``last`` are the same or neighbouring ranks, so once they fall into
-        # different zones they are the end of one and the start of the other.
-        start = 0
-        for count, least, greatest in zones:
-            if start <= b.first < start + count:
-                if b.last >= start + count:
-                    done[key] = (greatest, None)
-                elif least == greatest:
-                    done[key] = (least, greatest)
-                else:
-                    before = max(start, b.below)
-                    remaining[key] = _Bracket(
-                        b.column, b.first, b.last, least, greatest, before, start + count - before
-                    )
-            elif start <= b.last < start + count:
-                done[key] = (done[key][0], least)
-            start += count
-    return remaining
+        return {}
+    pairs = [part for i, c in enumerate(columns) for part in (F.lit(i), F.col(f"`{c}`").cast("double"))]
+    counts = stored(
+        df.select(F.stack(F.lit(len(columns)), *pairs).alias("slot", "value")).where("value IS NOT NULL")
+        .groupBy("slot", "value").agg(F.count("*").alias("n"))
+    )
+    found = quantiles_of_counts(counts, fractions, ranges)
+    return {c: found.get(i, [None] * len(fractions)) for i, c in enumerate(columns)}

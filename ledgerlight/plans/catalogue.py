@@ -19,7 +19,7 @@ from ledgerlight.operators.semantics import Shape
 from ledgerlight.plans import exports
 from ledgerlight.plans.pipelines import build_model, decide_model, propose_model, run_pipeline
 from ledgerlight.session import shared_folder, small_frame
-from ledgerlight.types import EDGES
+from ledgerlight.types import EDGES, NUMERIC_TYPES, TEMPORAL_TYPES
 from ledgerlight.sources import bounded_sql, delimited, naming, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,11 +163,19 @@ def profile_base(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    """Profile rows of all numeric columns of lineitem and events."""
+    tables = {"lineitem": exports.load(spark, folder, "lineitem"), "events": _events(spark, folder)}
+    rows = [
+        prof.profile(df, name, columns=[c for c, kind in prof.column_types(df).items() if kind in NUMERIC_TYPES])
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def profile_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    df = exports.load(spark, folder, "lineitem")
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-    return prof.profile(df, "lineitem", columns=columns).select(
+    return _measured(spark, folder).select(
         "column", *[_r(c, 4) for c in (
             "min_value", "max_value", "mean_value", "median_value", "stddev_value", "q1", "q3",
         )],
@@ -176,16 +184,15 @@ def profile_numeric(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def profile_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    return prof.profile(_events(spark, folder), "events", columns=["value", "user_id"]).select(
-        "column", "outlier_count"
-    )
+    return _measured(spark, folder).select("column", "outlier_count")
 
 
 @query
 def profile_temporal(spark: SparkSession, folder: str) -> DataFrame:
+    tables = {t: exports.load(spark, folder, t) for t in ("orders", "events", "lineitem")}
     rows = [
-        prof.profile(exports.load(spark, folder, t), t, columns=[c])
-        for t, c in (("orders", "o_orderdate"), ("events", "ts"), ("lineitem", "l_shipdate"))
+        prof.profile(df, t, columns=[c for c, kind in prof.column_types(df).items() if kind in TEMPORAL_TYPES])
+        for t, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, rows).select("column", "min_date", "max_date")
 
@@ -202,9 +209,7 @@ def profile_string(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def profile_top_values(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prof.profile(
-        exports.messy_sales(spark, folder), "messy_sales", columns=["active", "country", "wrap", "remark"]
-    )
+    rows = prof.profile(exports.messy_sales(spark, folder), "messy_sales")
     return rows.select("column", F.posexplode("top_values").alias("place", "top")).select(
         "column", (F.col("place") + 1).alias("place"), "top.value", "top.count", _r(F.col("top.fraction"), 6).alias("fraction")
     )
@@ -220,7 +225,7 @@ def duplicate_count(spark: SparkSession, folder: str) -> DataFrame:
 
 def _raw_findings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
     df = exports.messy_sales(spark, folder)
-    return df, prof.profile(df, "messy_sales"), prof.duplicate_rows(df)
+    return df, *prof.survey(df, "messy_sales")
 
 
 @query
@@ -252,7 +257,7 @@ def quality_issues(spark: SparkSession, folder: str) -> DataFrame:
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     df, rows, duplicates = _raw_findings(spark, folder)
     count = rows.first()["row_count"]
-    clean_rows = cleaning.clean(df, cleaning.plan_cleaning(rows, duplicates)).count()
+    clean_rows = cleaning.clean_row_count(df, cleaning.plan_cleaning(rows, duplicates))
     issues = quality.quality_issues(rows, count, duplicates)
     return quality.quality_report(issues, len(df.columns), count, clean_rows)
 

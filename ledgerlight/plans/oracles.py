@@ -163,23 +163,31 @@ def _profile_base() -> str:
     FROM found"""
 
 
+_NUMBERS = [
+    *(("lineitem", f"l_{c}") for c in (
+        "orderkey", "partkey", "suppkey", "linenumber", "quantity", "extendedprice", "discount", "tax",
+    )),
+    *(("events", c) for c in ("event_id", "user_id", "value")),
+]
+
+
 def _profile_numeric() -> str:
     return _union(
         f"""SELECT '{c}' AS "column", round(CAST(min({c}) AS DOUBLE), 4) AS min_value,
             round(CAST(max({c}) AS DOUBLE), 4) AS max_value, round(avg({c}), 4) AS mean_value,
             round(CAST(median({c}) AS DOUBLE), 4) AS median_value, round(stddev_samp({c}), 4) AS stddev_value,
             round(CAST(quantile_cont({c}, 0.25) AS DOUBLE), 4) AS q1,
-            round(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 4) AS q3 FROM lineitem"""
-        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+            round(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 4) AS q3 FROM {t}"""
+        for t, c in _NUMBERS
     )
 
 
 def _outliers() -> str:
     return _union(
-        f"""SELECT '{c}' AS "column", count(*) AS outlier_count FROM events,
-            (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM events)
+        f"""SELECT '{c}' AS "column", count(*) AS outlier_count FROM {t},
+            (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {t})
             WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)"""
-        for c in ("value", "user_id")
+        for t, c in _NUMBERS
     )
 
 
@@ -196,7 +204,7 @@ def _top_values() -> str:
         f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS count,
             (SELECT count(*) FROM messy) AS rows, count(*) OVER () AS groups
             FROM messy WHERE {c} IS NOT NULL GROUP BY {c}"""
-        for c in ("active", "country", "wrap", "remark")
+        for c in MESSY_COLUMNS
     )
     return f"""WITH {MESSY}, counted AS ({parts}), placed AS (
         SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS place FROM counted)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlight.operators import relationships
 from ledgerlight.operators.cleaning import audit, clean, plan_cleaning
 from ledgerlight.operators.metrics import kpis
-from ledgerlight.operators.profile import duplicate_rows, profile
+from ledgerlight.operators.profile import profile, survey
 from ledgerlight.operators.quality import quality_issues, quality_report
 from ledgerlight.operators.semantics import Shape, resolve, shape_of
 from ledgerlight.sources.delimited import read_delimited
@@ -48,9 +48,8 @@ def clean_table(warehouse: Warehouse, table: str, deduplicate: bool = True) -> C
     Findings describe the raw table; the profile that is kept describes the clean one.
     """
     raw = warehouse.read(RAW, table)
-    before = profile(raw, table, RAW)
+    before, duplicates = survey(raw, table, RAW, duplicates=deduplicate)
     rows = _rows(before, raw)
-    duplicates = duplicate_rows(raw) if deduplicate else 0
     plan = plan_cleaning(before, duplicates, deduplicate)
     stored = warehouse.write(CLEAN, table, clean(raw, plan))
     after = warehouse.keep(f"{table}_profile", profile(stored, table, CLEAN))

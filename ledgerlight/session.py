@@ -74,3 +74,13 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(_base(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame that several jobs will read as Parquet into the shared folder, and read it back.
+
+    As ``durable``, but columns and partitions that a job does not need are not read.
+    """
+    place = shared_folder(df.sparkSession)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import profile as prof
+from ledgerlight.operators import profile as prof, rows as row_tools
 from ledgerlight.operators.quantiles import exact_quantiles
 
 
@@ -13,8 +13,8 @@ def by_column(frame):
     return {row["column"]: row for row in frame.collect()}
 
 
-@pytest.mark.parametrize("limit", [10**6, 50, 1])
-def test_quantiles_do_not_depend_on_how_they_are_found(spark, limit):
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_quantiles_do_not_depend_on_how_they_are_found(spark, ranges):
     draw = random.Random(3)
     rows = [
         (
@@ -26,7 +26,7 @@ def test_quantiles_do_not_depend_on_how_they_are_found(spark, limit):
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(5)
     columns = {c: [r[i] for r in rows if r[i] is not None] for i, c in enumerate("abcde")}
     fractions = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    found = exact_quantiles(df, list(columns), fractions, limit)
+    found = exact_quantiles(df, list(columns), fractions, ranges)
     for name, values in columns.items():
         assert found[name] == pytest.approx(list(np.quantile(values, fractions)), rel=1e-12)
 
@@ -36,7 +36,7 @@ def test_quantiles_with_nan_end_and_leave_it_out(spark, share):
     rows = [(math.nan if i < 1000 * share else float(i % 37),) for i in range(1000)]
     df = spark.createDataFrame(rows, "a double")
     values = [v for (v,) in rows if not math.isnan(v)]
-    found = exact_quantiles(df, ["a"], (0.25, 0.5, 0.75), held_values=1)["a"]
+    found = exact_quantiles(df, ["a"], (0.25, 0.5, 0.75), ranges=9)["a"]
     assert found == (pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75]))) if values else [None] * 3)
 
 
@@ -116,3 +116,25 @@ def test_duplicates(spark):
     df = spark.createDataFrame([(1, "a")] * 3 + [(2, None)] * 2 + [(3, "c")], "a int, b string")
     assert prof.duplicate_rows(df) == 3
     assert prof.duplicate_rows(df.limit(0)) == 0
+
+
+def test_row_digests_tell_rows_apart(spark):
+    df = spark.sql("""
+        SELECT map('a', 1, 'b', 2) AS m, array(map('x', 0.0D)) AS a, CAST(NULL AS string) AS s, 0.0D AS d
+        UNION ALL SELECT map('b', 2, 'a', 1), array(map('x', -0.0D)), NULL, -0.0D
+        UNION ALL SELECT map('b', 2, 'a', 1), array(map('x', 0.0D)), '', 0.0D
+        UNION ALL SELECT map('b', 2), array(map('x', 0.0D)), '', 0.0D
+        UNION ALL SELECT NULL, NULL, 'null', double('NaN')
+        UNION ALL SELECT NULL, NULL, 'null', double('NaN')
+    """)
+    assert row_tools.duplicate_summary(df).first() == (6, 2)
+    assert row_tools.distinct_rows(df).count() == row_tools.distinct_count(df) == 4
+    shifted = spark.createDataFrame([("ab", "c"), ("a", "bc"), ("1:a", "-"), ("1", ":a-")], "_digest string, b string")
+    assert row_tools.distinct_rows(shifted).columns == ["_digest", "b"] and row_tools.distinct_count(shifted) == 4
+
+
+def test_distinct_rows_move_only_repeated_ones(spark):
+    df = spark.range(1000).selectExpr("id % 990 AS a", "concat('text ', id % 990) AS b")
+    got = row_tools.distinct_rows(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.distinct().collect()))
+    assert prof.survey(df)[1] == 10 and prof.survey(df, duplicates=False)[1] == 0
