@@ -19,8 +19,8 @@ from ledgerlight.functions.text import with_shape
 
 LONG_TEXT_BYTES = 128
 END_OF_BIGINT = 2.0**63
-_TYPES = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
-KEY = list(_TYPES)
+TYPES = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
+KEY = list(TYPES)
 ROWS = -1
 
 
@@ -68,7 +68,7 @@ def cells(
     counts can share one scan.  ``row_text`` is that row's text, such as a digest of the input row.
     """
     measures = measures or {}
-    empty = {name: F.lit(None).cast(kind) for name, kind in _TYPES.items()}
+    empty = {name: F.lit(None).cast(kind) for name, kind in TYPES.items()}
     types = df.select(*[c.alias(n) for n, c in measures.items()]).schema
     no_measures = [F.lit(None).cast(field.dataType) for field in types]
     flat: list[Column] = []

@@ -236,6 +236,13 @@ def survey(
     )), repeated
 
 
+def base_profile(rows: DataFrame) -> DataFrame:
+    """Profile rows from base counts alone: all else NULL."""
+    return _derived(rows.select(*[
+        F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in lt.PROFILE
+    ]))
+
+
 def _derived(rows: DataFrame) -> DataFrame:
     """Fractions and flags that follow from the counts, and NULL for NaN and infinities."""
     share = lambda part: F.coalesce(F.try_divide(F.col(part), F.col("row_count")), F.lit(0.0))

@@ -1,26 +1,27 @@
 """Foreign keys between tables, proposed from value containment.
 
-All pairs of columns are settled by one shuffle: every distinct key value is grouped once
-with a bit mask of the columns that hold it, and each pair is then a conditional count over
-those masks.  No pair of rows is ever emitted, and a value that fills a third of a table is
-folded before the shuffle.
+A value index groups every distinct key value of all tables once, with a bit mask of the columns that
+hold it.  Distinct counts of columns and the containment of every pair of columns are conditional
+counts over those masks.  No pair of rows is ever emitted, and a value that fills a third of a table
+is folded before the shuffle.  An index can be kept: when a table changes, that table alone is read,
+its bits are cleared in the kept index, and its new values are merged in.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from functools import reduce
-from itertools import batched
+from itertools import batched, count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ledgerlight import types as lt
 from ledgerlight.functions.numbers import percent_text
-from ledgerlight.operators.cells import KEY, cells
-from ledgerlight.operators.profile import column_types, profile as profile_table
+from ledgerlight.operators.cells import KEY, TYPES, cells
+from ledgerlight.operators.profile import base_profile, column_types
 from ledgerlight.operators.semantics import DIMENSION, IDENTIFIER, KEY_ENDING, may_be_key, with_meaning
-from ledgerlight.session import durable, small_frame
+from ledgerlight.session import small_frame, stored
 
 # What counts as evidence.
 LEAST_CONTAINMENT = 0.80
@@ -37,16 +38,107 @@ _FAMILY = {t: lt.type_family(t) for t in (
 )}
 
 
-def describe(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Base profile with role, for every column that could take part in a relationship."""
-    profiles = [
-        profile_table(
-            df, name, "clean", [c for c, kind in column_types(df).items() if may_be_key(c, kind)],
-            base_only=True,
-        )
+@dataclass(frozen=True)
+class ValueIndex:
+    """``columns``: base profile, role, family and ``slot`` (bit) of every key column.
+
+    ``presence``: one row per distinct key value of a family, with words of 62 column bits.
+    """
+
+    columns: DataFrame
+    presence: DataFrame
+
+    def words(self) -> list[str]:
+        return [c for c in self.presence.columns if c not in ("family", *KEY)]
+
+
+COLUMNS = T.StructType([*(f for f in lt.PROFILE if f.name in (
+    "table", "layer", "position", "column", "data_type", "row_count", "null_count", "distinct_count",
+)), T.StructField("slot", T.IntegerType())])
+
+
+def _holds(slot: int) -> Column:
+    return F.col(f"w{slot // BITS}").bitwiseAND(F.lit(1 << slot % BITS)) != 0
+
+
+def _comparable(df: DataFrame) -> DataFrame:
+    """Zoned timestamps as wall-clock ones, so that they compare with dates."""
+    zoned = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
+
+
+def _counts(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]]) -> dict[str, tuple[int, list[int]]]:
+    """Rows, and non-null values per key column, of every table; one job without a shuffle of rows."""
+    parts = [
+        df.agg(F.count("*").alias("rows"), F.array(*[F.count(f"`{c}`") for c in columns[name]]).cast("array<bigint>").alias("present"))
+        .select(F.lit(name).alias("table"), "rows", "present")
         for name, df in tables.items()
     ]
-    return with_meaning(reduce(DataFrame.unionByName, profiles))
+    rows = reduce(DataFrame.unionByName, parts).collect() if parts else []
+    return {row["table"]: (row["rows"], row["present"]) for row in rows}
+
+
+def index_values(
+    tables: Mapping[str, DataFrame], known: ValueIndex | None = None, changed: Iterable[str] | None = None
+) -> ValueIndex:
+    """The value index of ``tables``; of an index ``known`` only the tables ``changed`` are read again."""
+    fresh = set(tables) if known is None or changed is None else set(changed) & set(tables)
+    rows = [] if known is None else [row.asDict() for row in known.columns.collect()]
+    stay = [row for row in rows if row["table"] in tables and row["table"] not in fresh]
+    fresh |= set(tables) - {row["table"] for row in rows}
+    if known is not None and not (fresh & set(tables)) and len(stay) == len(rows):
+        return known
+
+    kinds = {t: column_types(tables[t]) for t in sorted(fresh)}
+    keys = {t: [c for c, kind in kinds[t].items() if may_be_key(c, kind)] for t in kinds}
+    used = {row["slot"] for row in stay}
+    free = (slot for slot in count() if slot not in used)
+    slots = {(t, c): next(free) for t in keys for c in keys[t]}
+    width = max([-1, *used, *slots.values()]) // BITS + 1
+    words = [f"w{w}" for w in range(width)]
+
+    zero = F.lit(0).cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot") % BITS)
+    parts = []
+    for t, names in keys.items():
+        if names:
+            families = F.create_map(*[x for c in names for x in (F.lit(slots[t, c]), F.lit(_FAMILY[kinds[t][c]]))])
+            listed = cells(_comparable(tables[t].select(*[f"`{c}`" for c in names])), [(slots[t, c], c) for c in names])
+            parts.append(listed.select(families[F.col("slot")].alias("family"), *KEY, *[
+                F.when(F.floor(F.col("slot") / BITS) == w, bit).otherwise(zero).alias(word) for w, word in enumerate(words)
+            ]))
+    if stay:
+        gone = [row["slot"] for row in rows if row not in stay]
+        kept = [sum(1 << slot % BITS for slot in gone if slot // BITS == w) for w in range(width)]
+        parts.append(known.presence.select("family", *KEY, *[
+            (F.col(word).bitwiseAND(~kept[w]) if word in known.words() else zero).alias(word) for w, word in enumerate(words)
+        ]))
+    spark = next(iter(tables.values())).sparkSession
+    if not parts:
+        fields = [("family", "string"), *((k, TYPES[k]) for k in KEY), ("w0", "bigint")]
+        presence = spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in fields))
+    else:
+        merged = reduce(DataFrame.unionByName, parts).groupBy("family", *KEY).agg(*[F.bit_or(w).alias(w) for w in words])
+        presence = stored(merged.where(reduce(lambda a, b: a | b, [F.col(w) != 0 for w in words])))
+
+    counts = _counts({t: tables[t] for t in keys}, keys)
+    distinct = {}
+    for batch in batched(slots.values(), PAIRS_PER_SCAN):
+        found = presence.agg(*[F.count_if(_holds(slot)).alias(f"s{slot}") for slot in batch]).first()
+        distinct.update(zip(batch, found))
+    described = [
+        {"table": t, "layer": "clean", "position": position, "column": c, "data_type": kinds[t][c],
+         "row_count": counts[t][0], "null_count": counts[t][0] - counts[t][1][position],
+         "distinct_count": distinct[slots[t, c]], "slot": slots[t, c]}
+        for t in keys for position, c in enumerate(keys[t])
+    ]
+    order = sorted([*stay, *described], key=lambda row: (row["table"], row["position"]))
+    return ValueIndex(small_frame(spark, [[row[n] for n in COLUMNS.names] for row in order], COLUMNS), presence)
+
+
+def describe(index: ValueIndex) -> DataFrame:
+    """Base profile with role, for every column that could take part in a relationship."""
+    return with_meaning(base_profile(index.columns))
 
 
 def candidate_pairs(columns: DataFrame) -> DataFrame:
@@ -79,53 +171,18 @@ def candidate_pairs(columns: DataFrame) -> DataFrame:
     )
 
 
-def _comparable(df: DataFrame) -> DataFrame:
-    """Zoned timestamps as wall-clock ones, so that they compare with dates."""
-    zoned = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
-
-
-def measure_containment(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
+def measure_containment(index: ValueIndex, pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``containment``: share of the source's distinct values found in the target."""
     wanted = pairs.orderBy(*EDGE).collect()
     schema = T.StructType(pairs.schema.fields + [T.StructField("containment", T.DoubleType())])
-    if not wanted:
-        return small_frame(pairs.sparkSession, [], schema)
-    ends = sorted(
-        {(p.from_table, p.from_column, p.family) for p in wanted}
-        | {(p.to_table, p.to_column, p.family) for p in wanted}
-    )
-    slots = {(table, column): slot for slot, (table, column, _) in enumerate(ends)}
-    by_table: dict[str, list[str]] = defaultdict(list)
-    for table, column, _ in ends:
-        by_table[table].append(column)
-
-    families = F.array(*[F.lit(family) for _, _, family in ends])
-    held = reduce(DataFrame.unionByName, [
-        cells(_comparable(tables[table].select(*names)), [(slots[table, c], c) for c in names])
-        for table, names in by_table.items()
-    ]).withColumn("family", F.element_at(families, F.col("slot") + 1))
-    words = range((len(slots) + BITS - 1) // BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot") % BITS)
-    presence = held.groupBy("family", *KEY).agg(*[
-        F.coalesce(F.bit_or(F.when(F.floor(F.col("slot") / BITS) == w, bit)), F.lit(0).cast("bigint")).alias(f"w{w}")
-        for w in words
-    ]).drop("family", *KEY)
-
-    def holds(table: str, column: str) -> Column:
-        slot = slots[table, column]
-        return F.col(f"w{slot // BITS}").bitwiseAND(F.lit(1 << slot % BITS)) != 0
-
-    batches = list(batched(wanted, PAIRS_PER_SCAN))
-    if len(batches) > 1:
-        presence = durable(presence)
+    slots = {(row["table"], row["column"]): row["slot"] for row in index.columns.collect()}
     rows = []
-    for batch in batches:
-        counted = presence.agg(*[
+    for batch in batched(wanted, PAIRS_PER_SCAN):
+        counted = index.presence.agg(*[
             F.struct(
-                F.count_if(holds(p.from_table, p.from_column)).alias("all"),
+                F.count_if(_holds(slots[p.from_table, p.from_column])).alias("all"),
                 F.count_if(
-                    holds(p.from_table, p.from_column) & holds(p.to_table, p.to_column)
+                    _holds(slots[p.from_table, p.from_column]) & _holds(slots[p.to_table, p.to_column])
                 ).alias("found"),
             )
             for p in batch
@@ -184,12 +241,16 @@ def accept(measured: DataFrame) -> DataFrame:
     )
 
 
-def detect(tables: Mapping[str, DataFrame], columns: DataFrame | None = None) -> DataFrame:
-    """Propose foreign keys among ``tables``; ``columns`` is ``describe``'s result if known."""
+def detect(tables: Mapping[str, DataFrame], index: ValueIndex | None = None) -> DataFrame:
+    """Propose foreign keys among ``tables``; ``index`` is their value index if known."""
     if len(tables) < 2:
         raise ValueError("relationship detection needs at least two tables")
-    columns = describe(tables) if columns is None else columns
-    return accept(measure_containment(tables, candidate_pairs(columns)))
+    return propose(index_values(tables) if index is None else index)
+
+
+def propose(index: ValueIndex) -> DataFrame:
+    """Edges from a value index alone."""
+    return accept(measure_containment(index, candidate_pairs(describe(index))))
 
 
 def merge_decisions(known: DataFrame, found: DataFrame) -> DataFrame:

@@ -163,11 +163,16 @@ def shape_of(semantics: DataFrame | Iterable[Row]) -> Shape:
 
 
 def resolve(profile: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Stored roles if every column has one, so that a user's correction survives."""
-    if stored is not None:
-        known = profile.select("column").join(
-            stored.where(F.col("role").isNotNull()), "column", "left_anti"
-        )
-        if known.isEmpty():
-            return stored
-    return classify(profile)
+    """Roles of the columns that ``profile`` has: stored where name and type still fit, else classified.
+
+    So a user's correction survives, and neither a column that is gone nor one that has become another
+    type keeps an old role.
+    """
+    found = classify(profile)
+    if stored is None:
+        return found
+    kept = stored.where(F.col("role").isNotNull()).select(
+        "column", "data_type", *[F.col(c).alias(f"kept_{c}") for c in ("role", "tags", "rationale")]
+    )
+    pick = [F.coalesce(f"kept_{c}", c).alias(c) if c in ("role", "tags", "rationale") else c for c in MEANING]
+    return found.join(kept, ["column", "data_type"], "left").select(*pick).orderBy("position")

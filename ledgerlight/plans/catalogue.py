@@ -347,9 +347,9 @@ def _confirmed(spark: SparkSession) -> DataFrame:
 
 @query
 def containment_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    tables = _tables(spark, folder)
-    pairs = rel.candidate_pairs(rel.describe(tables))
-    return rel.measure_containment(tables, pairs).select(*rel.EDGE, "to_distinct", _r("containment", 6))
+    index = rel.index_values(_tables(spark, folder))
+    pairs = rel.candidate_pairs(rel.describe(index))
+    return rel.measure_containment(index, pairs).select(*rel.EDGE, "to_distinct", _r("containment", 6))
 
 
 @query

@@ -15,7 +15,9 @@ from ledgerlight.operators.quality import quality_issues, quality_report
 from ledgerlight.operators.semantics import Shape, resolve, shape_of
 from ledgerlight.sources.delimited import read_delimited
 from ledgerlight.sources.naming import table_slug
-from ledgerlight.sources.warehouse import CLEAN, RAW, Warehouse
+from ledgerlight.session import small_frame
+from ledgerlight.sources.warehouse import CLEAN, META, RAW, Warehouse
+from ledgerlight.types import struct
 
 
 @dataclass(frozen=True)
@@ -95,6 +97,31 @@ def run_pipeline(
     return cleaned, analyse_table(warehouse, name, cleaned.profile)
 
 
+def current_index(warehouse: Warehouse, tables: Sequence[str], name: str = "model") -> relationships.ValueIndex:
+    """The kept value index of clean tables; only tables written since are read.
+
+    What is kept names the versions it was made from, its own among them, so that an update that broke
+    off in the middle is noticed, and the index made anew.
+    """
+    values, columns, made = (f"{name}_{part}" for part in ("values", "columns", "versions"))
+    now = {t: warehouse.version(CLEAN, t) for t in tables}
+    kept = warehouse.kept(made)
+    then = {row["table"]: row["version"] for row in kept.collect()} if kept is not None else {}
+    known = None
+    if then and all(then.pop(f"meta.{part}", None) == warehouse.version(META, part) for part in (values, columns)):
+        known = relationships.ValueIndex(warehouse.kept(columns), warehouse.kept(values))
+        if then == now:
+            return known
+    changed = [t for t in tables if known is None or then.get(t) != now[t]]
+    index = relationships.index_values({t: warehouse.read(CLEAN, t) for t in tables}, known, changed)
+    index = relationships.ValueIndex(
+        warehouse.keep(columns, index.columns), warehouse.write(META, values, index.presence)
+    )
+    now |= {f"meta.{part}": warehouse.version(META, part) for part in (values, columns)}
+    warehouse.keep(made, small_frame(warehouse.spark, now.items(), struct("table string, version string")))
+    return index
+
+
 def propose_model(
     warehouse: Warehouse, tables: Sequence[str], known: DataFrame | None = None, name: str = "model"
 ) -> DataFrame:
@@ -102,7 +129,9 @@ def propose_model(
 
     Decisions taken on an edge stay; ``decide_model`` takes them.
     """
-    found = relationships.detect({t: warehouse.read(CLEAN, t) for t in tables})
+    if len(tables) < 2:
+        raise ValueError("relationship detection needs at least two tables")
+    found = relationships.propose(current_index(warehouse, tables, name))
     known = warehouse.kept(f"{name}_edges") if known is None else known
     merged = found if known is None else relationships.merge_decisions(known, found)
     return warehouse.keep(f"{name}_edges", merged).orderBy(F.desc("confidence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -41,15 +43,22 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 class Warehouse:
     """Tables of one workspace, named ``raw.x``, ``clean.x`` and ``star.x``; ``meta.x`` has results.
 
-    Replacing a table overwrites it as a whole, so repeating a load changes nothing.
+    A table is a view of its current version.  Writing makes a new version and then lets the view name
+    it, in one catalog operation: a load that fails or is killed before leaves the old rows in place,
+    readers see one version or the other, and repeating a load changes nothing.  The old version is
+    dropped after the switch.
     """
 
     def __init__(self, spark: SparkSession, location: str | None = None):
-        """``location`` stores the tables in that folder instead of the catalog's own."""
+        """``location`` stores the versions in that folder instead of the catalog's own."""
         self.spark = spark
-        self.location = location
+        self.versions = "versions"
         for database in (RAW, CLEAN, STAR, META):
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        if location:
+            self.versions += "_" + hashlib.sha256(location.encode()).hexdigest()[:16]
+        at = f" LOCATION '{location}'" if location else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.versions}{at}")
 
     def name(self, layer: str, table: str) -> str:
         return f"{identifier(layer)}.{identifier(table)}"
@@ -57,12 +66,27 @@ class Warehouse:
     def write(self, layer: str, table: str, df: DataFrame) -> DataFrame:
         for column in df.columns:
             identifier(column)
-        writer = df.write.mode("overwrite")
-        if self.location:
-            writer = writer.option("path", f"{self.location}/{layer}/{table}")
-        writer.saveAsTable(self.name(layer, table))
+        name, version = self.name(layer, table), f"{self.versions}.{layer}_{uuid.uuid4().hex}"
+        df.write.saveAsTable(version)
+        self._switch(name, version)
         return self.read(layer, table)
 
+    def _switch(self, name: str, version: str) -> None:
+        old = self._version(name)
+        self.spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('version' = '{version}') AS SELECT * FROM {version}")
+        if old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+    def _version(self, name: str) -> str | None:
+        if not self.spark.catalog.tableExists(name):
+            return None
+        found = {row["key"]: row["value"] for row in self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        return found.get("version")
+
+    def version(self, layer: str, table: str) -> str | None:
+        """What names the rows that a table holds now: another write, another version."""
+        return self._version(self.name(layer, table))
+
     def read(self, layer: str, table: str) -> DataFrame:
         return self.spark.table(self.name(layer, table))
 
@@ -95,10 +119,12 @@ class Warehouse:
     def drop(self, table: str) -> None:
         """Remove a table from every layer, with its star view and results."""
         self.spark.sql(f"DROP VIEW IF EXISTS {self.name(STAR, table)}")
-        for layer in (RAW, CLEAN):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(layer, table)}")
-        for results in RESULTS:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(META, f'{table}_{results}')}")
+        results = [(META, f"{table}_{part}") for part in RESULTS]
+        for name in [self.name(*pair) for pair in ((RAW, table), (CLEAN, table), *results)]:
+            version = self._version(name)
+            self.spark.sql(f"DROP VIEW IF EXISTS {name}")
+            if version:
+                self.spark.sql(f"DROP TABLE IF EXISTS {version}")
 
     def query(self, sql: str, **parameters: Any) -> DataFrame:
         """Trusted SQL with ``:name`` parameters."""

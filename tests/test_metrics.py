@@ -115,11 +115,19 @@ def test_breakdown(orders, shape):
         metrics.breakdown(orders, shape, "revenue")
 
 
-def test_stored_roles_win_when_complete(spark, orders):
+def test_stored_roles_win_where_they_fit(spark, orders, shape):
     rows = profile(orders, base_only=True)
     mine = semantics.classify(rows).withColumn("rationale", semantics.F.lit("mine"))
-    assert semantics.resolve(rows, mine).first()["rationale"] == "mine"
-    assert semantics.resolve(rows, mine.where("column <> 'units'")).first()["rationale"] != "mine"
+    told = {r["column"]: r["rationale"] for r in semantics.resolve(rows, mine.where("column <> 'units'")).collect()}
+    assert told.pop("units") != "mine" and set(told.values()) == {"mine"}
+    # a column has gone, one has become another type, one is new: those are classified
+    again = orders.drop("revenue").withColumn("units", semantics.F.col("units").cast("string")).withColumn("fresh", semantics.F.lit(1.5))
+    found = semantics.resolve(profile(again, base_only=True), mine)
+    told = {r["column"]: r["rationale"] for r in found.collect()}
+    assert list(told) == again.columns
+    assert {c for c, why in told.items() if why != "mine"} == {"units", "fresh"}
+    assert semantics.shape_of(found).revenue is None
+    assert metrics.kpis(again, semantics.shape_of(found)).count() > 0
 
 
 def test_a_hot_customer_changes_nothing(spark, shape):

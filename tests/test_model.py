@@ -1,6 +1,7 @@
 import pytest
 
 from ledgerlight.operators import relationships as rel, star
+from ledgerlight.operators.cells import cells as cells_of
 from ledgerlight.plans import pipelines
 from ledgerlight.sources.warehouse import Warehouse
 
@@ -160,3 +161,40 @@ def test_equal_numbers_of_different_types_share_a_key(spark):
     keyed = cells.cells(df, list(enumerate(df.columns))).collect()
     keys = [{tuple(r)[1:5] for r in keyed if r["slot"] == n} for n in range(5)]
     assert keys[0] == keys[1] and keys[2] == keys[3] == keys[4]
+
+
+def test_index_reads_changed_tables_only(spark, tables, monkeypatch):
+    whole = rel.index_values(tables)
+    read = []
+    monkeypatch.setattr(rel, "cells", lambda df, columns, **kw: read.append(len(columns)) or cells_of(df, columns, **kw))
+    assert rel.index_values(tables, whole, []) is whole and not read
+    grown = {**tables, "customers": tables["customers"].where("customer_id < 4"), "extra": tables["products"]}
+    del grown["products"]
+    merged = rel.index_values(grown, whole, ["customers"])
+    assert read == [3, 2]  # of customers and extra
+    for got, wanted in ((merged, rel.index_values(grown)),):
+        assert got.columns.drop("slot").collect() == wanted.columns.drop("slot").collect()
+        assert rel.propose(got).collect() == rel.propose(wanted).collect()
+    assert merged.presence.where("w0 = 0").count() == 0
+
+
+def test_kept_index_follows_the_tables(spark, tables, monkeypatch):
+    store = Warehouse(spark)
+    names = list(tables)
+    for name, df in tables.items():
+        store.write("clean", name, df)
+    first = pipelines.propose_model(store, names, name="kept").collect()
+    groups = []
+    monkeypatch.setattr(rel, "cells", lambda df, columns, **kw: groups.append(df.columns) or cells_of(df, columns, **kw))
+    assert pipelines.propose_model(store, names, name="kept").collect() == first and not groups
+    store.write("clean", "products", tables["products"].where("product_id < 3"))
+    found = {(r["from_column"], r["to_table"]) for r in pipelines.propose_model(store, names, name="other").collect()}
+    assert ("product_id", "products") not in found
+    groups.clear()
+    index = pipelines.current_index(store, names, "kept")
+    assert groups == [["product_id", "label"]]
+    assert rel.propose(index).count() == len(found)
+    store.keep("kept_columns", index.columns.limit(0))  # as if an update had broken off
+    assert rel.propose(pipelines.current_index(store, names, "kept")).count() == len(found)
+    for name in tables:
+        store.drop(name)

@@ -168,3 +168,28 @@ def test_warehouse(spark):
     assert found.first()["n"] == 2
     store.drop("numbers")
     assert not store.exists("raw", "numbers") and not store.exists("clean", "numbers")
+
+
+def test_a_failed_load_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    store = warehouse.Warehouse(spark, str(tmp_path / "place"))
+    store.write("raw", "loads", spark.range(5).toDF("id"))
+    before, reading = store.version("raw", "loads"), store.read("raw", "loads")
+
+    with pytest.raises(Exception):  # fails while it writes
+        store.write("raw", "loads", spark.range(5).selectExpr("raise_error('no') AS id"))
+    assert store.row_count("raw", "loads") == 5 and store.version("raw", "loads") == before
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:  # killed between the write and the switch
+        patch.setattr(store, "_switch", killed)
+        with pytest.raises(KeyboardInterrupt):
+            store.write("raw", "loads", spark.range(9).toDF("id"))
+    assert store.row_count("raw", "loads") == 5 and reading.count() == 5
+
+    store.write("raw", "loads", store.read("raw", "loads").selectExpr("id", "id * 2 AS twice"))  # from itself
+    assert store.read("raw", "loads").columns == ["id", "twice"] and store.version("raw", "loads") != before
+    assert before.split(".")[1] not in [t.name for t in spark.catalog.listTables(store.versions)]
+    store.drop("loads")
+    assert store.version("raw", "loads") is None
