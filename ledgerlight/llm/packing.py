@@ -4,12 +4,15 @@ A document becomes its token ids plus an end id.  Every ``capacity`` ids in a ro
 their own; what is left over is packed in groups of ``group`` leftovers.  A group is split into as
 few windows as its sum needs by differencing: two partial partitions with opposing imbalances are
 merged, the most uneven first, until one is left, whose windows are near-equal.  The number of
-windows rises whenever one exceeds its capacity by more than ``trim`` ids; a smaller excess is cut
-off and fills windows with room, as documents may be cut.  ``trim=0`` never cuts.
+windows rises whenever one exceeds its capacity.  Documents may be cut, and one leftover in
+``every`` is, beforehand, into pieces of ``grain`` ids: such fine pieces level what whole leftovers
+leave uneven, so the count hardly rises above what the sum needs.  Neighbouring pieces that land in one
+window are one piece again.
 
 A task groups the documents it reads as they come, so no key decides where a piece goes, no text
 moves, and a task holds one group at a time.  Only its last group is smaller than the others.
-Null and empty texts are documents of one end id; an empty table gives no pieces.
+Null and empty texts are documents of one end id, null ids stay null, and repeated rows are packed one by
+one; other columns are not read.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlight.llm.common import text_of
 from ledgerlight.llm.encoding import Encoder
 
-CAPACITY, GROUP, TRIM = 2048, 128, 512
+CAPACITY, GROUP, EVERY, GRAIN = 2048, 512, 16, 32
 END_ID = 1
 COLUMNS = (
     "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
@@ -59,45 +62,39 @@ def _sum(part: tuple[int, list[int]]) -> int:
     return part[0]
 
 
-def windows_for(lengths: list[int], capacity: int, trim: int) -> list[list[int]]:
-    """The fewest near-equal windows of which none exceeds ``capacity`` by more than ``trim``."""
+def windows_for(lengths: list[int], capacity: int) -> list[list[int]]:
+    """The fewest near-equal windows of which none exceeds ``capacity``, as lists of item numbers."""
     windows = max(1, -(-sum(lengths) // capacity))
     while True:
         parts = difference(lengths, windows)
-        if all(sum(lengths[i] for i in part) <= capacity + trim for part in parts):
+        if all(sum(lengths[i] for i in part) <= capacity for part in parts):
             return parts
         windows += 1
 
 
-def place(lengths: list[int], capacity: int, trim: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start in it, length), each of at most ``capacity``."""
-    filled, excess, room = [], [], []
-    for part in windows_for(lengths, capacity, trim):
-        over = sum(lengths[i] for i in part) - capacity
-        pieces = [(i, 0, lengths[i]) for i in part]
-        while over > 0:  # from the end of the last piece
-            item, start, length = pieces.pop()
-            cut = min(over, length)
-            if length > cut:
-                pieces.append((item, start, length - cut))
-            excess.append((item, start + length - cut, cut))
-            over -= cut
-        filled.append(pieces)
-        room.append(max(0, -over) if over < 0 else 0)
-    for window, free in enumerate(room):
-        while free and excess:
-            item, start, length = excess.pop()
-            cut = min(free, length)
-            filled[window].append((item, start, cut))
-            if length > cut:
-                excess.append((item, start + cut, length - cut))
-            free -= cut
-    return filled
+def cut(sizes: list[int], every: int, grain: int) -> list[tuple[int, int, int]]:
+    """(item, start, length): items whole, but one in ``every`` in pieces of ``grain`` at most."""
+    pieces = []
+    for item, size in enumerate(sizes):
+        step = size if item % every else grain
+        pieces += [(item, start, min(step, size - start)) for start in range(0, size, step)]
+    return pieces
+
+
+def joined(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Pieces in order, neighbours of one item as one."""
+    out: list[tuple[int, int, int]] = []
+    for item, start, length in sorted(pieces):
+        if out and out[-1][0] == item and out[-1][1] + out[-1][2] == start:
+            out[-1] = (item, out[-1][1], out[-1][2] + length)
+        else:
+            out.append((item, start, length))
+    return out
 
 
 def pack(
     docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text",
-    capacity: int = CAPACITY, group: int = GROUP, trim: int = TRIM,
+    capacity: int = CAPACITY, group: int = GROUP, every: int = EVERY, grain: int = GRAIN,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
@@ -120,9 +117,10 @@ def pack(
 
         def close():
             nonlocal sequence
-            for window in place([len(r[2]) for r in rest], capacity, trim):
+            pieces = cut([len(r[2]) for r in rest], every, grain)
+            for window in windows_for([length for _, _, length in pieces], capacity):
                 offset = 0
-                for item, start, length in window:
+                for item, start, length in joined([pieces[n] for n in window]):
                     doc, first, ids, total = rest[item]
                     piece(doc, first + start, ids[start:start + length], total, offset)
                     offset += length

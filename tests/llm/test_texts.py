@@ -99,11 +99,14 @@ def test_encoder_against_library():
 
 
 def test_packing_places_every_id_once(spark):
+    from tokenizers import Tokenizer
+
     docs = frame(spark)
-    got = [tuple(r) for r in packing.pack(docs, BYTES, capacity=256, group=8, trim=16).collect()]
-    encoder, wanted = Encoder(BYTES), Counter()
+    got = [tuple(r) for r in packing.pack(docs, BYTES, capacity=256, group=8, every=3, grain=10).collect()]
+    library, wanted = Tokenizer.from_file(BYTES), Counter()
     for doc, text, *_ in rows(odd_texts()):
-        wanted[(doc, tuple([*encoder.encode(text or ""), packing.END_ID]))] += 1
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        wanted[(doc, tuple([*ids, packing.END_ID]))] += 1
     starts = Counter((r[0], r[1], r[2], r[3], r[4]) for r in got)
     for (doc, ids), times in wanted.items():
         assert sum(r[2] for r in got if r[0] == doc and r[4] == len(ids)) % len(ids) == 0
@@ -130,10 +133,20 @@ def test_differencing_and_rising_window_count():
     lengths = [7, 6, 5, 4, 4, 3, 3, 2]
     sums = sorted(sum(lengths[i] for i in part) for part in packing.difference(lengths, 2))
     assert sums == [17, 17]
-    parts = packing.windows_for([60, 60, 60], 100, 0)  # two windows would have to hold 120
+    parts = packing.windows_for([60, 60, 60], 100)  # two windows would have to hold 120
     assert sorted(map(len, parts)) == [1, 1, 1]
-    assert packing.place([60, 60, 60], 100, 50) and sum(map(len, packing.place([60, 60, 60], 100, 50))) > 3
-    assert packing.place([], 100, 0) == []
+    assert packing.windows_for([], 100) == []
+
+
+def test_fine_pieces_fill_the_windows():
+    draw = np.random.Generator(np.random.PCG64(2))
+    sizes = draw.integers(1, 2048, 512).tolist()
+    pieces = packing.cut(sizes, packing.EVERY, packing.GRAIN)
+    assert packing.joined(pieces) == [(n, 0, size) for n, size in enumerate(sizes)]
+    parts = [p for p in packing.windows_for([length for *_, length in pieces], 2048) if p]
+    assert all(sum(pieces[n][2] for n in part) <= 2048 for part in parts)
+    assert sorted(n for part in parts for n in part) == list(range(len(pieces)))
+    assert 1 - sum(sizes) / (2048 * len(parts)) < 0.03
 
 
 def test_mixing_rates_and_copies(spark):
