@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.llm.common import stored, text_of
+from ledgerlight.llm.filters import bitmap, passes
 
 WINDOW, SHINGLE = 10, 3
-#: The bitmap has 64 bits or more per shingle, so it lets few others through; at most 32 MB.
-LEAST_BITS, MOST_BITS = 16, 28
 #: Bytes of text that are looked at together.
 BLOCK = 1 << 20
 _FOLD = bytes(
@@ -137,30 +136,6 @@ def _windows(items: DataFrame, window: int, shingle: int, item_column: str, text
     return texts.mapInArrow(cut, "item string, words string, size int, part int, shingles array<long>")
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """Bits, one for each value of the leading bits of a hash that ``column`` holds; 32 MB at most.
-
-    Pieces of 4 KB are made in tasks; the driver gets at most 8,192 of them.
-    """
-    count = hashes.agg(F.approx_count_distinct(column)).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * count).bit_length()))
-    slot = F.shiftrightunsigned(column, 64 - bits) + 1
-    pieces = hashes.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("held")
-    )
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in pieces.collect():
-        held = np.frombuffer(row["held"], np.uint8)
-        begin = (row["piece"] - 1) * len(held)
-        out[begin:begin + len(held)] = held[:max(0, len(out) - begin)]
-    return out
-
-
-def _passes(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    slots = prints >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
-    return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-
 def _counted(texts: DataFrame, bits: np.ndarray, parts: Sequence[int]) -> DataFrame:
     """(shingle, n): how often the corpus holds the shingles that pass, added up per batch first."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
@@ -171,7 +146,7 @@ def _counted(texts: DataFrame, bits: np.ndarray, parts: Sequence[int]) -> DataFr
             for words in _blocks(batch.column(batch.num_columns - 1)):
                 for part in parts:
                     _, prints = words.shingles(part)
-                    kept.append(prints[_passes(shared.value, prints)])
+                    kept.append(prints[passes(shared.value, prints)])
             found, times = np.unique(np.concatenate(kept), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["shingle", "n"])
 
@@ -192,7 +167,7 @@ def _places(texts: DataFrame, bits: np.ndarray, parts: Sequence[int], window: in
                 held: list[list[dict]] = [[] for _ in range(len(words.first) - 1)]
                 for part in parts:
                     at, prints = words.shingles(part)
-                    passed = _passes(shared.value, prints)
+                    passed = passes(shared.value, prints)
                     for word, shingle in zip(at[passed].tolist(), prints[passed].view(np.int64).tolist()):
                         text = words.text[word]
                         low, high = words.first[text], words.first[text + 1]

@@ -4,7 +4,8 @@ Two multinomials over ``BUCKETS`` hash buckets of byte trigrams are counted: one
 documents (those labelled good), one over the whole corpus.  A document's verdict is the mean over
 its trigrams of log(p_trusted / p_corpus), both smoothed by one: per trigram, so length does not
 count.  Every document is held against the same threshold.  Counts cover every document; each task
-adds up its own before they are shuffled.
+adds up its own before they are shuffled.  Texts are moved for the trusted multinomial only: a bitmap
+of trusted ids of bounded size tells a scan which documents may be trusted, and those are joined.
 
 Words are runs of anything but ASCII white space.  Null texts have no words and fail the base
 rule, as do all texts of fewer than ``LEAST_WORDS`` words.  Without trusted documents the ratio is
@@ -21,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.llm.common import free_name, text_of
+from ledgerlight.llm.filters import bitmap, passes
 
 BUCKETS_LOG2 = 16
 BUCKETS = 1 << BUCKETS_LOG2
 #: Mean log ratio from which a document stays.
 THRESHOLD = -0.35
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
-#: Trusted ids that are sent to every task; more of them are joined by a shuffle.
-MOST_SENT = 1_000_000
 _WHITE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 COLUMNS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,39 +80,39 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(bucket, n_trusted, n_corpus) over all documents; ``trusted`` has the ids of good ones."""
-    good = trusted.select(F.col(f"`{id_column}`").cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    good = good.withColumn("good", F.lit(True))
-    if good.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        good = F.broadcast(good)
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_of(text_column).alias("text"))
+def _counted(texts: DataFrame, column: str, name: str) -> DataFrame:
+    """(bucket, ``name``) over all rows, added up per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, of_trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, is_good in zip(batch.column(0), batch.column(1).to_pylist()):
+            for text in batch.column(0):
                 grams = trigrams(text.as_py())
                 # a long text fills most buckets, a short one few
                 if len(grams) > BUCKETS // 8:
-                    found = np.bincount(grams, minlength=BUCKETS)
-                    corpus += found
-                    if is_good:
-                        of_trusted += found
+                    total += np.bincount(grams, minlength=BUCKETS)
                 else:
-                    np.add.at(corpus, grams, 1)
-                    if is_good:
-                        np.add.at(of_trusted, grams, 1)
-        held = np.flatnonzero(corpus)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(held, pa.int64()), pa.array(of_trusted[held]), pa.array(corpus[held])],
-            ["bucket", "n_trusted", "n_corpus"],
-        )
-
-    counted = texts.join(good, "id", "left").select("text", "good").mapInArrow(
-        run, "bucket long, n_trusted long, n_corpus long"
+                    np.add.at(total, grams, 1)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], ["bucket", "n"])
+
+    return texts.select(column).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias(name))
+
+
+def ngram_counts(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(bucket, n_trusted, n_corpus) over all documents; ``trusted`` has the ids of good ones."""
+    good = trusted.select(F.col(f"`{id_column}`").cast("long").alias("id")).filter("id IS NOT NULL").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(good.select(F.xxhash64("id").alias("hash")), "hash"))
+
+    @F.pandas_udf("boolean")
+    def may_be_trusted(hashes: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, hashes.to_numpy(np.int64).view(np.uint64)))
+
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_of(text_column).alias("text"))
+    some = texts.filter("id IS NOT NULL").filter(may_be_trusted(F.xxhash64("id"))).join(good, "id", "left_semi")
+    return _counted(texts, "text", "n_corpus").join(_counted(some, "text", "n_trusted"), "bucket", "left").select(
+        "bucket", F.coalesce("n_trusted", F.lit(0)).alias("n_trusted"), "n_corpus"
     )
-    return counted.groupBy("bucket").agg(F.sum("n_trusted").alias("n_trusted"), F.sum("n_corpus").alias("n_corpus"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:

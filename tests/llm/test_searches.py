@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ledgerlight.llm import leaks, periodic, queries, resampling
+from ledgerlight.llm import filters, leaks, periodic, queries, resampling
 from tests.llm.helpers import WORD, frame, odd_texts, prose, rows, same_rows
 
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -210,7 +210,7 @@ def test_leaks_of_empty_tables(spark):
 
 def test_bitmap_holds_every_hash(spark):
     hashes = np.random.Generator(np.random.PCG64(4)).integers(0, 1 << 64, 5000, np.uint64)
-    bits = leaks.bitmap(spark.createDataFrame([(int(h.view(np.int64)),) for h in hashes], "h long"), "h")
-    assert leaks._passes(bits, hashes).all()
+    bits = filters.bitmap(spark.createDataFrame([(int(h.view(np.int64)),) for h in hashes], "h long"), "h")
+    assert filters.passes(bits, hashes).all()
     others = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 5000, np.uint64)
-    assert leaks._passes(bits, others).mean() < 0.15
+    assert filters.passes(bits, others).mean() < 0.15
