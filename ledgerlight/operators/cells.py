@@ -59,13 +59,14 @@ def _key_fields(value: Column, dtype: T.DataType) -> dict[str, Column]:
 
 def cells(
     df: DataFrame, columns: Sequence[tuple[int, str]], measures: Mapping[str, Column] | None = None,
-    row_text: Column | None = None,
+    row_key: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Non-null values of ``columns`` as rows ``slot, whole, real, moment, text``.
 
     ``columns`` pairs a slot number with a column name.  ``measures`` ride, under their
     names, on one extra row per input row in slot ``ROWS``, so that totals and distinct
-    counts can share one scan.  ``row_text`` is that row's text, such as a digest of the input row.
+    counts can share one scan.  ``row_key`` is what that row is grouped by (a field of KEY and its value),
+    such as a digest of the input row, or its period.
     """
     measures = measures or {}
     empty = {name: F.lit(None).cast(kind) for name, kind in TYPES.items()}
@@ -81,7 +82,7 @@ def cells(
         flat += [present, *{**empty, **fields}.values(), *no_measures]
     count = len(columns)
     if measures:
-        own = empty if row_text is None else {**empty, "text": row_text}
+        own = {**empty, **(row_key or {})}
         flat += [F.lit(ROWS), *own.values(), *measures.values()]
         count += 1
     stacked = df.select(F.stack(F.lit(count), *flat).alias("slot", *KEY, *measures)).where(

@@ -82,11 +82,12 @@ def _addable(df: DataFrame, name: str) -> Column:
     return F.col(name) if isinstance(dtype, T.DecimalType) else F.col(name).cast("double")
 
 
-def _totals(df: DataFrame, shape: Shape) -> DataFrame:
+def _totals(df: DataFrame, shape: Shape, grain: str) -> DataFrame:
     """One row with everything the metrics need, from one scan and one shuffle.
 
-    Customer and order keys travel as typed cells next to one row of measures; both are
-    folded per task first, so a hot customer or order costs one row per task.
+    Customer and order keys travel as typed cells next to one row of measures, which is grouped by its
+    period; all are folded per task first, so a hot customer or order costs one row per task.  Totals
+    are sums over periods.  ``newest`` has the last two periods that have rows, the later one first.
     """
     measures = {
         name: _addable(df, column)
@@ -95,7 +96,10 @@ def _totals(df: DataFrame, shape: Shape) -> DataFrame:
     }
     keys = [(slot, c) for slot, c in enumerate((shape.customer, shape.order)) if c]
     folded = (
-        cells(df, keys, {"one": F.lit(1), **measures})
+        cells(
+            df, keys, {"one": F.lit(1), **measures},
+            {"moment": truncate(F.col(shape.time), grain)} if shape.time else None,
+        )
         .groupBy("slot", *KEY)
         .agg(
             F.count("*").alias("n"),
@@ -104,7 +108,12 @@ def _totals(df: DataFrame, shape: Shape) -> DataFrame:
         )
     )
     slot = F.col("slot")
+    value = finite(F.col("revenue_sum")).cast("double") if shape.revenue else F.col("n").cast("double")
+    period = F.when(
+        (slot == ROWS) & F.col("moment").isNotNull(), F.struct(F.col("moment").alias("period"), value.alias("value"))
+    )
     return folded.agg(
+        F.slice(F.sort_array(F.collect_list(period), asc=False), 1, 2).alias("newest"),  # as long as the calendar
         F.coalesce(F.sum(F.when(slot == ROWS, F.col("n"))), F.lit(0)).alias("rows"),
         F.count_if(slot == 0).alias("customers"),
         F.count_if((slot == 0) & (F.col("n") > 1)).alias("repeat_customers"),
@@ -114,10 +123,10 @@ def _totals(df: DataFrame, shape: Shape) -> DataFrame:
 
 
 def kpis(df: DataFrame, shape: Shape, table: str = "data", grain: str = "month") -> DataFrame:
-    """Every metric the shape supports, in display order (one row each).
+    """Every metric the shape supports, in display order (one row each, ``rank`` from 0).
 
-    ``growth`` is filled for total revenue only, when there is a time column and a
-    previous period.
+    ``growth`` is filled for total revenue only, when there is a time column and a previous period; it
+    comes from the fold that the totals come from.
     """
     names = {f: getattr(shape, f) for f in ("revenue", "quantity", "cost", "customer", "order")}
     usable = [m for m in _metrics() if all(names[need] for need in m.needs)]
@@ -135,13 +144,13 @@ def kpis(df: DataFrame, shape: Shape, table: str = "data", grain: str = "month")
             _exact(value).alias("value"), F.lit(True).alias("higher_is_better"), F.lit(sql).alias("sql"),
             F.array(*[F.lit(names[r]) for r in m.reads]).cast("array<string>").alias("depends_on"),
         ))
-    found = _totals(df, shape).select(F.inline(F.array(*rows)))
-    change = F.lit(None).cast("struct<period:timestamp_ntz,value:double,previous:double,change:double>")
-    if shape.time and shape.revenue:
-        newest = growth(df, shape, grain).select(F.struct("period", "value", "previous", "change"))
-        change = F.when(F.col("key") == "total_revenue", newest.scalar())
-    found = found.withColumn("growth", change)
-    return found.orderBy("rank").drop("rank")
+    now, before = F.get("newest", F.lit(0)), F.get("newest", F.lit(1))
+    change = F.when((F.col("key") == "total_revenue") & before["value"].isNotNull(), F.struct(
+        now["period"].alias("period"), now["value"].alias("value"), before["value"].alias("previous"),
+        ratio(now["value"] - before["value"], before["value"]).cast("double").alias("change"),
+    ))
+    found = _totals(df, shape, grain).select("newest", F.inline(F.array(*rows)))
+    return found.withColumn("growth", change).drop("newest").orderBy("rank")
 
 
 def _exact(value: Column) -> Column:

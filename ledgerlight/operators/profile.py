@@ -43,7 +43,7 @@ def column_types(df: DataFrame) -> dict[str, str]:
 def _counted(df: DataFrame, columns: Sequence[str], digest: bool) -> DataFrame:
     """``slot, whole, real, moment, text, n``: how often each value occurs, and each row in slot ROWS."""
     listed = cells(
-        df, list(enumerate(columns)), {"row": F.lit(1)}, row_digest(df) if digest else None
+        df, list(enumerate(columns)), {"row": F.lit(1)}, {"text": row_digest(df)} if digest else None
     )
     return listed.groupBy("slot", *KEY).agg(F.count("*").alias("n"))
 

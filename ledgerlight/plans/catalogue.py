@@ -282,7 +282,12 @@ def semantics_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _kpis(df: DataFrame, shape: Shape) -> DataFrame:
-    return metrics.kpis(df, shape).select("key", "label", "format", _r("value", 4))
+    return metrics.kpis(df, shape).select(
+        "rank", "key", "label", "format", _r("value", 4),
+        F.date_format("growth.period", "yyyy-MM-dd").alias("growth_period"),
+        *[_r(F.col(f"growth.{part}"), 4).alias(f"growth_{part}") for part in ("value", "previous")],
+        _r(F.col("growth.change"), 6).alias("growth_change"),
+    )
 
 
 @query
@@ -504,6 +509,17 @@ def churn_labels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def churn_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Drivers and quality of the fit."""
+    model = lapse.churn(exports.sales(spark, folder), SALES_SHAPE)
+    return model.drivers.select(
+        "feature", "label", _r("coefficient", 6), "direction", F.lit(model.cutoff_days).alias("cutoff_days"),
+        F.lit(model.customers).cast("bigint").alias("customers"), F.lit(model.lapsed).cast("bigint").alias("lapsed"),
+        _r(F.lit(model.accuracy), 6).alias("accuracy"), F.lit(model.definition).alias("definition"),
+    )
+
+
 @query
 def churn_scores(spark: SparkSession, folder: str) -> DataFrame:
     model = lapse.churn(exports.sales(spark, folder), SALES_SHAPE)

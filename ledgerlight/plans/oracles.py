@@ -400,6 +400,87 @@ _RFM = f"""{SALES}, rfm AS (
     FROM sales WHERE customer_id IS NOT NULL AND order_date IS NOT NULL GROUP BY customer_id),
     cut AS (SELECT round_even(greatest(30, quantile_cont(CAST(recency_days AS DOUBLE), 0.7)), 0) AS cutoff_days FROM rfm)"""
 
+_STEPS = 12
+
+
+def _newton_sql() -> str:
+    """Newton steps for the weighted ridge logistic, each an aggregate and a 4x4 Cholesky solution."""
+    x = ["1", "x1", "x2", "x3"]
+    parts = ["b0 AS (SELECT 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3)"]
+    for k in range(1, _STEPS + 1):
+        gradient = ", ".join(f"sum(w * (p - y) * {x[i]}){f' + max(c{i})' if i else ''} AS g{i}" for i in range(4))
+        curve = ", ".join(
+            f"sum(w * p * (1 - p) * {x[i]} * {x[j]}){' + 1' if i == j and i else ''} AS h{i}{j}"
+            for i in range(4) for j in range(i, 4)
+        )
+        lower = []
+        for i in range(4):
+            for j in range(i + 1):
+                rest = "".join(f" - l{i}{m} * l{j}{m}" for m in range(j))
+                lower.append(f"sqrt(h{i}{i}{rest}) AS l{i}{i}" if i == j else f"(h{j}{i}{rest}) / l{j}{j} AS l{i}{j}")
+            lower.append(f"(g{i}{''.join(f' - l{i}{m} * q{m}' for m in range(i))}) / l{i}{i} AS q{i}")
+        for i in reversed(range(4)):
+            lower.append(f"(q{i}{''.join(f' - l{m}{i} * d{m}' for m in range(i + 1, 4))}) / l{i}{i} AS d{i}")
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT {gradient}, {curve} FROM (
+            SELECT x.*, c.*, 1 / (1 + exp(-(c0 + c1 * x1 + c2 * x2 + c3 * x3))) AS p FROM x, b{k - 1} c))""")
+        parts.append(f"""b{k} AS MATERIALIZED (SELECT {", ".join(f"c{i} - d{i} AS c{i}" for i in range(4))}
+            FROM (SELECT *, {", ".join(lower)} FROM a{k}), b{k - 1})""")
+    return ", ".join(parts)
+
+
+def _churn() -> str:
+    kinds = ("frequency", "monetary", "tenure_days")
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(kinds, 1))
+    scaled = ", ".join(f"({c} - m{i}) / CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END AS x{i}" for i, c in enumerate(kinds, 1))
+    return f"""{_RFM}, labelled AS (SELECT rfm.*, cutoff_days, (recency_days > cutoff_days)::INT AS y FROM rfm, cut),
+    facts AS (SELECT count(*) AS n, sum(y) AS gone, max(cutoff_days) AS cutoff_days, {moments} FROM labelled),
+    x AS MATERIALIZED (SELECT l.*, {scaled}, CASE WHEN y = 1 THEN n / (2 * gone) ELSE n / (2 * (n - gone)) END AS w
+        FROM labelled l, facts),
+    {_newton_sql()}, scored AS (
+        SELECT x.*, c.*, 1 / (1 + exp(-(c0 + c1 * x1 + c2 * x2 + c3 * x3))) AS risk FROM x, b{_STEPS} c)"""
+
+
+def _churn_model() -> str:
+    labels = ("number of purchases", "total spend", "days as a customer")
+    parts = _union(
+        f"""SELECT '{c}' AS feature, '{label}' AS label, round(c{i}, 6) AS coefficient,
+            CASE WHEN c{i} > 0 THEN 'increases risk' ELSE 'reduces risk' END AS direction FROM b{_STEPS}"""
+        for i, (c, label) in enumerate(zip(("frequency", "monetary", "tenure_days"), labels), 1)
+    )
+    return f"""WITH {_churn()} SELECT d.*, cutoff_days, n AS customers, gone::BIGINT AS lapsed,
+        (SELECT round(avg(((risk > 0.5)::INT = y)::INT), 6) FROM scored) AS accuracy,
+        'Lapsed: no purchase in the ' || cutoff_days::BIGINT || ' days up to '
+            || strftime((SELECT max(order_date) FROM sales), '%Y-%m-%d') || ', the newest date in the data. '
+            || 'The limit is the 70th percentile of days since the last purchase.' AS definition
+        FROM ({parts}) d, facts"""
+
+
+def _churn_scores() -> str:
+    return f"""WITH {_churn()} SELECT customer, round(risk, 4) AS risk,
+        CASE WHEN risk >= 0.7 THEN 'high' WHEN risk >= 0.4 THEN 'medium' ELSE 'low' END AS band,
+        recency_days, frequency, round(monetary, 4) AS monetary,
+        'Bought ' || frequency || ' time(s) for ' || format('{{:,.0f}}', monetary) || ' in all, the last '
+            || recency_days || ' day(s) ago.' AS reason
+        FROM scored ORDER BY scored.risk DESC, customer LIMIT 10"""
+
+
+# Order in which metrics are shown.
+_SHOWN = (
+    "total_revenue", "gross_margin", "order_count", "average_order_value", "unique_customers",
+    "repeat_customer_rate", "revenue_per_customer", "total_units", "average_transaction", "row_count",
+)
+
+
+def _kpis_shown(prelude: str, found: list[str], time: str, value: str, source: str) -> str:
+    places = " ".join(f"WHEN '{key}' THEN {n}" for n, key in enumerate(_SHOWN))
+    return f"""WITH {prelude} k AS ({_union(found)}), s AS ({_series('month', time, f'sum({value})', source)}),
+    g AS (SELECT *, lag(value) OVER (ORDER BY period) AS previous FROM s ORDER BY period DESC LIMIT 1)
+    SELECT CAST(row_number() OVER (ORDER BY CASE key {places} END) - 1 AS INTEGER) AS rank, k.*,
+        strftime(g.period, '%Y-%m-%d') AS growth_period, round(g.value, 4) AS growth_value,
+        round(g.previous, 4) AS growth_previous, round((g.value - g.previous) / g.previous, 6) AS growth_change
+    FROM k LEFT JOIN g ON key = 'total_revenue' AND previous IS NOT NULL"""
+
+
 _TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -433,8 +514,13 @@ def oracle_sql() -> dict[str, str]:
         "quality_report": _quality_report(),
         "semantics_sales": _semantics("sales", _SALES_TYPES, SALES + ","),
         "semantics_events": _semantics("events", _EVENT_TYPES, ""),
-        "kpis_sales": f"WITH {SALES}\n" + _union(_kpis("sales", "revenue", "customer_id", "order_id", "units", "unit_cost")),
-        "kpis_events": _union(_kpis("events", "value", "user_id")),
+        "kpis_sales": _kpis_shown(
+            f"{SALES},", _kpis("sales", "revenue", "customer_id", "order_id", "units", "unit_cost"),
+            "order_date", "revenue", "sales",
+        ),
+        "kpis_events": _kpis_shown("", _kpis("events", "value", "user_id"), "ts", "value", "events"),
+        "churn_model": _churn_model(),
+        "churn_scores": _churn_scores(),
         "timeseries_records": f"WITH s AS ({_series('day', 'ts', 'count(*)', 'events')}) SELECT strftime(period, '%Y-%m-%d') AS period, CAST(value AS DOUBLE) AS value FROM s",
         "growth_month": f"""WITH {SALES}, s AS ({_series('month', 'order_date', 'sum(revenue)', 'sales')}),
             g AS (SELECT *, lag(value) OVER (ORDER BY period) AS previous FROM s)
