@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerlight.functions.numbers import finite, ratio
 from ledgerlight.operators import (
     anomalies as anomaly, churn as lapse, cleaning, forecast as outlook, metrics, profile as prof,
     quality, relationships as rel, semantics, star as stars,
@@ -19,7 +20,7 @@ from ledgerlight.operators.semantics import Shape
 from ledgerlight.plans import exports
 from ledgerlight.plans.pipelines import build_model, decide_model, propose_model, run_pipeline
 from ledgerlight.session import shared_folder, small_frame
-from ledgerlight.types import EDGES, NUMERIC_TYPES, TEMPORAL_TYPES
+from ledgerlight.types import EDGES, NUMERIC_TYPES, TEMPORAL_TYPES, struct
 from ledgerlight.sources import bounded_sql, delimited, naming, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +127,70 @@ def scan_delimited_odd(spark: SparkSession, folder: str) -> DataFrame:
     return delimited.read_delimited(spark, path)
 
 
+@query
+def scan_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The first rows of a file, typed from themselves: the first customers' numbers, all of them whole."""
+    path = shared_folder(spark) + ".csv"
+    suppliers = exports.load(spark, folder, "supplier").orderBy("s_suppkey").coalesce(1)
+    suppliers.select(
+        F.col("s_suppkey").alias("Supplier"), F.col("s_name").alias("Name"),
+        F.when(F.col("s_suppkey") > 8, F.lit("late")).otherwise(F.col("s_nationkey").cast("string")).alias("Nation"),
+    ).write.option("header", True).csv(path)
+    sample = delimited.read_sample(spark, path, 6)
+    kinds = F.lit(", ".join(kind for _, kind in sample.dtypes))
+    return sample.withColumn("types", kinds)
+
+
+@query
+def upload_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Table names and separators for uploads called after the nations; other file types are refused."""
+    endings = [".csv", " (2).TSV", ".txt", ".xls"]
+    names = [row["n_name"] for row in exports.load(spark, folder, "nation").orderBy("n_nationkey").collect()]
+    taken: list[str] = []
+    rows = []
+    for number, name in enumerate(names):  # one short name per upload
+        file = f"{number % 5} {name.title()} sales{endings[number % 4]}" if number % 3 else f"Sales{endings[number % 4]}"
+        try:
+            separator = {"\t": "tab"}.get(found := naming.separator_for(file), found)
+            taken.append(naming.table_slug(file, taken))
+            rows.append((file, taken[-1], separator))
+        except naming.InvalidName:
+            rows.append((file, "", "refused"))
+    return small_frame(spark, rows, struct("file string, slug string, separator string"))
+
+
+@query
+def warehouse_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Loading again replaces, dropping removes every layer: rows of each table after each step."""
+    store = warehouse.Warehouse(spark, shared_folder(spark))
+    orders, found = exports.load(spark, folder, "orders"), []
+
+    def note(step: str) -> None:
+        for layer in (warehouse.RAW, warehouse.CLEAN):
+            there = store.exists(layer, "job_loads")
+            found.append((step, layer, store.row_count(layer, "job_loads") if there else -1))
+
+    store.write(warehouse.RAW, "job_loads", orders)
+    store.write(warehouse.CLEAN, "job_loads", store.read(warehouse.RAW, "job_loads").where("o_orderstatus = 'F'"))
+    note("loaded")
+    store.write(warehouse.RAW, "job_loads", orders.select("o_orderkey").where("o_custkey % 2 = 0"))
+    note("loaded again")
+    store.drop("job_loads")
+    note("dropped")
+    return small_frame(spark, found, struct("step string, layer string, rows bigint"))
+
+
+@query
+def parametric_query(spark: SparkSession, folder: str) -> DataFrame:
+    store = warehouse.Warehouse(spark, shared_folder(spark))
+    store.write(warehouse.CLEAN, "job_orders", exports.load(spark, folder, "orders"))
+    return store.query(
+        "SELECT o_orderpriority AS priority, count(*) AS orders, round(sum(o_totalprice), 2) AS total "
+        "FROM clean.job_orders WHERE o_totalprice >= :low AND o_orderstatus <> :status GROUP BY o_orderpriority",
+        low=1000.0, status="O'Neil",
+    )
+
+
 @query
 def detect_schema(spark: SparkSession, folder: str) -> DataFrame:
     read = delimited.read_delimited(spark, _orders_as_file(spark, folder))
@@ -233,7 +298,7 @@ def cleaning_plan(spark: SparkSession, folder: str) -> DataFrame:
     _, rows, duplicates = _raw_findings(spark, folder)
     return cleaning.audit(cleaning.plan_cleaning(rows, duplicates)).select(
         F.coalesce("column", F.lit("*")).alias("column"), F.array_join("actions", " ").alias("actions"),
-        F.coalesce("resulting_type", F.lit("-")).alias("resulting_type"),
+        F.coalesce("resulting_type", F.lit("-")).alias("resulting_type"), "reason",
     )
 
 
@@ -249,10 +314,27 @@ def quality_issues(spark: SparkSession, folder: str) -> DataFrame:
     df, rows, duplicates = _raw_findings(spark, folder)
     count = rows.first()["row_count"]
     return quality.quality_issues(rows, count, duplicates).select(
-        F.coalesce("column_name", F.lit("*")).alias("column_name"), "code", "severity"
+        F.coalesce("column_name", F.lit("*")).alias("column_name"), "code", "severity", "message"
     )
 
 
+@query
+def quality_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings about number columns, and about the same table without rows."""
+    price = F.col("l_extendedprice")
+    df = exports.load(spark, folder, "lineitem").select(
+        "l_quantity", F.pow(price, F.lit(6)).alias("steep"), F.when(F.col("l_linenumber") == 7, price).alias("rare"),
+    )
+    found = []
+    for name, frame in (("full", df), ("empty", df.where("l_quantity < 0"))):
+        rows, duplicates = prof.survey(frame, name)
+        issues = quality.quality_issues(rows, rows.first()["row_count"], duplicates)
+        found.append(issues.select(
+            F.lit(name).alias("table"), F.coalesce("column_name", F.lit("*")).alias("column_name"), "code", "severity", "message",
+        ))
+    return found[0].unionByName(found[1])
+
+
 @query
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     df, rows, duplicates = _raw_findings(spark, folder)
@@ -281,6 +363,36 @@ def semantics_events(spark: SparkSession, folder: str) -> DataFrame:
     return _meaning(_events(spark, folder), "events")
 
 
+@query
+def stored_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's role stays after the table is loaded again; a column of another type is classified anew."""
+    df = exports.sales(spark, folder)
+    first = semantics.classify(prof.profile(df, "sales", base_only=True))
+    mine = F.col("column").isin("units", "status")
+    corrected = first.withColumns({
+        "role": F.when(mine, "ignored").otherwise(F.col("role")), "rationale": F.lit("stored"),
+    })
+    again = df.drop("unit_cost").withColumn("status", (F.col("status") == "O")).withColumn("price", F.col("revenue") / 2)
+    found = semantics.resolve(prof.profile(again, "sales", base_only=True), corrected)
+    can = {name for name, possible in semantics.shape_of(found).capabilities.items() if possible}
+    return found.select(
+        "column", "data_type", "role", (F.col("rationale") == "stored").alias("kept"),
+        F.lit(" ".join(sorted(can))).alias("capabilities"),
+    )
+
+
+@query
+def finite_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """NaN and infinities among the amounts of events: none reaches a result."""
+    n = F.col("event_id") % 10
+    odd = F.when(n == 3, F.lit("NaN")).when(n == 4, F.lit("Infinity")).when(n == 5, F.lit("-Infinity"))
+    amount = F.coalesce(odd.cast("double"), F.col("value"))
+    return _events(spark, folder).groupBy("event_type").agg(
+        F.count(finite(amount)).alias("finite"), _r(F.sum(finite(amount)), 4).alias("total"),
+        _r(finite(F.sum(amount))).alias("with_all"), _r(ratio(F.sum("value"), F.sum(F.lit(0)))).alias("per_nothing"),
+    )
+
+
 def _kpis(df: DataFrame, shape: Shape) -> DataFrame:
     return metrics.kpis(df, shape).select(
         "rank", "key", "label", "format", _r("value", 4),
@@ -360,7 +472,7 @@ def containment_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def detect_relationships(spark: SparkSession, folder: str) -> DataFrame:
     return rel.detect(_tables(spark, folder)).select(
-        *rel.EDGE, "containment", "confidence", "distinct_values", "name_match"
+        *rel.EDGE, "containment", "confidence", "distinct_values", "name_match", "rationale"
     )
 
 
@@ -391,7 +503,9 @@ def star_reconcile(spark: SparkSession, folder: str) -> DataFrame:
 def table_roles(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
     edges = rel.decide(rel.detect(tables), CONFIRMED)
-    return stars.model_summary(tables, edges).select("table", "role", "rows")
+    return stars.model_summary(tables, edges).select(
+        "table", "role", "rows", F.coalesce("joined_to", F.lit("")).alias("joined_to")
+    )
 
 
 @query
@@ -495,6 +609,15 @@ def rfm_features(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def rfm_text_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates kept as text, some of them unreadable: those rows do not count."""
+    text = F.when(F.col("order_id") % 50 == 0, F.lit("soon")).otherwise(F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"))
+    return lapse.rfm(exports.sales(spark, folder).withColumn("order_date", text), SALES_SHAPE).select(
+        "customer", "recency_days", "frequency", _r("monetary"), "tenure_days"
+    )
+
+
 @query
 def churn_cutoff(spark: SparkSession, folder: str) -> DataFrame:
     return lapse.lapse_cutoff(lapse.rfm(exports.sales(spark, folder), SALES_SHAPE))

@@ -100,6 +100,14 @@ def _duplicates() -> str:
     return "dup AS (SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS extra FROM messy)"
 
 
+def _count(count: str, noun: str) -> str:
+    return f"{count} || CASE WHEN {count} = 1 THEN ' {noun}' ELSE ' {noun}s' END"
+
+
+def _percent(share: str) -> str:
+    return f"CAST(round_even(({share}) * 100, 0) AS BIGINT) || '%'"
+
+
 def _cleaning_plan() -> str:
     return f"""WITH {MESSY}, {_text_stats()}, {_duplicates()}, planned AS (
         SELECT "column",
@@ -109,28 +117,37 @@ def _cleaning_plan() -> str:
                      WHEN dates / real >= 0.95 THEN 'cast_to_date'
                      WHEN numbers / real >= 0.95 THEN 'cast_to_number' END) AS actions,
             CASE WHEN words / real >= 0.95 THEN 'boolean' WHEN dates / real >= 0.95 THEN 'date'
-                 WHEN numbers / real >= 0.95 THEN 'decimal' ELSE 'string' END AS resulting_type
+                 WHEN numbers / real >= 0.95 THEN 'decimal' ELSE 'string' END AS resulting_type,
+            concat_ws('; ', CASE WHEN whitespace_count > 0 THEN {_count("whitespace_count", "value")} || ' lost padding' END,
+                CASE WHEN null_token_count > 0 THEN {_count("null_token_count", "placeholder")} || ' became NULL' END,
+                CASE WHEN words / real >= 0.95 THEN 'true/false words became booleans'
+                     WHEN dates / real >= 0.95 THEN 'text dates became dates'
+                     WHEN numbers / real >= 0.95 THEN 'numbers were read after dropping currency signs and separators' END) AS why
         FROM stats)
-    SELECT * FROM planned WHERE actions <> ''
-    UNION ALL SELECT '*', 'deduplicate_rows', '-' FROM dup WHERE extra > 0"""
+    SELECT "column", actions, resulting_type, upper(why[1]) || why[2:] || '.' AS reason FROM planned WHERE actions <> ''
+    UNION ALL SELECT '*', 'deduplicate_rows', '-', 'Rows that repeat another row exactly were dropped.' FROM dup WHERE extra > 0"""
 
 
 def _issues() -> str:
     rules = [
-        ("null_count = row_count", "empty_column", "'error'"),
-        ("null_count < row_count AND null_count / row_count >= 0.5", "high_null_rate", "'warning'"),
-        ("null_count < row_count AND distinct_count = 1 AND row_count > 1", "constant_column", "'info'"),
-        ("null_count < row_count AND numbers / real >= 0.5 AND numbers / real < 0.95", "mixed_types", "'warning'"),
-        ("null_count < row_count AND distinct_count / row_count >= 0.9 AND row_count > 10", "high_cardinality", "'info'"),
+        ("null_count = row_count", "empty_column", "'error'", "'has no values at all.'"),
+        ("null_count < row_count AND null_count / row_count >= 0.5", "high_null_rate", "'warning'",
+         f"'is ' || {_percent('null_count / row_count')} || ' null, so its totals and means mislead.'"),
+        ("null_count < row_count AND distinct_count = 1 AND row_count > 1", "constant_column", "'info'",
+         "'never changes and explains nothing.'"),
+        ("null_count < row_count AND numbers / real >= 0.5 AND numbers / real < 0.95", "mixed_types", "'warning'",
+         f"'is ' || {_percent('numbers / real')} || ' numbers and the rest text; it stayed text.'"),
+        ("null_count < row_count AND distinct_count / row_count >= 0.9 AND row_count > 10", "high_cardinality", "'info'",
+         "'has nearly as many values as rows, like an identifier.'"),
     ]
     parts = [
-        f"""SELECT "column" AS column_name, '{code}' AS code, {severity} AS severity FROM stats WHERE {holds}"""
-        for holds, code, severity in rules
+        f"""SELECT "column" AS column_name, '{code}' AS code, {severity} AS severity,
+            chr(39) || "column" || chr(39) || ' ' || {message} AS message FROM stats WHERE {holds}"""
+        for holds, code, severity, message in rules
     ]
-    parts.append(
-        "SELECT '*', 'duplicate_rows', CASE WHEN extra / rows > 0.01 THEN 'warning' ELSE 'info' END "
-        "FROM dup WHERE extra > 0"
-    )
+    parts.append(f"""SELECT '*', 'duplicate_rows', CASE WHEN extra / rows > 0.01 THEN 'warning' ELSE 'info' END,
+        {_count("extra", "repeated row")} || ' dropped, or ' || {_percent("extra / rows")} || ' of the table.'
+        FROM dup WHERE extra > 0""")
     return f"{MESSY}, {_text_stats()}, {_duplicates()}, issues AS ({_union(parts)})"
 
 
@@ -332,6 +349,10 @@ def _edges() -> str:
         PARTITION BY from_table, from_column ORDER BY confidence DESC, name_match DESC, to_table, to_column) = 1)"""
 
 
+_WHY = f"""{_percent("containment")} || ' of the values of ' || from_table || '.' || from_column || ' are among the '
+    || to_distinct || ' of ' || to_table || '.' || to_column || CASE WHEN name_match THEN ', and the names agree' ELSE '' END
+    || CASE WHEN containment < 1 THEN '; ' || {_percent("1 - containment")} || ' have no match' ELSE '' END || '.'"""
+
 _STAR_COLUMNS = {
     "customers": {"customer_name": "string", "segment": "string", "nation_id": "integer", "balance": "decimal"},
     "products": {
@@ -529,14 +550,14 @@ def oracle_sql() -> dict[str, str]:
         "breakdown_segment": f"{star} SELECT customers_segment AS label, round(sum(revenue), 4) AS value FROM star WHERE customers_segment IS NOT NULL GROUP BY 1 ORDER BY 2 DESC LIMIT 10",
         "breakdown_records": "SELECT props AS label, CAST(count(*) AS DOUBLE) AS value FROM events WHERE props IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7",
         "containment_pairs": f"WITH {_pairs()} SELECT from_table, from_column, to_table, to_column, to_distinct, round(containment, 6) AS containment FROM pairs",
-        "detect_relationships": f"WITH {_edges()} SELECT from_table, from_column, to_table, to_column, round(containment, 4) AS containment, CAST(confidence AS DOUBLE) AS confidence, to_distinct AS distinct_values, name_match FROM edges",
+        "detect_relationships": f"WITH {_edges()} SELECT from_table, from_column, to_table, to_column, round(containment, 4) AS containment, CAST(confidence AS DOUBLE) AS confidence, to_distinct AS distinct_values, name_match, {_WHY} AS rationale FROM edges",
         "merge_decisions": f"""WITH {_edges()} SELECT from_table, from_column, to_table, to_column, CAST(confidence AS DOUBLE) AS confidence,
             CASE WHEN from_table = 'sales' AND from_column IN ('customer_id', 'product_id') THEN TRUE
                  WHEN from_column = 'nation_id' THEN FALSE END AS confirmed FROM edges""",
         "star_sales": f"{star} SELECT * REPLACE (strftime(order_date, '%Y-%m-%d') AS order_date, round(revenue, 4) AS revenue) FROM star",
         "star_reconcile": f"{star} SELECT customers_segment, products_category, count(*) AS rows, round(sum(revenue), 4) AS revenue FROM star GROUP BY 1, 2",
-        "table_roles": """SELECT 'sales' AS "table", 'fact' AS role, count(*) AS rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-            UNION ALL SELECT 'customers', 'dimension', count(*) FROM customer UNION ALL SELECT 'products', 'dimension', count(*) FROM part""",
+        "table_roles": """SELECT 'sales' AS "table", 'fact' AS role, count(*) AS rows, 'customers on customer_id, products on product_id' AS joined_to FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+            UNION ALL SELECT 'customers', 'dimension', count(*), '' FROM customer UNION ALL SELECT 'products', 'dimension', count(*), '' FROM part""",
         "star_columns": f"{star} " + _union(
             f"SELECT '{t}_{c}' AS \"column\", '{kind}, from {t} via {t[:-1]}_id' AS description, count({t}_{c}) AS filled FROM star"
             for t, columns in _STAR_COLUMNS.items() for c, kind in columns.items()
@@ -550,6 +571,55 @@ def oracle_sql() -> dict[str, str]:
             ELSE o_orderkey::VARCHAR END AS order_id,
             CASE WHEN o_orderkey % 7 = 0 THEN 'two' || chr(10) || 'lines, "quoted" ' ELSE '' END || o_orderpriority AS note,
             o_custkey AS customer FROM orders""",
+        "scan_sample": """SELECT s_suppkey AS supplier, s_name AS name, s_nationkey::BIGINT AS nation,
+            'bigint, string, bigint' AS types FROM supplier ORDER BY s_suppkey LIMIT 6""",
+        "upload_names": """WITH f AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 > 0
+                THEN (n_nationkey % 5) || ' ' || 'Nation' || substr(n_name, 7) || ' sales' ELSE 'Sales' END AS stem,
+                CASE n_nationkey % 4 WHEN 0 THEN '.csv' WHEN 1 THEN ' (2).TSV' WHEN 2 THEN '.txt' ELSE '.xls' END AS ending FROM nation),
+            g AS (SELECT *, trim(regexp_replace(lower(stem || CASE WHEN ending LIKE ' (2)%' THEN ' (2)' ELSE '' END), '[^a-z0-9]+', '_', 'g'), '_') AS plain FROM f),
+            h AS (SELECT *, CASE WHEN regexp_matches(plain, '^[0-9]') THEN 't_' || plain ELSE plain END AS slug FROM g WHERE ending <> '.xls'),
+            i AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY k) AS copy FROM h),
+            j AS (SELECT k, CASE WHEN slug = 'sales_2' THEN 'sales_2_' || (copy + 1)
+                WHEN copy > 1 THEN slug || '_' || copy ELSE slug END AS slug FROM i)
+            SELECT stem || ending AS file, coalesce(slug, '') AS slug, CASE WHEN ending = '.xls' THEN 'refused'
+                WHEN ending LIKE '%TSV' THEN 'tab' ELSE ',' END AS separator FROM f LEFT JOIN j USING (k)""",
+        "warehouse_loads": _union(
+            f"SELECT '{step}' AS step, '{layer}' AS layer, {rows} AS rows FROM orders"
+            for step, layer, rows in (
+                ("loaded", "raw", "count(*)"), ("loaded", "clean", "count(*) FILTER (o_orderstatus = 'F')"),
+                ("loaded again", "raw", "count(*) FILTER (o_custkey % 2 = 0)"),
+                ("loaded again", "clean", "count(*) FILTER (o_orderstatus = 'F')"),
+                ("dropped", "raw", "-1 * count(*) // greatest(count(*), 1)"), ("dropped", "clean", "-1 * count(*) // greatest(count(*), 1)"),
+            )
+        ),
+        "parametric_query": """SELECT o_orderpriority AS priority, count(*) AS orders, round(sum(o_totalprice), 2) AS total
+            FROM orders WHERE o_totalprice >= 1000 GROUP BY 1""",
+        "quality_numbers": f"""WITH t AS (SELECT l_quantity, pow(l_extendedprice, 6) AS steep,
+                CASE WHEN l_linenumber = 7 THEN l_extendedprice END AS rare FROM lineitem),
+            n AS (SELECT count(*) AS rows, count(rare) AS held, (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS different FROM t),
+            q AS (SELECT quantile_cont(steep, 0.25) AS q1, quantile_cont(steep, 0.75) AS q3 FROM t),
+            o AS (SELECT count(*) AS out FROM t, q WHERE steep < q1 - 1.5 * (q3 - q1) OR steep > q3 + 1.5 * (q3 - q1))
+            SELECT 'full' AS "table", 'rare' AS column_name, 'high_null_rate' AS code, 'warning' AS severity, chr(39) || 'rare' || chr(39)
+                || ' is ' || {_percent("(rows - held) / rows")} || ' null, so its totals and means mislead.' AS message FROM n WHERE (rows - held) / rows >= 0.5
+            UNION ALL SELECT 'full', 'steep', 'outliers', 'info', chr(39) || 'steep' || chr(39) || ' has ' || out || ' extreme values, '
+                || {_percent("out / rows")} || ' of those present.' FROM o, n WHERE out / rows >= 0.05
+            UNION ALL SELECT 'full', '*', 'duplicate_rows', CASE WHEN (rows - different) / rows > 0.01 THEN 'warning' ELSE 'info' END,
+                {_count("(rows - different)", "repeated row")} || ' dropped, or ' || {_percent("(rows - different) / rows")} || ' of the table.'
+                FROM n WHERE rows > different
+            UNION ALL SELECT 'empty', '*', 'empty_dataset', 'error', 'The table has no rows.' FROM n WHERE rows > 0""",
+        "stored_roles": """SELECT * FROM (VALUES
+            ('order_id', 'integer', 'identifier', TRUE), ('customer_id', 'integer', 'identifier', TRUE),
+            ('product_id', 'integer', 'identifier', TRUE), ('order_date', 'timestamp', 'time', TRUE),
+            ('revenue', 'decimal', 'measure', TRUE), ('units', 'decimal', 'ignored', TRUE),
+            ('status', 'boolean', 'dimension', FALSE), ('return_class', 'string', 'dimension', TRUE),
+            ('priority_class', 'string', 'dimension', TRUE), ('price', 'decimal', 'measure', FALSE))
+            AS t("column", data_type, role, kept), (SELECT 'anomalies churn dimensions forecast' AS capabilities FROM lineitem LIMIT 1)""",
+        "finite_numbers": """SELECT event_type, count(*) FILTER (event_id % 10 NOT IN (3, 4, 5)) AS finite,
+            round(sum(value) FILTER (event_id % 10 NOT IN (3, 4, 5)), 4) AS total,
+            CASE WHEN count(*) FILTER (event_id % 10 IN (3, 4, 5)) = 0 THEN round(sum(value), 4) END AS with_all,
+            CAST(NULL AS DOUBLE) AS per_nothing FROM events GROUP BY event_type""",
+        "rfm_text_dates": "WITH " + _RFM.replace("FROM sales", "FROM (SELECT * FROM sales WHERE order_id % 50 <> 0)")
+            + " SELECT customer, recency_days, frequency, round(monetary, 4) AS monetary, tenure_days FROM rfm",
         "forecast_linear": _forecast(None),
         "forecast_linear_by_status": _forecast("status"),
         "anomalies": _anomalies("SELECT 0 AS k, date_trunc('month', order_date) AS period, sum(revenue) AS value FROM sales GROUP BY 1, 2", None, 3.0),
