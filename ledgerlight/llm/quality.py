@@ -7,11 +7,13 @@ attention unit learns how much each counts, and the score is that of the weighte
 
 All weights are fitted together, by Adam on the documents' cross-entropy.  The fit sees a bounded
 sample: the ``sample`` labelled documents with the smallest hash of their id, those of more than
-``LONGEST`` passages left out.  Scoring reads every passage of every document.
+``LONGEST`` passages left out, and ``passages`` passages in all at most (32 MB of features on the
+driver).  Scoring reads every passage of every document.
 
 Inputs are the text alone.  A text without words has no passages and gets the score of an empty
 bag; null counts as empty.  Without labels of both kinds every score is that of the kind there is,
-or 0.5.  Repeated rows are scored alike; an empty table gives an empty result.
+or 0.5.  Repeated rows are scored alike; an empty table gives an empty result.  The score replaces a
+column of its name; all other columns stay.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.llm import passages
-from ledgerlight.llm.common import map_batches, text_of
+from ledgerlight.llm.common import map_batches, stored, text_of
 
-SAMPLE, LONGEST = 3000, 512
+SAMPLE, LONGEST, PASSAGES = 3000, 512, 60_000
 THRESHOLD = 0.3
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 12, 64, 0.01, 3e-2
 
@@ -140,11 +142,12 @@ class AttentionModel:
 
 def fit(
     docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id",
-    text_column: str = "text", sample: int = SAMPLE,
+    text_column: str = "text", sample: int = SAMPLE, most: int = PASSAGES,
 ) -> AttentionModel | float:
     """The model; or the score to give everything if there are not labels of both kinds.
 
-    At most ``sample`` labels and the features of as many documents reach the driver.
+    At most ``sample`` labels, and the features of as many documents with ``most`` passages together,
+    reach the driver.
     """
     draw = F.xxhash64(F.lit("fit"), "id")
     chosen = (
@@ -165,8 +168,14 @@ def fit(
                 found.append(features.astype(np.float16).tobytes())
         return ids, known, found
 
-    measured = map_batches(rows, measure, "id long, label int, features binary")
-    got = measured.orderBy(draw, "features").limit(sample).collect()
+    measured = stored(
+        map_batches(rows, measure, "id long, label int, features binary")
+        .withColumn("draw", draw).withColumn("passages", F.octet_length("features") / (2 * passages.WIDTH))
+    )
+    order = ["draw", "features"]
+    sizes = measured.orderBy(*order).limit(sample).select("passages").collect()
+    taken = int((np.cumsum([row["passages"] for row in sizes]) <= most).sum())
+    got = measured.orderBy(*order).limit(taken).collect()
     known = np.array([row["label"] for row in got], np.float32)
     if len(set(known.tolist())) < 2:
         return float(known[0]) if len(known) else 0.5
