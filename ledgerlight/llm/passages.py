@@ -9,6 +9,7 @@ import numpy as np
 #: Words in a passage, and bytes of text that are worked on at a time.
 WORDS, WINDOW = 64, 1 << 20
 BINS = 256
+_SPACES = b"\x20\x09\x0A\x0B\x0C\x0D"
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _CLASSES = [
@@ -33,11 +34,16 @@ def windows(text: bytes) -> Iterator[bytes]:
 def encode(pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the pieces, and how many each piece has.
 
-    A passage is ``WORDS`` words in a row; each piece starts a new one.
+    A passage is ``WORDS`` words in a row, with the white space behind each but the piece's last; each
+    piece starts a new one.  Every piece is followed by the same two bytes, which no passage counts, so
+    that a passage's features do not depend on what comes next.
     """
-    data = np.frombuffer(b"\n".join(pieces), np.uint8)
-    lengths = np.array([len(piece) for piece in pieces])
-    begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    bare = [piece.strip(_SPACES) for piece in pieces]
+    data = np.frombuffer(b"".join([piece + b"\n\n" for piece in bare]), np.uint8)
+    lengths = np.array([len(piece) + 2 for piece in bare])
+    begins = np.cumsum(lengths) - lengths
+    counted = np.ones(len(data), bool)
+    counted[begins + lengths - 2] = counted[begins + lengths - 1] = False
     white = _WHITE[data]
     heads = ~white
     heads[1:] &= white[:-1]
@@ -53,19 +59,18 @@ def encode(pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = int(counts.sum())
     ends = np.append(starts[1:], len(data))
     of = np.repeat(passage, ends - starts)  # the passage of each byte from the first word on
-    data = data[starts[0]:]
-    white = white[starts[0]:]
+    data, white, counted = data[starts[0]:], white[starts[0]:], counted[starts[0]:].astype(np.float32)
 
     wide = data.astype(np.uint32)
     grams = np.full(len(data), 0x20, np.uint32)
     grams[:-2] = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
     bins = (grams * np.uint32(2654435761)) >> np.uint32(24)
     features = np.zeros((total, WIDTH), np.float32)
-    features[:, :BINS] = np.bincount(of * BINS + bins, minlength=total * BINS).reshape(total, BINS)
-    size = np.bincount(of, minlength=total).astype(np.float32)
+    features[:, :BINS] = np.bincount(of * BINS + bins, counted, total * BINS).reshape(total, BINS)
+    size = np.bincount(of, counted, total).astype(np.float32)
     features[:, :BINS] = np.sqrt(features[:, :BINS] / size[:, None])
     for n, members in enumerate(_CLASSES):
-        features[:, BINS + n] = np.bincount(of, members[data], minlength=total) / size
+        features[:, BINS + n] = np.bincount(of, members[data] * counted, total) / size
 
     place = np.arange(len(data)) - np.repeat(starts - starts[0], ends - starts)
     letters = np.where(white, 0, data).astype(np.uint64) + np.uint64(1)
