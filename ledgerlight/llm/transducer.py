@@ -11,9 +11,14 @@ A chunk of text is a map from states to (state, count).  No piece holds a space
 character, so such a mark resets the state: a chunk's map is what its head before the first mark
 does to the incoming state, and a constant behind it.  A head without a mark, however long, is run
 once from the reset state; from another state only the letters are run until both runs are in the
-same state.  Maps compose associatively without copying text, the first one starts in the reset
-state, and a text's chunks are composed by a parallel prefix scan.  Characters outside the vocabulary count as their
-UTF-8 bytes (byte fallback) and reset the state too.
+same state.  Maps compose associatively without copying text, so a text's chunks can be composed in
+any bracketing: in groups, whose maps are paired up level by level, as in the up-sweep of a parallel
+prefix scan.  A text is counted in one task and only its last prefix is asked for, so the down-sweep,
+which gives the others, is left out.  Characters outside the vocabulary count as their UTF-8 bytes
+(byte fallback) and reset the state too.
+
+What has been compiled is forgotten between groups once there is much of it; the state reached is then
+made anew, so that nothing holds the old ones.  A text of any length thus needs its own size and that.
 
 Null and empty texts have no tokens; an empty table gives an empty result.
 """
@@ -36,6 +41,8 @@ LIMIT = 4096
 SYNC = 256
 #: States and pairs remembered before they are forgotten and compiled again, and words.
 MEMORY, WORDS = 600_000, 250_000
+#: Chunks whose maps are composed before they act on the state.
+GROUP = 16
 
 
 class Head:
@@ -250,25 +257,26 @@ class Transducer:
         state, count = self.act(one.end, two.head)
         return ChunkMap(one.head, state if two.end is None else two.end, one.count + count + two.count)
 
-    def scan(self, maps: Sequence[ChunkMap]) -> list[ChunkMap]:
-        """All prefixes of ``maps`` composed: pairs first, then the odd places between them."""
-        if len(maps) < 2:
-            return list(maps)
-        pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])])
-        out = [maps[0]]
-        for n in range(1, len(maps)):
-            out.append(pairs[n // 2] if n % 2 else self.compose(pairs[n // 2 - 1], maps[n]))
-        return out
+    def total(self, maps: Sequence[ChunkMap]) -> ChunkMap:
+        """All ``maps`` composed, in pairs level by level."""
+        while len(maps) > 1:
+            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])]
+            maps = pairs + list(maps[2 * len(pairs):])
+        return maps[0]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if not text:
             return 0
-        if len(self.states) + len(self.pairs) > MEMORY:
-            self.clear()
-        marked = MARK + text.replace(" ", MARK)
-        maps = [self.chunk_map(marked[n:n + chunk]) for n in range(0, len(marked), chunk)]
-        maps[0] = self.compose(ChunkMap((), self.reset, 0), maps[0])
-        return self.scan(maps)[-1].count
+        state, count, marked = self.reset, 0, MARK + text.replace(" ", MARK)
+        for begin in range(0, len(marked), chunk * GROUP):
+            if len(self.states) + len(self.pairs) > MEMORY:
+                self.clear()
+                state = self._state(state.suffix, state.cuts)
+            end = min(begin + chunk * GROUP, len(marked))
+            whole = self.total([self.chunk_map(marked[n:min(n + chunk, end)]) for n in range(begin, end, chunk)])
+            _, state, more = self.compose(ChunkMap((), state, 0), whole)
+            count += more
+        return count
 
 
 _RESET = re.compile(f"[^{MARK}](?={MARK})")

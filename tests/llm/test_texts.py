@@ -88,6 +88,22 @@ def test_text_without_spaces_is_held_once():
         assert peak < 16e6
 
 
+def test_memory_is_bounded_within_a_text(monkeypatch):
+    """A long text without spaces meets new states all along; the old ones go before it ends."""
+    import sentencepiece
+
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=PIECES), transducer.Transducer.from_file(PIECES)
+    letters = np.random.Generator(np.random.PCG64(6)).integers(97, 123, 400_000, np.uint8).tobytes().decode()
+    monkeypatch.setattr(transducer, "MEMORY", 30_000)
+    cleared, clear = [], machine.clear
+    monkeypatch.setattr(machine, "clear", lambda: cleared.append(len(machine.states)) or clear())
+    tracemalloc.start()
+    assert machine.count(letters, 1024) == len(library.encode(letters))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(cleared) > 4 and max(cleared) < 60_000 and peak < 100e6
+
+
 def test_encoder_against_library():
     from tokenizers import Tokenizer
 
