@@ -7,6 +7,8 @@ import zlib
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerlight.llm import chat, warc
 from tests.llm.helpers import odd_texts, prose
 
@@ -86,6 +88,33 @@ def test_chat_round_trip(spark):
     assert got[1]["formatted_chars"] == sum(len(r["formatted"]) for r in pieces)
 
 
+def test_a_hot_conversation_is_spread_over_ranges(spark):
+    turns = [(7, n, "assistant" if n % 2 else "user", prose(n, 5 + n % 9), "x") for n in range(300)]
+    turns += [(c, n, "user", f"{c} {n}", "x") for c in (1, 9, None) for n in range(20)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        formatted = chat.format_turns(spark.createDataFrame(turns, CHATS).repartition(3), BYTES)
+        assert formatted.select("conv_id", F.input_file_name().alias("f")).where("conv_id = 7").distinct().count() > 3
+        rows = formatted.collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert len(rows) == len(turns)
+    for conv in (7, 1, 9, None):
+        own = sorted((r for r in rows if r["conv_id"] == conv), key=lambda r: r["position"])
+        assert [r["position"] for r in own] == list(range(len(own)))
+        reached = 0
+        for row, turn in zip(own, sorted((t for t in turns if t[0] == conv), key=lambda t: t[1])):
+            assert turn[3] in row["formatted"] and row["first_id"] == reached
+            assert (row["loss_start"] - reached, row["loss_end"] > row["loss_start"]) == (1, turn[2] == "assistant")
+            reached += len(row["ids"])
+    said = "".join(f"{t[2]}\n{t[3]}\n" for t in turns if t[0] == 7)
+    got = {r["conv_id"]: r for r in chat.digests(formatted, BYTES).collect()}
+    assert got[7]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[7]["n_turns"] == 300
+
+
 def test_control_strings_stand_only_where_the_template_put_them():
     for text in (CONTROL, "### User: </turn>", "\\", "\\###"):
         escaped = chat.escape(text)
