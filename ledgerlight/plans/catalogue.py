@@ -83,6 +83,15 @@ def scan_preview(spark: SparkSession, folder: str) -> DataFrame:
     return page.withColumn("o_orderdate", _stamp("o_orderdate"))
 
 
+@query
+def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A page from the middle of a stored table in an order with many ties."""
+    store = warehouse.Warehouse(spark, shared_folder(spark))
+    store.write(warehouse.CLEAN, "job_paged", exports.load(spark, folder, "orders"))
+    page = store.preview("job_paged", limit=50, offset=1000, order_by=["o_orderpriority", "o_orderdate"])
+    return page.withColumn("o_orderdate", _stamp("o_orderdate"))
+
+
 @query
 def row_counts(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse.row_counts({t: exports.load(spark, folder, t) for t in exports.TABLES})

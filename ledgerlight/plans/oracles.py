@@ -512,6 +512,8 @@ def oracle_sql() -> dict[str, str]:
     star = f"WITH {SALES}, {CUSTOMERS}, {PRODUCTS}, {_STAR}"
     found = {
         "scan_preview": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
+        "scan_pages": """SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders
+            ORDER BY o_orderpriority, orders.o_orderdate, o_orderkey LIMIT 50 OFFSET 1000""",
         "row_counts": _union(f"""SELECT '{t}' AS "table", count(*) AS rows FROM {t}""" for t in _TABLES),
         "normalise_headers": "SELECT c_custkey AS customer_id, c_name AS full_name, c_nationkey AS col_2026_nation, c_acctbal AS balance_usd, c_mktsegment AS group_col FROM customer",
         "scan_delimited": "SELECT o_orderkey AS order_id, o_totalprice AS total_price_usd, strftime(o_orderdate, '%Y-%m-%d') AS order_date, o_orderpriority AS priority, o_orderkey % 2 = 0 AS is_even, CASE WHEN o_custkey % 5 > 0 THEN o_custkey END AS order_id_2 FROM orders",

@@ -7,17 +7,22 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlight.operators.star import star_sql
 from ledgerlight.session import small_frame
 from ledgerlight.sources.naming import identifier
+from ledgerlight.sources.pages import RANGE, Pages, ordered_copy
 
 RAW, CLEAN, STAR, META = "raw", "clean", "star", "meta"
 
 
 #: Results kept per table.
-RESULTS = ("profile", "issues", "roles", "metrics")
+RESULTS = ("profile", "issues", "roles", "metrics", "pages", "paged")
+_PAGED = T.StructType([
+    T.StructField("place", T.IntegerType()), T.StructField("name", T.StringType()),
+    T.StructField("sizes", T.ArrayType(T.LongType())),
+])
 
 
 def preview(
@@ -63,11 +68,11 @@ class Warehouse:
     def name(self, layer: str, table: str) -> str:
         return f"{identifier(layer)}.{identifier(table)}"
 
-    def write(self, layer: str, table: str, df: DataFrame) -> DataFrame:
+    def write(self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         for column in df.columns:
             identifier(column)
         name, version = self.name(layer, table), f"{self.versions}.{layer}_{uuid.uuid4().hex}"
-        df.write.saveAsTable(version)
+        df.write.saveAsTable(version, partitionBy=list(partition_by) or None)
         self._switch(name, version)
         return self.read(layer, table)
 
@@ -110,8 +115,33 @@ class Warehouse:
             raise LookupError(f"{table} has no {layer} table yet")
         return layer
 
-    def preview(self, table: str, layer: str | None = None, **page: Any) -> DataFrame:
-        return preview(self.read(self.layer_of(table, layer), table), **page)
+    def preview(
+        self, table: str, layer: str | None = None, limit: int = 50, offset: int = 0, order_by: Sequence[str] = ()
+    ) -> DataFrame:
+        """A page of a table; with ``order_by`` from an ordered copy, which is made at the first page."""
+        layer = self.layer_of(table, layer)
+        if not order_by:
+            return preview(self.read(layer, table), limit, offset)
+        return self.pages(layer, table, order_by).page(limit, offset)
+
+    def pages(self, layer: str, table: str, order_by: Sequence[str]) -> Pages:
+        """The table's ordered copy, made anew when the table or the order has changed."""
+        copy, made = f"{table}_pages", f"{table}_paged"
+        now = [self.version(layer, table), *order_by]
+        kept = self.kept(made)
+        if kept is not None:
+            rows = kept.orderBy("place").collect()
+            if [r["name"] for r in rows] == [*now, self.version(META, copy)]:
+                return Pages(self.kept(copy), tuple((n, size) for n, size in enumerate(rows[0]["sizes"]) if size))
+        stored = self.write(META, copy, ordered_copy(self.read(layer, table), order_by), [RANGE])
+        pages = Pages.of(stored)
+        sizes = dict(pages.sizes)
+        counts = [sizes.get(n, 0) for n in range(max(sizes, default=-1) + 1)]
+        names = [*now, self.version(META, copy)]
+        self.keep(made, small_frame(
+            self.spark, [(place, name, counts) for place, name in enumerate(names)], _PAGED
+        ))
+        return pages
 
     def row_count(self, layer: str, table: str) -> int:
         return self.read(layer, table).count()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from ledgerlight.sources import delimited, naming, records, warehouse
+from ledgerlight.sources import delimited, naming, pages, records, warehouse
 
 
 def test_headers():
@@ -193,3 +193,32 @@ def test_a_failed_load_leaves_the_old_rows(spark, tmp_path, monkeypatch):
     assert before.split(".")[1] not in [t.name for t in spark.catalog.listTables(store.versions)]
     store.drop("loads")
     assert store.version("raw", "loads") is None
+
+
+def test_pages_read_their_ranges_only(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id % 7 AS kind", "1000 - id AS id", "map('a', id) AS m")
+    pages.ordered_copy(df, ["kind"], 13).write.partitionBy(pages.RANGE).parquet(f"{tmp_path}/copy")
+    found = pages.Pages.of(spark.read.parquet(f"{tmp_path}/copy"))
+    wanted = [(r["kind"], r["id"]) for r in df.orderBy("kind", "id").collect()]
+    assert found.rows == 1000 and len(found.sizes) > 9
+    for limit, offset in ((10, 0), (50, 333), (1, 999), (5, 998), (10, 1000), (2000, 0), (0, 4), (3, -1)):
+        got = [(r["kind"], r["id"]) for r in found.page(limit, offset).collect()]
+        assert got == wanted[max(0, offset):max(0, offset) + max(1, limit)]
+    page = found.page(5, 600)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull({pages.RANGE}" in plan or f"PartitionFilters: [{pages.RANGE}" in plan
+
+
+def test_stored_pages_follow_the_table(spark, tmp_path):
+    store = warehouse.Warehouse(spark, str(tmp_path / "paged"))
+    store.write("clean", "paged", spark.range(100).selectExpr("id", "id % 3 AS kind"))
+    first = [tuple(r) for r in store.preview("paged", limit=3, offset=40, order_by=["kind"]).collect()]
+    assert first == [(19, 1), (22, 1), (25, 1)]  # 34 of kind 0 come before
+    copy = store.version("meta", "paged_pages")
+    store.preview("paged", limit=3, order_by=["kind"])
+    assert store.version("meta", "paged_pages") == copy
+    store.write("clean", "paged", spark.range(5).selectExpr("9 - id AS id", "0 AS kind"))
+    assert [r["id"] for r in store.preview("paged", limit=2, offset=1, order_by=["id"]).collect()] == [6, 7]
+    assert store.version("meta", "paged_pages") != copy
+    store.drop("paged")
+    assert not store.exists("meta", "paged_pages")
