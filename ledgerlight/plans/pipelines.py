@@ -63,7 +63,7 @@ def clean_table(warehouse: Warehouse, table: str, deduplicate: bool = True) -> C
 def analyse_table(warehouse: Warehouse, table: str, profile_rows: DataFrame | None = None) -> Analysed:
     """Classify a clean table and compute every metric it supports.
 
-    Roles that are kept, corrected by a user or not, are used while they name every column.
+    Roles that are kept, corrected by a user or not, are used where column and type still fit.
     """
     df = warehouse.read(CLEAN, table)
     rows = profile(df, table, CLEAN, base_only=True) if profile_rows is None else profile_rows
