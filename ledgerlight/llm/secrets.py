@@ -22,6 +22,7 @@ from re import _constants as op, _parser  # the standard library's own parse tre
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.llm.common import free_name, stored, text_of
+from ledgerlight.llm.filters import flagged
 
 #: Ways a pattern may read before a part of it is left out of its query.
 MOST_WAYS = 64
@@ -204,12 +205,19 @@ def scan(
     docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_id", text_column: str = "text",
     output: str = "secrets",
 ) -> DataFrame:
-    """``docs`` with an array of (kind, start, end, found), by start, then kind as listed."""
+    """``docs`` with an array of (kind, start, end, found), by start, then kind as listed.
+
+    The array replaces a column of its name.
+    """
     key, hits = free_name(docs, "_row_key"), free_name(docs, "_rules")
     found = stored(candidates(postings(docs, vocabulary(rules), id_column, text_column), rules))
-    joined = docs.withColumn(key, row_key(id_column, text_column)).join(
-        found.select(F.col("row_key").alias(key), F.col("rules").alias(hits)), key, "left"
-    )
+    # only rows that a bitmap of the candidates lets pass are joined with them; the others' texts stay where they are
+    flag = free_name(docs, "_may_match")
+    keyed = flagged(docs.withColumn(key, row_key(id_column, text_column)), key, found, "row_key", flag)
+    wanted = found.select(F.col("row_key").alias(key), F.col("rules").alias(hits))
+    some = keyed.filter(F.col(flag)).join(wanted, key, "left")
+    rest = keyed.filter(~F.col(flag)).withColumn(hits, F.lit(None).cast("array<int>"))
+    joined = some.unionByName(rest).drop(flag)
     text = text_of(text_column)
     nothing = F.array().cast("array<struct<start:long,number:int,end:long,asked:int>>")
     each = []

@@ -214,3 +214,15 @@ def test_bitmap_holds_every_hash(spark):
     assert filters.passes(bits, hashes).all()
     others = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 5000, np.uint64)
     assert filters.passes(bits, others).mean() < 0.15
+
+
+def test_flags_by_a_bitmap(spark):
+    held = spark.range(4000).selectExpr("xxhash64(id) AS h")
+    asked = spark.range(2000, 9000).selectExpr("id", "xxhash64(id) AS own", "'x' AS _piece")
+    got = filters.flagged(asked, "own", held, "h", "may")
+    assert got.columns == ["id", "own", "_piece", "may"]
+    rows = got.collect()
+    assert len(rows) == 7000 and all(r["may"] for r in rows if r["id"] < 4000)
+    assert sum(r["may"] for r in rows if r["id"] >= 4000) < 200
+    none = filters.flagged(asked, "own", held.limit(0), "h", "may")
+    assert none.filter("may").count() == 0

@@ -45,6 +45,14 @@ def test_secret_digest(spark):
         assert row["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
 
 
+def test_added_columns_replace_those_of_their_names(spark):
+    docs = frame(spark).withColumnRenamed("row_key", "secrets").withColumnRenamed("kept", "score")
+    scanned = quality.score(secrets.scan(docs), 0.25)
+    assert scanned.columns == docs.columns and scanned.count() == docs.count()
+    assert {r["score"] for r in scanned.collect()} == {0.25}
+    assert dict(scanned.dtypes)["secrets"].startswith("array<struct<kind:string")
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is None
     assert secrets.trigram_query("abcd|xyz") == sorted([frozenset({"abc", "bcd"}), frozenset({"xyz"})], key=sorted)
