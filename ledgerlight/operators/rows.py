@@ -71,11 +71,12 @@ def distinct_count(df: DataFrame) -> int:
 def distinct_rows(df: DataFrame) -> DataFrame:
     """One of each row.
 
-    Digests are counted in one narrow shuffle.  Rows without a copy pass as they are; of the others,
-    which alone are shuffled, one of each digest stays.  Copies are equal, so any of them may.
+    Rows are stored with their digests, so that what makes them is worked out once.  Digests are counted
+    in one narrow shuffle.  Rows without a copy pass as they are; of the others, which alone are
+    shuffled, one of each digest stays.  Copies are equal, so any of them may.
     """
     key = _key(df)
-    keyed = df.withColumn(key, row_digest(df))
+    keyed = stored(df.withColumn(key, row_digest(df)))
     repeated = stored(keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
     once = keyed.join(repeated, key, "left_anti")
     one_each = keyed.join(repeated, key, "left_semi").dropDuplicates([key])
