@@ -78,6 +78,8 @@ class Warehouse:
 
     def _switch(self, name: str, version: str) -> None:
         old = self._version(name)
+        if old is None and self.spark.catalog.tableExists(name):  # from before tables had versions
+            self.spark.sql(f"DROP TABLE {name}")
         self.spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('version' = '{version}') AS SELECT * FROM {version}")
         if old:
             self.spark.sql(f"DROP TABLE IF EXISTS {old}")

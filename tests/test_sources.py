@@ -193,6 +193,9 @@ def test_a_failed_load_leaves_the_old_rows(spark, tmp_path, monkeypatch):
     assert before.split(".")[1] not in [t.name for t in spark.catalog.listTables(store.versions)]
     store.drop("loads")
     assert store.version("raw", "loads") is None
+    spark.range(2).write.saveAsTable("raw.plain_loads")  # a plain table gives way to a version
+    assert store.write("raw", "plain_loads", spark.range(3)).count() == 3 and store.version("raw", "plain_loads")
+    store.drop("plain_loads")
 
 
 def test_pages_read_their_ranges_only(spark, tmp_path):
