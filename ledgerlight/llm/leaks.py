@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,7 +31,7 @@ from ledgerlight.llm.filters import bitmap, passes
 
 WINDOW, SHINGLE = 10, 3
 #: Bytes of text that are looked at together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -188,18 +187,23 @@ def _places(texts: DataFrame, bits: np.ndarray, parts: Sequence[int], window: in
     ))
 
 
-def _merged(starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-    """Overlapping and touching spans as one, and the words in them."""
-    rows = []
-    for begin, size in zip(starts, sizes):
-        order = np.argsort(begin, kind="stable")
-        begin = np.asarray(begin, np.int64)[order]
-        reach = np.maximum.accumulate(begin + np.asarray(size, np.int64)[order])
-        new = np.append(True, begin[1:] > reach[:-1])
-        ends = reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
-        spans = list(zip(begin[new].tolist(), ends.tolist()))
-        rows.append((sum(e - b for b, e in spans), [{"start": b, "end": e} for b, e in spans]))
-    return pd.DataFrame(rows, columns=["n_hit", "spans"])
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, n_hit, spans) of (row, starts, sizes): overlapping and touching spans as one, and their words."""
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        hits, spans = [], []
+        for starts, sizes in zip(batch.column(1), batch.column(2)):
+            begin = starts.values.to_numpy()
+            order = np.argsort(begin, kind="stable")
+            begin = begin[order]
+            reach = np.maximum.accumulate(begin + sizes.values.to_numpy()[order])
+            new = np.append(True, begin[1:] > reach[:-1])
+            ends = reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
+            hits.append(int((ends - begin[new]).sum()))
+            spans.append([{"start": s, "end": e} for s, e in zip(begin[new].tolist(), ends.tolist())])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(hits, pa.int64()), pa.array(spans, spans_type)], ["row", "n_hit", "spans"]
+        )
 
 
 def find_leaks(
@@ -235,18 +239,19 @@ def find_leaks(
     hits = stored(places.join(prefixes, "shingle").filter(fits & same).select(
         "row", "window", (F.col("place") - F.col("at")).alias("start"), F.col("size").cast("long").alias("size")
     ))
-    merged = F.pandas_udf(_merged, "n_hit long, spans array<struct<start:long,end:long>>")
     spans = hits.select("row", "start", "size").distinct().groupBy("row").agg(
         F.collect_list(F.struct("start", "size")).alias("held")
-    ).select("row", merged(F.col("held.start"), F.col("held.size")).alias("merged"))
+    ).select("row", "held.start", "held.size").mapInArrow(
+        _merged, "row long, n_hit long, spans array<struct<start:long,end:long>>"
+    )
     named = hits.select("row", "window").distinct().join(members, "window").groupBy("row").agg(
         F.sort_array(F.collect_set("item")).alias("items")
     )
     leaks = stored(spans.join(named, "row", "left"))
     none = F.lit(0).cast("long")
     return found.select("row", "id", "n_words").join(leaks, "row", "left").select(
-        F.col("id").alias(id_column), "n_words", F.coalesce("merged.n_hit", none).alias("n_hit"),
-        F.coalesce("merged.spans", F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>")).alias("spans"),
+        F.col("id").alias(id_column), "n_words", F.coalesce("n_hit", none).alias("n_hit"),
+        F.coalesce("spans", F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
