@@ -131,6 +131,27 @@ def test_near_links_within_a_template(spark):
     assert got == {n: linked.get(n, n) for n in range(len(records))}
 
 
+def test_unlinked_copies_of_one_text_make_few_rows(spark, monkeypatch):
+    """400 texts with six edits each: all pairs share most shingles, none reaches 0.8."""
+    base = prose(77, 300)
+    records = [(n, changed(base, n, 6), "en", "s1", 1, "extra", "extra") for n in range(400)]
+    sets = [shingle_set(r[1], 5) for r in records]
+    assert not any(
+        100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in combinations(range(len(records)), 2)
+    )
+    made, rare = [], minhash._rare_pairs
+
+    def counted(*given):
+        pairs = minhash.stored(rare(*given))
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_rare_pairs", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.link_near_copies(frame(spark, records)).collect()}
+    assert got == {n: n for n in range(400)}
+    assert len(made) == 1 and made[0] < 1000  # of 79,800 pairs
+
+
 def test_near_filter(spark):
     docs = frame(spark, near_rows())
     got = minhash.drop_near_copies(docs, words=2)
