@@ -138,3 +138,25 @@ def test_distinct_rows_move_only_repeated_ones(spark):
     got = row_tools.distinct_rows(df)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.distinct().collect()))
     assert prof.survey(df)[1] == 10 and prof.survey(df, duplicates=False)[1] == 0
+
+
+def test_a_survey_moves_and_stores_little_of_unlike_rows(spark, monkeypatch, tmp_path):
+    """Row digests are short, and only counts of numbers are stored."""
+    kept = []
+    monkeypatch.setattr(prof, "stored", lambda df: kept.append(df) or df)
+    df = spark.range(60).selectExpr("id AS n", "concat('text ', id) AS t", "concat('few ', id % 3) AS f")
+    rows, repeated = prof.survey(df.union(df.limit(2)))
+    found = by_column(rows)
+    assert repeated == 2 and found["t"]["distinct_count"] == 60 and found["n"]["median_value"] == 28.5
+    assert [(t["value"], t["count"]) for t in found["f"]["top_values"]] == [("few 0", 21), ("few 1", 21), ("few 2", 20)]
+    assert [{r["text"] for r in frame.collect()} for frame in kept] == [{None}]
+    assert df.select(F.max(F.length(row_tools.row_digest(df)))).first()[0] == 20
+    assert row_tools.duplicate_summary(df.union(df.limit(2))).first() == (62, 2)
+
+
+def test_survey_of_numbers_alone_and_of_no_columns(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 2.0), (3, None)], "a int, b double")
+    rows, repeated = prof.survey(df)
+    found = by_column(rows)
+    assert repeated == 1 and (found["a"]["row_count"], found["b"]["null_count"], found["b"]["mean_value"]) == (3, 1, 2.0)
+    assert prof.survey(df, columns=[])[1] == 1 and prof.survey(df, columns=["b"], duplicates=False)[1] == 0
