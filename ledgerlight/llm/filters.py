@@ -6,59 +6,22 @@ Every key that was put in passes; others pass by chance, and are dropped by the
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from ledgerlight.llm.common import free_name
-
-#: A bitmap has 64 bits or more per key, so it lets few others through; at most 32 MB.
-LEAST_BITS, MOST_BITS = 16, 28
-
-
-def _bits(hashes: DataFrame, column: str) -> int:
-    count = hashes.agg(F.approx_count_distinct(column)).first()[0]
-    return min(MOST_BITS, max(LEAST_BITS, (64 * count).bit_length()))
-
-
-def _slot(hashed: str, bits: int) -> Column:
-    return F.shiftrightunsigned(hashed, 64 - bits) + 1
-
-
-def _pieces(hashes: DataFrame, column: str, bits: int) -> DataFrame:
-    """(piece, held): 4 KB of the bitmap each, at most 8,192 rows, made in tasks."""
-    slot = _slot(column, bits)
-    return hashes.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("held")
-    )
+from ledgerlight.operators.bitmaps import bits_for, flagged, pieces_of  # noqa: F401
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     """Bits, one for each value of the leading bits of a hash that ``column`` holds; 32 MB at most."""
-    bits = _bits(hashes, column)
+    bits = bits_for(hashes, column)
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in _pieces(hashes, column, bits).collect():
+    for row in pieces_of(hashes, column, bits).collect():
         held = np.frombuffer(row["held"], np.uint8)
         begin = (row["piece"] - 1) * len(held)
         out[begin:begin + len(held)] = held[:max(0, len(out) - begin)]
     return out
 
 
-def flagged(df: DataFrame, hashed: str, hashes: DataFrame, column: str, flag: str) -> DataFrame:
-    """``df`` with a boolean ``flag``: whether the bitmap of ``hashes`` holds its hash.
-
-    DataFrame functions only; the bitmap is joined as pieces, broadcast as they are 32 MB at most.
-    """
-    bits = _bits(hashes, column)
-    piece, held = free_name(df, "_piece"), free_name(df, "_held")
-    pieces = _pieces(hashes, column, bits).select(F.col("piece").alias(piece), F.col("held").alias(held))
-    place = F.bitmap_bit_position(_slot(hashed, bits))
-    octet = F.conv(F.hex(F.substring(F.col(held), (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    bit = F.call_function("shiftright", octet, (place % 8).cast("int")).bitwiseAND(F.lit(1))
-    return (
-        df.withColumn(piece, F.bitmap_bucket_number(_slot(hashed, bits))).join(F.broadcast(pieces), piece, "left")
-        .withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(piece, held)
-    )
-
-
 def passes(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Which 64-bit hashes the bitmap holds."""
     slots = prints >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)

@@ -160,3 +160,17 @@ def test_survey_of_numbers_alone_and_of_no_columns(spark):
     found = by_column(rows)
     assert repeated == 1 and (found["a"]["row_count"], found["b"]["null_count"], found["b"]["mean_value"]) == (3, 1, 2.0)
     assert prof.survey(df, columns=[])[1] == 1 and prof.survey(df, columns=["b"], duplicates=False)[1] == 0
+
+
+def test_distinct_rows_join_no_tables(spark, monkeypatch):
+    """Rows meet a bitmap and no table of digests; rows that share its bits only are all kept."""
+    from ledgerlight.operators import bitmaps
+
+    monkeypatch.setattr(bitmaps, "MOST_BITS", 2)
+    monkeypatch.setattr(bitmaps, "LEAST_BITS", 2)
+    df = spark.range(500).selectExpr("id % 450 AS `a b`", "CASE WHEN id % 450 > 3 THEN concat('t', id % 450) END AS _hash")
+    got = row_tools.distinct_rows(df)
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.distinct().collect()))
+    assert got.columns == ["a b", "_hash"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
