@@ -25,6 +25,7 @@ Null and empty texts have no tokens; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Sequence
 from math import inf
@@ -78,13 +79,28 @@ class State(dict):
         return step
 
 
+class Words(dict):
+    """Token counts of words between resets."""
+
+    __slots__ = ("machine",)
+
+    def __init__(self, machine: Transducer) -> None:
+        self.machine = machine
+
+    def __missing__(self, word: str) -> int:
+        return self.machine.count_word(word)
+
+
 class Transducer:
     """Compiled from the normal pieces of a vocabulary with their scores."""
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
+        self.states: dict[tuple, State] = {}
         self.made: dict[str, tuple[str, str] | None] = {}
-        self.prefixes = {piece[:n] for piece in scores for n in range(1, len(piece) + 1)}
+        #: Whether what some piece begins with is a piece itself.
+        self.prefixes = {piece[:n]: False for piece in scores for n in range(1, len(piece) + 1)}
+        self.prefixes.update(dict.fromkeys(scores, True))
         if any(MARK in piece.lstrip(MARK) for piece in scores):
             raise ValueError("a piece holds a space mark after another character; marks do not reset this vocabulary")
         self.clear()
@@ -107,9 +123,12 @@ class Transducer:
         return cls({p.piece: p.score for p in model.pieces if p.type == 1})
 
     def clear(self) -> None:
-        self.states: dict[tuple, State] = {}
+        """Forget what was compiled; transitions go first, as those back to the start make circles."""
+        for state in self.states.values():
+            state.clear()
+        self.states.clear()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, int] = {}
+        self.words = Words(self)
         self.older: dict[str, int] = {}
         self.reset = self._state("", ((0, None, 0),))
 
@@ -139,11 +158,13 @@ class Transducer:
     def valid(self, left: str | None, right: str) -> bool:
         """Whether the two tokens stay apart: undo their merges from the last, and at no time may
         the parts that then touch have made a better merge."""
-        if left is None:
-            return len(right) == 1 or self._parts(right) is not None
         known = self.pairs.get((left, right))
         if known is None:
-            known = self.pairs[left, right] = self._apart(left, right)
+            if left is None:
+                known = len(right) == 1 or self._parts(right) is not None
+            else:
+                known = self._apart(left, right)
+            self.pairs[left, right] = known
         return known
 
     def _apart(self, left: str, right: str) -> bool:
@@ -169,19 +190,27 @@ class Transducer:
         if letter == MARK and state.suffix.strip(MARK):
             state = self.reset
         text = state.suffix + letter
-        for start, last, count in state.cuts:
+        prefixes, pairs = self.prefixes, self.pairs
+        gain, kept = None, []
+        for cut in state.cuts:
+            start, last, count = cut
             token = text[start:]
-            if token in self.scores and self.valid(last, token):
-                gain = count + 1
-                break
-        else:
+            piece = prefixes.get(token)
+            if piece is None:
+                continue
+            kept.append(cut)
+            if piece and gain is None:
+                fits = pairs.get((last, token))
+                if fits or fits is None and self.valid(last, token):
+                    gain, found = count + 1, token
+        if gain is None:
             if letter not in self.scores:
                 return self.reset, len(letter.encode("utf-8", "surrogatepass"))
             raise AssertionError(f"no last token after {text!r}")
-        kept = [(s, t, c - gain) for s, t, c in state.cuts if text[s:] in self.prefixes]
-        kept.append((len(text), token, 0))
-        first = kept[0][0]
-        return self._state(text[first:], tuple((s - first, t, c) for s, t, c in kept)), gain
+        first = kept[0][0] if kept else len(text)
+        cuts = [(start - first, last, count - gain) for start, last, count in kept]
+        cuts.append((len(text) - first, found, 0))
+        return self._state(text[first:], tuple(cuts)), gain
 
     def run(self, state: State, text: str) -> tuple[State, int]:
         count = 0
@@ -224,7 +253,7 @@ class Transducer:
                 count += more
         return state, count
 
-    def _word(self, word: str) -> int:
+    def count_word(self, word: str) -> int:
         count = self.older.get(word)
         if count is None:
             count = self.run(self.reset, word)[1]
@@ -243,11 +272,7 @@ class Transducer:
         at = first.end()
         words = _WORDS.findall(chunk, at)
         end, count = self.run(self.reset, words.pop())
-        known = self.words
-        try:
-            count += sum([known[word] for word in words])
-        except KeyError:
-            count += sum([known[word] if word in known else self._word(word) for word in words])
+        count += sum(map(self.words.__getitem__, words))
         return ChunkMap(self._head(chunk[:at]), end, count)
 
     def compose(self, one: ChunkMap, two: ChunkMap) -> ChunkMap:
@@ -296,7 +321,13 @@ def count_tokens(
     def counted(texts):
         if not machine:
             machine.append(Transducer.from_file(model))
-        return texts.map(lambda text: machine[0].count(text, chunk)).astype("int64")
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is left in circles, and looking for them takes a tenth of the time
+        try:
+            return texts.map(lambda text: machine[0].count(text, chunk)).astype("int64")
+        finally:
+            if collecting:
+                gc.enable()
 
     length = free_name(docs, "_tokens")
     return (

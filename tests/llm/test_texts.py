@@ -112,6 +112,23 @@ def test_memory_is_bounded_within_a_text(monkeypatch):
     assert len(cleared) > 4 and max(cleared) < 60_000 and peak < 100e6
 
 
+def test_forgotten_states_go_without_a_search_for_circles():
+    """Counting is done with Python's search for circles of references off."""
+    import gc
+
+    machine = transducer.Transducer.from_file(PIECES)
+    gc.collect()
+    gc.disable()
+    try:
+        machine.count("some words \u2603 then \U0001f600 and more \u2603\u2603 words " * 3)
+        assert len(machine.states) > 20
+        machine.clear()
+        left = [o for o in gc.get_objects() if isinstance(o, transducer.State) and o.machine is machine]
+        assert len(left) == 1 and machine.count("words \u2603") > 0
+    finally:
+        gc.enable()
+
+
 def test_encoder_against_library():
     from tokenizers import Tokenizer
 
