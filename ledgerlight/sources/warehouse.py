@@ -72,7 +72,7 @@ class Warehouse:
         for column in df.columns:
             identifier(column)
         name, version = self.name(layer, table), f"{self.versions}.{layer}_{uuid.uuid4().hex}"
-        df.write.saveAsTable(version, partitionBy=list(partition_by) or None)
+        df.write.saveAsTable(version, partitionBy=list(partition_by) or None, compression="zstd")
         self._switch(name, version)
         return self.read(layer, table)
 

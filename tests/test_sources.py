@@ -225,3 +225,10 @@ def test_stored_pages_follow_the_table(spark, tmp_path):
     assert store.version("meta", "paged_pages") != copy
     store.drop("paged")
     assert not store.exists("meta", "paged_pages")
+
+
+def test_tables_are_stored_in_zstd(spark):
+    store = warehouse.Warehouse(spark)
+    rows = store.write("raw", "packed", spark.range(10).selectExpr("id", "concat('text ', id) AS t"))
+    assert all(name.endswith(".zstd.parquet") for name in rows.inputFiles()) and rows.count() == 10
+    store.drop("packed")
